@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldroute.llm.bpe import decode, encode
 from fieldroute.llm.exact_dedup import exact_groups
+from fieldroute.llm.huffman import read_tokens, write_tokens
+from fieldroute.llm.packing import pack
 from fieldroute.llm.quality_rules import quality
 from fieldroute.llm.url_filter import judge_urls, rules_frame
-from fieldroute.session import table
+from fieldroute.session import shared_dir, table
+
+#: Ends every document in the queries that use the word tokenizer.
+END_ID = 1
 
 #: Rules of the url query: action, host, path.
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -20,6 +28,13 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    both = decode(encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    spelt = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(spelt.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules_frame(spark, URL_RULES))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -30,7 +45,18 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_url_filter, op4_quality_rules)}
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/fieldroute/tokens-{uuid.uuid4().hex}"
+    write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_url_filter, op4_quality_rules, op6_packing, op7_token_files)}
 
 #: DuckDB SQL; the LLR verdict of op4 and the trained or tokenised operators have none.
 ORACLE_SQL: dict[str, str] = {
