@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fieldroute.llm.bpe import decode, encode
 from fieldroute.llm.exact_dedup import exact_groups
 from fieldroute.llm.huffman import read_tokens, write_tokens
+from fieldroute.llm.minhash import near_groups
 from fieldroute.llm.packing import pack
 from fieldroute.llm.quality_rules import quality
 from fieldroute.llm.url_filter import judge_urls, rules_frame
@@ -56,7 +57,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_url_filter, op4_quality_rules, op6_packing, op7_token_files)}
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_url_filter, op4_quality_rules, op6_packing, op7_token_files, op8_minhash)}
 
 #: DuckDB SQL; the LLR verdict of op4 and the trained or tokenised operators have none.
 ORACLE_SQL: dict[str, str] = {
