@@ -15,6 +15,7 @@ from fieldroute.llm.huffman import read_tokens, write_tokens
 from fieldroute.llm.minhash import near_groups
 from fieldroute.llm.packing import pack
 from fieldroute.llm.quality_rules import quality
+from fieldroute.llm.suffix_dedup import remove_repeats
 from fieldroute.llm.url_filter import judge_urls, rules_frame
 from fieldroute.session import shared_dir, table
 
@@ -61,7 +62,12 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_url_filter, op4_quality_rules, op6_packing, op7_token_files, op8_minhash)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_url_filter, op4_quality_rules, op6_packing, op7_token_files, op8_minhash, op10_suffix_dedup)}
 
 #: DuckDB SQL; the LLR verdict of op4 and the trained or tokenised operators have none.
 ORACLE_SQL: dict[str, str] = {
