@@ -1,0 +1,175 @@
+"""Region design and day batching: sequential solvers as grouped maps, one group a city or a city-day."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from fieldroute.session import ship
+
+#: Fixed values of the region model.
+BALANCE_WEIGHT, RADIUS_WEIGHT, GROWTH_ROUNDS, LLOYD_STEPS = 120.0, 40.0, 20, 50
+MAX_WORK_MIN, MAX_TRAVEL_MIN, MAX_TRAVEL_KM, SPEED_KMH = 480.0, 240.0, 120.0, 50.0
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Great-circle km between every (lat, lon) of a and of b."""
+    p, q = np.radians(a)[:, None, :], np.radians(b)[None, :, :]
+    h = np.sin((q[..., 0] - p[..., 0]) / 2) ** 2 + np.cos(p[..., 0]) * np.cos(q[..., 0]) * np.sin((q[..., 1] - p[..., 1]) / 2) ** 2
+    return 2 * 6371.0 * np.arcsin(np.sqrt(np.clip(h, 0, 1)))
+
+
+def seeds(points: np.ndarray, weights: np.ndarray, k: int) -> list[int]:
+    """The heaviest point, then always the one whose distance to the chosen, times its weight, is largest."""
+    chosen = [int(weights.argmax())]
+    near = distances(points, points[chosen])[:, 0]
+    while len(chosen) < min(k, len(points)):
+        pull = near * np.maximum(weights, 1.0)
+        pull[chosen] = -1
+        chosen.append(int(pull.argmax()))
+        near = np.minimum(near, distances(points, points[chosen[-1:]])[:, 0])
+    return chosen
+
+
+def weighted_kmeans(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+    """Lloyd steps on great-circle distance; labels are compact and empty clusters are seeded anew at the farthest point."""
+    centres = points[seeds(points, weights, k)].copy()
+    labels = np.full(len(points), -1)
+    for _ in range(LLOYD_STEPS):
+        gap = distances(points, centres)
+        fresh = gap.argmin(1)
+        if (fresh == labels).all():
+            break
+        labels = fresh
+        for c in range(len(centres)):
+            own = labels == c
+            if own.any():
+                w = np.maximum(weights[own], 1e-9)
+                centres[c] = (points[own] * w[:, None]).sum(0) / w.sum()
+            else:
+                centres[c] = points[gap.min(1).argmax()]
+    return np.unique(labels, return_inverse=True)[1]
+
+
+def target_radius(points: np.ndarray, weights: np.ndarray, k: int) -> float:
+    if len(points) < 2 or weights.sum() <= 0:
+        return 25.0
+    centre = (points * weights[:, None]).sum(0) / weights.sum()
+    spread = distances(points, centre[None])[:, 0]
+    order = np.argsort(spread, kind="stable")
+    reach = np.cumsum(weights[order]) / weights.sum()
+    return max(15.0, float(spread[order][np.searchsorted(reach, 0.85)]) / np.sqrt(max(k, 1)) * 1.8)
+
+
+def balanced_regions(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+    """Greedy growth: each point, heaviest first, joins the region of least distance plus penalties for load and radius."""
+    k = min(k, len(points))
+    start = seeds(points, weights, k)
+    target, radius = weights.sum() / k, target_radius(points, weights, k)
+    centres, labels = points[start].copy(), np.full(len(points), -1)
+    for _ in range(GROWTH_ROUNDS):
+        fresh, load = np.full(len(points), -1), np.zeros(k)
+        for c, i in enumerate(start):
+            fresh[i], load[c] = c, weights[i]
+        for i in np.argsort(-weights, kind="stable"):
+            if fresh[i] < 0:
+                d = distances(points[i : i + 1], centres)[0]
+                after = load + weights[i]
+                cost = d + BALANCE_WEIGHT * ((after - target) / max(target, 1e-9)) ** 2 * (after > target) + RADIUS_WEIGHT * np.maximum(0, (d - radius) / radius) ** 2
+                fresh[i] = c = int(cost.argmin())
+                load[c] += weights[i]
+        if (fresh == labels).all():
+            break
+        labels = fresh
+        for c in range(k):
+            own = labels == c
+            centres[c] = (points[own] * np.maximum(weights[own], 1e-9)[:, None]).sum(0) / np.maximum(weights[own], 1e-9).sum()
+    return labels
+
+
+def path_length(points: np.ndarray) -> float:
+    """Km of the greedy open path from the first point."""
+    left, at, total = list(range(1, len(points))), 0, 0.0
+    d = distances(points, points)
+    while left:
+        nxt = min(left, key=lambda j: (d[at, j], j))
+        total, at = total + d[at, nxt], nxt
+        left.remove(nxt)
+    return float(total)
+
+
+def day_batches(points: np.ndarray, minutes: np.ndarray, per_unit: int) -> np.ndarray:
+    """The fewest clusters, from demand upwards, that all hold to the work, time and distance limits; else one a stop."""
+    k = max(1, int(np.ceil(len(points) / per_unit)))
+    while True:
+        labels = balanced_regions(points, np.ones(len(points)), k)
+        fits = True
+        for c in range(labels.max() + 1):
+            own = labels == c
+            km = path_length(points[own]) if own.any() else 0.0
+            travel = km / SPEED_KMH * 60
+            fits &= minutes[own].sum() + travel <= MAX_WORK_MIN and travel <= MAX_TRAVEL_MIN and km <= MAX_TRAVEL_KM
+        if fits or k >= len(points):
+            return labels
+        k += 1
+
+
+def design_regions(postals: DataFrame, city: str = "city") -> DataFrame:
+    """Region of every postal code; ``regions`` holds the count wanted for its city."""
+    ship(postals.sparkSession)
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("postal_code").reset_index(drop=True)
+        k = min(len(df), max(1, int(df["regions"].iloc[0])))
+        labels = balanced_regions(df[["latitude", "longitude"]].to_numpy(), df["weight"].to_numpy(float), k)
+        return pd.DataFrame({city: df[city], "postal_code": df["postal_code"], "region": labels + 1})
+
+    return postals.groupBy(city).applyInPandas(run, f"{city} string, postal_code string, region int")
+
+
+def batch_days(jobs: DataFrame, keys: list[str], per_unit: int = 5) -> DataFrame:
+    """Unit number of every job of a day, one group a (city, region, day)."""
+    ship(jobs.sparkSession)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in jobs.select(*keys, "receipt_no").schema) + ", unit int"
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("receipt_no").reset_index(drop=True)
+        labels = day_batches(df[["latitude", "longitude"]].to_numpy(float), df["service_min"].to_numpy(float), per_unit)
+        return df[[*keys, "receipt_no"]].assign(unit=labels.astype(np.int32))
+
+    return jobs.groupBy(*keys).applyInPandas(run, schema)
+
+
+def assign_days(jobs: DataFrame, roster: DataFrame, keys: list[str]) -> DataFrame:
+    """Jobs of a day to its city's engineers: longest jobs first, each to the engineer of least distance plus overtime.
+
+    Heavy jobs need the flag; who stays without an eligible engineer comes back with a null code.
+    """
+    ship(jobs.sparkSession)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in jobs.select(*keys, "receipt_no").schema) + ", engineer_code string, km double"
+
+    def run(key: tuple, df: pd.DataFrame, staff: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values(["service_min", "receipt_no"], ascending=[False, True]).reset_index(drop=True)
+        staff = staff.sort_values("engineer_code").reset_index(drop=True)
+        at = staff[["home_lat", "home_lon"]].to_numpy(float).reshape(-1, 2)
+        flag, load = (staff["ref_heavy"] == "Y").to_numpy(), np.zeros(len(staff))
+        codes, gaps = [], []
+        for lat, lon, minutes, heavy in df[["latitude", "longitude", "service_min", "is_heavy"]].itertuples(index=False):
+            km = distances(at, np.array([[lat, lon]]))[:, 0] if len(at) else np.zeros(0)
+            over = np.maximum(0, load + minutes + km / SPEED_KMH * 60 - MAX_WORK_MIN)
+            cost = np.where(~heavy | flag, km + 10 * over, np.inf)
+            if not len(cost) or not np.isfinite(cost.min()):
+                codes.append(None)
+                gaps.append(None)
+                continue
+            k = int(cost.argmin())
+            load[k] += minutes + km[k] / SPEED_KMH * 60
+            at[k] = lat, lon
+            codes.append(staff["engineer_code"][k])
+            gaps.append(float(km[k]))
+        return df[[*keys, "receipt_no"]].assign(engineer_code=codes, km=gaps)
+
+    days = jobs.select(*keys).distinct().toDF(*[f"at_{k}" for k in keys])
+    staff = days.join(roster.withColumnRenamed("city", "at_city"), "at_city")
+    return jobs.groupBy(*keys).cogroup(staff.groupBy(*[f"at_{k}" for k in keys])).applyInPandas(run, schema)

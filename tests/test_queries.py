@@ -1,0 +1,34 @@
+import pytest
+
+import __spark_entry__ as entry
+from fieldroute.queries import ORACLE_SQL, QUERIES
+
+from .oracle import compare, duck
+
+
+@pytest.fixture(scope="module")
+def con(sf):
+    return duck(sf)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_against_sql(spark, sf, con, name):
+    same, got, want = compare(spark, con, sf, QUERIES[name], ORACLE_SQL[name])
+    assert same, (got[1][:3], want[1][:3])
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
+def test_runs(spark, sf, name):
+    assert QUERIES[name](spark, sf).count() > 0
+
+
+def test_assignment_is_whole(spark, sf):
+    jobs = QUERIES["df_integrated_units"](spark, sf)
+    assert jobs.count() == jobs.select("receipt_no").distinct().count()
+    assigned = QUERIES["df_assignment"](spark, sf)
+    assert assigned.count() == jobs.count()
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())
