@@ -1,14 +1,14 @@
 """Near-duplicate detection by b-bit MinHash.
 
-Every text becomes 192 minima over its distinct five-word shingles. Bands of
+Every text becomes 384 minima over its distinct five-word shingles. Bands of
 five full minima give candidates; the low four bits of all minima, packed in
-twelve longs, give a collision-corrected similarity by bit counts; what passes is
+24 longs, give a collision-corrected similarity by bit counts; what passes is
 confirmed on the full shingle sets.
 
 Texts with one word sequence form a class and only its smallest id goes
-further. A bucket is first compared with its smallest member only, which joins
-large families without pairing them off. Buckets that still hold several
-components are then compared in blocks, where the bit count is a condition of the join:
+further. A bucket is first compared with its smallest member only, then, where it
+holds several components, with a few others in turn: that joins large families
+without pairing them off. What is left is compared in blocks, where the bit count is a condition of the join:
 only pairs of different components that pass it are ever made.
 """
 
@@ -26,11 +26,12 @@ from fieldroute.llm.components import components
 from fieldroute.session import cut, ship
 
 SHINGLE = 5
-LANES, BITS = 192, 4
+LANES, BITS = 384, 4
 LONGS = LANES * BITS // 64
 BAND_ROWS, BANDS = 5, 38
 LEAST_PERCENT = 75
 BLOCK_ROWS = 2000
+STAR_TURNS = 4
 CACHED_WORDS = 500_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -160,9 +161,9 @@ def matches(x: str, y: str):
 
 
 def least_matches(least_percent: int = LEAST_PERCENT) -> int:
-    """Matching lanes, collision-corrected, that a pair at the threshold falls short of less than once in a million times (5 deviations)."""
+    """Matching lanes, collision-corrected, that a pair at the threshold reaches but for 3 in 100 000 (4 deviations): no more than the bands miss there."""
     c = 2.0**-BITS + (1 - 2.0**-BITS) * least_percent / 100
-    return int(LANES * c - 5 * (LANES * c * (1 - c)) ** 0.5)
+    return int(LANES * c - 4 * (LANES * c * (1 - c)) ** 0.5)
 
 
 def near_groups(docs: DataFrame, least_percent: int = LEAST_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,25 +192,55 @@ def near_groups(docs: DataFrame, least_percent: int = LEAST_PERCENT, id_col: str
         full = pairs.join(words.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b").join(words.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a")
         return full.select("a", "b", "words_a", "words_b").mapInArrow(_confirm(least_percent), "a long, b long")
 
+    sigs = sigs.dropDuplicates(["node"])
+
+    def passing(pairs: DataFrame) -> DataFrame:
+        full = pairs.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b").join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
+        return cut(full.where(matches("sig_a", "sig_b") >= need).select("a", "b"), "pairs")
+
     # Each member with its bucket's smallest.
-    stars = members.where("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stars.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b").join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
-    stars = cut(stars.where(matches("sig_a", "sig_b") >= need).select("a", "b").distinct(), "pairs")
-    links = cut(confirmed(stars), "links")
-    roots = cut(components(links), "roots")
-
-    # Buckets that still hold several components, in blocks.
-    held = members.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = held.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    held = held.join(mixed, "bucket").join(sigs.dropDuplicates(["node"]), "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    held = cut(held, "mixed")
+    tried = passing(members.where("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
+    roots = cut(components(cut(confirmed(tried), "links")), "roots")
+
+    def mixed() -> DataFrame:
+        """Members, with their components, of buckets that hold several."""
+        held = members.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+        several = held.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+        return cut(held.join(several, "bucket"), "mixed")
+
+    def merged(links: DataFrame) -> DataFrame:
+        """Components after more links; only the roots they touch are joined anew."""
+        root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        touched = links.join(root("a"), "a", "left").join(root("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        new = components(touched).select(F.col("node").alias("old"), F.col("root").alias("new"))
+        moved = roots.join(new, roots["root"] == new["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
+        fresh = new.join(roots, new["old"] == roots["node"], "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
+        return cut(moved.unionByName(fresh), "roots")
+
+    # Then with other members, as long as that joins components.
+    for turn in range(STAR_TURNS):
+        held = mixed()
+        leaders = held.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket", F.lit(turn))).alias("x"))
+        pairs = held.join(leaders, "bucket").join(roots.select(F.col("node").alias("x"), F.col("root").alias("root_x")), "x", "left").where(F.col("root") != F.coalesce("root_x", "x"))
+        pairs = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = passing(pairs)
+        links = cut(confirmed(pairs), "links")
+        tried = tried.unionByName(pairs)
+        if not links.take(1):
+            break
+        roots = merged(links)
+
+    # What is left in buckets with several components, in blocks.
+    held = mixed().join(sigs, "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    held = cut(held, "blocks")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = held.withColumn("j", other).select("bucket", F.col("own").alias("i"), "j", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("sig").alias("sig_a"))
     right = held.withColumn("i", other).select("bucket", "i", F.col("own").alias("j"), F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("sig").alias("sig_b"))
     pairs = left.hint("merge").join(right, (left["bucket"] == right["bucket"]) & (left["i"] == right["i"]) & (left["j"] == right["j"]) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (matches("sig_a", "sig_b") >= need))
-    pairs = pairs.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = cut(confirmed(cut(pairs, "pairs")), "links")
-    roots = components(links.unionByName(more)) if more.take(1) else roots
+    pairs = pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    links = cut(confirmed(cut(pairs, "pairs")), "links")
+    if links.take(1):
+        roots = merged(links)
 
     named = signed.join(classes, "same", "left").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
     component = F.coalesce("root", "rep", "doc_id")
