@@ -19,10 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from fieldroute.llm.recent import Recent
 from fieldroute.session import ship
 
 LEAF_BYTES = 12
-CACHED_PIECES = 400_000
+CACHED_PIECES = 300_000
+NEVER = 1 << 62
 DECODE_LEAF = 4096
 
 
@@ -36,19 +38,17 @@ class TreeBPE:
 
     def merge(self, data: bytes) -> list[int]:
         """Merges on one short byte string."""
-        ranks, parts = self.ranks, [data[i : i + 1] for i in range(len(data))]
-        pairs = [ranks.get(data[i : i + 2]) for i in range(len(data) - 1)]
-        while pairs:
-            best, at = min(((r, i) for i, r in enumerate(pairs) if r is not None), default=(None, 0))
-            if best is None:
-                break
+        rank, parts = self.ranks.get, [data[i : i + 1] for i in range(len(data))]
+        pairs = [rank(data[i : i + 2], NEVER) for i in range(len(data) - 1)]
+        while pairs and (best := min(pairs)) != NEVER:
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             del pairs[at]
             if at:
-                pairs[at - 1] = ranks.get(parts[at - 1] + parts[at])
+                pairs[at - 1] = rank(parts[at - 1] + parts[at], NEVER)
             if at < len(pairs):
-                pairs[at] = ranks.get(parts[at] + parts[at + 1])
-        return [ranks[p] for p in parts]
+                pairs[at] = rank(parts[at] + parts[at + 1], NEVER)
+        return [self.ranks[p] for p in parts]
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The monoid's operation."""
@@ -86,23 +86,11 @@ def load(path: str) -> TreeBPE:
         return TreeBPE({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
 
-class _Pieces(dict):
-    """Encodings of pieces already met, as bytes of int32; emptied when full."""
-
-    def __init__(self, bpe: TreeBPE):
-        super().__init__()
-        self.bpe = bpe
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHED_PIECES:
-            self.clear()
-        out = self[piece] = np.array(self.bpe.encode(piece.encode()), np.int32).tobytes()
-        return out
-
-
 @lru_cache(2)
-def _pieces(path: str) -> _Pieces:
-    return _Pieces(load(path))
+def _pieces(path: str) -> Recent:
+    """Encodings of the pieces met so far, as bytes of int32."""
+    encode = load(path).encode
+    return Recent(lambda piece: np.array(encode(piece.encode()), np.int32).tobytes(), CACHED_PIECES)
 
 
 def _lists(values: list[bytes]) -> pa.Array:

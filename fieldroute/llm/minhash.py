@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldroute.llm.components import components
+from fieldroute.llm.recent import Recent
 from fieldroute.session import cut, ship
 
 SHINGLE = 5
@@ -31,8 +32,8 @@ LONGS = LANES * BITS // 64
 BAND_ROWS, BANDS = 5, 38
 LEAST_PERCENT = 75
 BLOCK_ROWS = 2000
-STAR_TURNS = 4
-CACHED_WORDS = 500_000
+STAR_TURNS = 2
+CACHED_WORDS = 300_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _RNG = np.random.default_rng(20_24)
@@ -46,19 +47,11 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
 @lru_cache(1)
-def _hashes() -> _WordHashes:
-    return _WordHashes()
+def _hashes() -> Recent:
+    import xxhash
+
+    return Recent(xxhash.xxh3_64_intdigest, CACHED_WORDS)
 
 
 def shingles(words: list[bytes], n: int = SHINGLE) -> np.ndarray:

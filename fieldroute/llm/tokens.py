@@ -4,40 +4,94 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldroute.llm.recent import Recent
 from fieldroute.session import ship
 
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 SLICE_ROWS = 256
 
 
-class WordIds(dict):
-    """Ids, as bytes of ``dtype``, of the words met so far; emptied when full.
+CACHED_CORES = 200_000
+_LATIN = 0x250
+_PROBES = ("erer", "Erer.", "THE!!", "leau\u00e9,", "\u00c9t\u00e9", "\u00f1o***", "\u0130x", "a", "z\u00df;")
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 is itself, the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
+
+
+class WordIds(Recent):
+    """Ids, as bytes of ``dtype``, of the words met lately.
 
     For tokenizers whose pre-tokenizer drops white space, so that no token
-    spans two words: a text's ids are its words' ids one after another.
+    spans two words: a text's ids are its words' ids one after another. Where probes
+    show that the tokenizer lower-cases and splits letters from marks, a word of
+    letters and trailing ASCII marks is the ids of both parts, and letters
+    already met in another case or before other marks are not encoded again.
     """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(lambda w: self._whole([w.decode()])[0], CACHED_WORDS)
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = id_type(self.tokenizer.get_vocab_size(True))
+        self.shape = regex.compile(r"(\p{L}+)([!-/:-@\[-`{-~]*)").fullmatch
+        self.letters, self.parts = byte_letters(), Recent(self._letters, CACHED_CORES)
+        self.marks = Recent(lambda m: self._whole([m])[0], CACHED_CORES)
+        try:
+            self.by_parts = all(self._joined(w) in (None, self._whole([w])[0]) for w in _PROBES)
+        except Exception:  # a model without single-word tokenising
+            self.by_parts = False
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _part(self, part: str, letters: bool) -> bytes:
+        return self.parts[part] if letters else self.marks[part]
+
+    def _letters(self, part: str) -> bytes:
+        spelt = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
+        return np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], self.dtype).tobytes()
+
+    def _joined(self, word: str) -> bytes | None:
+        """Ids by parts; none for words of another shape or of letters beyond Latin."""
+        match = self.shape(word)
+        if match is None:
+            return None
+        core, marks = match[1], match[2]
+        if not core.isascii() and (max(core) >= chr(_LATIN) or not is_normalized("NFC", core)):
+            return None
+        small = core.lower()
+        if len(small) != len(core):  # a letter that becomes a letter and a mark
+            return None
+        return self._part(small, True) + (self._part(marks, False) if marks else b"")
 
     def learn(self, split: list[list[bytes]]) -> None:
         missing = list(set().union(*split).difference(self.keys()))
         if len(self) + len(missing) > CACHED_WORDS and self:
-            self.clear()
+            self.age()
             missing = list(set().union(*split))
+        if self.old:
+            self.update((w, self.old[w]) for w in missing if w in self.old)
+            missing = [w for w in missing if w not in self.old]
+        if self.by_parts:
+            known = [(w, self._joined(w.decode())) for w in missing]
+            self.update(x for x in known if x[1] is not None)
+            missing = [w for w, ids in known if ids is None]
         for words in (missing[i : i + 20_000] for i in range(0, len(missing), 20_000)):
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-            self.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(words, found, strict=True))
+            self.update(zip(words, self._whole([w.decode() for w in words]), strict=True))
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         split = [(t or b"").split() for t in texts]

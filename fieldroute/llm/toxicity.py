@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldroute.llm.labelled import held_out, training_rows
+from fieldroute.llm.recent import Recent
 from fieldroute.session import ship
 
 DIMENSIONS = 1 << 18
@@ -26,7 +27,7 @@ TRAIN_ROWS = 8_000
 STEPS, RATE, SHRINK = 120, 0.5, 2e-5
 BIAS = -5.0
 OFFENDS = 0.5
-_ENDS = b".!?"
+CACHED_WORDS = 200_000
 _EDGES = b".,;:!?\"'()|*#$%&<>"
 
 
@@ -43,20 +44,6 @@ def split_words(text: bytes) -> list[bytes]:
     return text.replace(b"\n", b" . ").split()
 
 
-class _Known(dict):
-    """A value of each word met so far; emptied when full."""
-
-    def __init__(self, make, most: int = 400_000):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, word: bytes):
-        if len(self) >= self.most:
-            self.clear()
-        out = self[word] = self.make(word)
-        return out
-
-
 def noisy_or(log_none: np.ndarray) -> np.ndarray:
     return -np.expm1(log_none)
 
@@ -84,7 +71,7 @@ def fit(texts: list[bytes], y: np.ndarray) -> Model:
     """Adagrad on the noisy-or likelihood, in plain arrays of (sentence, feature) pairs."""
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(DIMENSIONS, np.float32), BIAS)
-    known = _Known(lambda w: (features(w), w[-1:] in (b".", b"!", b"?")))
+    known = Recent(lambda w: (features(w), w[-1:] in (b".", b"!", b"?")), CACHED_WORDS)
     at, feature, doc_of = [], [], []
     n = 0
     for d, text in enumerate(texts):
@@ -140,7 +127,7 @@ def score(docs: DataFrame, model: Model, with_sentences: bool = False, id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
-        known = _Known(Model(weights, bias).word)
+        known = Recent(Model(weights, bias).word, CACHED_WORDS)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)

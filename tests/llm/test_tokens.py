@@ -46,14 +46,24 @@ def test_bpe_query_rows(spark, sf):
 
 
 def whole(texts):
-    t = Tokenizer.from_file(WORDS)
-    return [t.encode(x or "", add_special_tokens=False).ids + [1] for x in texts]
+    return [_TOKENIZER.encode(x or "", add_special_tokens=False).ids + [1] for x in texts]
 
 
 def test_word_ids():
     known = WordIds(WORDS)
     got = [np.frombuffer(x, known.dtype).tolist() + [1] for x in known.encode([None if t is None else t.encode() for t in ODD])]
-    assert got == whole(ODD)
+    assert got == whole(ODD) and known.by_parts
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aAzéÉßñÑçœŒİıſĳΣς.,!'*<|>_-1½ \u0301\u0307日가", max_size=40))
+def test_word_parts(text):
+    known = _KNOWN
+    assert np.frombuffer(known.encode([text.encode()])[0], known.dtype).tolist() == whole([text])[0][:-1]
+
+
+_KNOWN = WordIds(WORDS)
+_TOKENIZER = Tokenizer.from_file(WORDS)
 
 
 def test_huffman_book():
