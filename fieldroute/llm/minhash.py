@@ -32,7 +32,7 @@ LONGS = LANES * BITS // 64
 BAND_ROWS, BANDS = 5, 38
 LEAST_PERCENT = 75
 BLOCK_ROWS = 2000
-STAR_TURNS = 2
+STAR_TURNS = 4
 CACHED_WORDS = 300_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -195,9 +195,9 @@ def near_groups(docs: DataFrame, least_percent: int = LEAST_PERCENT, id_col: str
     tried = passing(members.where("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
     roots = cut(components(cut(confirmed(tried), "links")), "roots")
 
-    def mixed() -> DataFrame:
-        """Members, with their components, of buckets that hold several."""
-        held = members.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    def mixed(among: DataFrame) -> DataFrame:
+        """Members, with their components, of buckets that hold several; a bucket of one component never comes back."""
+        held = among.select("bucket", "node", "n").join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
         several = held.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
         return cut(held.join(several, "bucket"), "mixed")
 
@@ -211,10 +211,11 @@ def near_groups(docs: DataFrame, least_percent: int = LEAST_PERCENT, id_col: str
         return cut(moved.unionByName(fresh), "roots")
 
     # Then with other members, as long as that joins components.
+    held = mixed(members)
     for turn in range(STAR_TURNS):
-        held = mixed()
-        leaders = held.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "bucket", F.lit(turn))).alias("x"))
-        pairs = held.join(leaders, "bucket").join(roots.select(F.col("node").alias("x"), F.col("root").alias("root_x")), "x", "left").where(F.col("root") != F.coalesce("root_x", "x"))
+        leaders = held.groupBy("bucket").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", "bucket", F.lit(turn))).alias("x"))
+        leaders = leaders.select("bucket", F.col("x.node").alias("x"), F.col("x.root").alias("root_x"))
+        pairs = held.join(leaders, "bucket").where(F.col("root") != F.col("root_x"))
         pairs = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = passing(pairs)
         links = cut(confirmed(pairs), "links")
@@ -222,9 +223,10 @@ def near_groups(docs: DataFrame, least_percent: int = LEAST_PERCENT, id_col: str
         if not links.take(1):
             break
         roots = merged(links)
+        held = mixed(held)
 
     # What is left in buckets with several components, in blocks.
-    held = mixed().join(sigs, "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    held = held.join(sigs, "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     held = cut(held, "blocks")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = held.withColumn("j", other).select("bucket", F.col("own").alias("i"), "j", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("sig").alias("sig_a"))
