@@ -8,8 +8,8 @@ confirmed on the full shingle sets.
 Texts with one word sequence form a class and only its smallest id goes
 further. A bucket is first compared with its smallest member only, then, where it
 holds several components, with a few others in turn: that joins large families
-without pairing them off. What is left is compared in blocks, where the bit count is a condition of the join:
-only pairs of different components that pass it are ever made.
+without pairing them off. What is left is compared in cells of two blocks: only
+pairs of different components that pass the bit count leave a cell, each once.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ LANES, BITS = 384, 4
 LONGS = LANES * BITS // 64
 BAND_ROWS, BANDS = 5, 38
 LEAST_PERCENT = 75
-BLOCK_ROWS = 2000
-STAR_TURNS = 4
+BLOCK_ROWS = 512
+STAR_TURNS = 2
 CACHED_WORDS = 300_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -142,6 +142,33 @@ def _confirm(least_percent: int):
     return run
 
 
+def _compare_blocks(need: int):
+    """Pairs of a cell that pass the bit count, of different components, in the first bucket that both share: every pair comes out once."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        wide = lambda name, n: cell.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, n)
+        sig, bands = wide("sig", LONGS), wide("bands", BANDS)
+        node, root, own = (cell.column(c).to_numpy() for c in ("node", "root", "own"))
+        bucket = cell.column("bucket")[0].as_py()
+        i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+        rows, others = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        low, a, b = np.uint64(0x1111111111111111), [], []
+        for x in rows:
+            near = others[(root[others] != root[x]) & (node[others] > node[x])] if i == j else others[root[others] != root[x]]
+            odd = sig[near] ^ sig[x]
+            odd |= odd >> np.uint64(1)
+            odd |= odd >> np.uint64(2)
+            near = near[LANES - np.bitwise_count(odd & low).sum(1, dtype=np.int64) >= need]
+            same = bands[near] == bands[x]
+            near = near[bands[x][same.argmax(1)].view(np.int64) == bucket]
+            a.append(np.minimum(node[near], node[x]))
+            b.append(np.maximum(node[near], node[x]))
+        empty = [np.zeros(0, np.int64)]
+        return pa.table({"a": np.concatenate(a or empty), "b": np.concatenate(b or empty)})
+
+    return run
+
+
 def matches(x: str, y: str):
     """Lanes whose low bits agree, counted in the packed longs."""
     total = F.lit(0)
@@ -225,14 +252,12 @@ def near_groups(docs: DataFrame, least_percent: int = LEAST_PERCENT, id_col: str
         roots = merged(links)
         held = mixed(held)
 
-    # What is left in buckets with several components, in blocks.
-    held = held.join(sigs, "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    held = cut(held, "blocks")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = held.withColumn("j", other).select("bucket", F.col("own").alias("i"), "j", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("sig").alias("sig_a"))
-    right = held.withColumn("i", other).select("bucket", "i", F.col("own").alias("j"), F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("sig").alias("sig_b"))
-    pairs = left.hint("merge").join(right, (left["bucket"] == right["bucket"]) & (left["i"] == right["i"]) & (left["j"] == right["j"]) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (matches("sig_a", "sig_b") >= need))
-    pairs = pairs.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    # What is left in buckets with several components: cells of two blocks, each pair of blocks once.
+    sizes = held.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    held = held.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    held = held.join(reps, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = held.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "sig", "bands")
+    pairs = cells.groupBy("bucket", "i", "j").applyInArrow(_compare_blocks(need), "a long, b long").join(tried, ["a", "b"], "left_anti")
     links = cut(confirmed(cut(pairs, "pairs")), "links")
     if links.take(1):
         roots = merged(links)
