@@ -9,7 +9,8 @@ Texts with one word sequence form a class and only its smallest id goes
 further. A bucket is first compared with its smallest member only, then, where it
 holds several components, with a few others in turn: that joins large families
 without pairing them off. What is left is compared in cells of two blocks: only
-pairs of different components that pass the bit count leave a cell, each once.
+pairs of different components that pass the bit count, there with 2048 more lanes,
+leave a cell, each once.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from fieldroute.session import cut, ship
 SHINGLE = 5
 LANES, BITS = 384, 4
 LONGS = LANES * BITS // 64
+FINE_LANES = 2048
+FINE_LONGS = FINE_LANES * BITS // 64
 BAND_ROWS, BANDS = 5, 38
 LEAST_PERCENT = 75
 BLOCK_ROWS = 512
@@ -39,6 +42,8 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _RNG = np.random.default_rng(20_24)
 _A = (_RNG.integers(0, 1 << 32, LANES, np.uint32) | np.uint32(1))[:, None]
 _B = _RNG.integers(0, 1 << 32, LANES, np.uint32)[:, None]
+_FINE_A = (_RNG.integers(0, 1 << 32, FINE_LANES, np.uint32) | np.uint32(1))[:, None]
+_FINE_B = _RNG.integers(0, 1 << 32, FINE_LANES, np.uint32)[:, None]
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -67,11 +72,11 @@ def shingles(words: list[bytes], n: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
-def minima(names: np.ndarray) -> np.ndarray:
+def minima(names: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B) -> np.ndarray:
     x = (names ^ (names >> np.uint64(32))).astype(np.uint32)
-    out = np.full(LANES, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), 1024):
-        np.minimum(out, (_A * x[None, i : i + 1024] + _B).min(1), out=out)
+    out, step = np.full(len(a), 0xFFFFFFFF, np.uint32), 1024 * LANES // len(a)
+    for i in range(0, len(x), step):
+        np.minimum(out, (a * x[None, i : i + step] + b).min(1), out=out)
     return out
 
 
@@ -84,7 +89,7 @@ def _bands(least: np.ndarray) -> np.ndarray:
 
 
 def _packed(least: np.ndarray) -> np.ndarray:
-    lanes = (least & np.uint32(15)).astype(np.uint64).reshape(LONGS, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+    lanes = (least & np.uint32(15)).astype(np.uint64).reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
     return np.bitwise_or.reduce(lanes, 1).view(np.int64)
 
 
@@ -121,6 +126,17 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([zip_(b" ".join((t or b"").lower().split())) for t in part.column(1).to_pylist()], pa.binary())], names=["node", "words"])
 
 
+def _sign_finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    unzip = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            fine = [_packed(minima(shingles(unzip(w).split()), _FINE_A, _FINE_B)) for w in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fine, pa.list_(pa.int64()))], names=["node", "fine"])
+
+
 def _confirm(least_percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -142,23 +158,28 @@ def _confirm(least_percent: int):
     return run
 
 
-def _compare_blocks(need: int):
-    """Pairs of a cell that pass the bit count, of different components, in the first bucket that both share: every pair comes out once."""
+def _compare_blocks(need: int, need_fine: int):
+    """Pairs of a cell that pass both bit counts, of different components, in the first bucket that both share: every pair comes out once."""
+    low = np.uint64(0x1111111111111111)
+
+    def agree(sig: np.ndarray, own: np.ndarray) -> np.ndarray:
+        odd = sig ^ own
+        odd |= odd >> np.uint64(1)
+        odd |= odd >> np.uint64(2)
+        return 16 * sig.shape[1] - np.bitwise_count(odd & low).sum(1, dtype=np.int64)
 
     def run(cell: pa.Table) -> pa.Table:
         wide = lambda name, n: cell.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, n)
-        sig, bands = wide("sig", LONGS), wide("bands", BANDS)
+        sig, fine, bands = wide("sig", LONGS), wide("fine", FINE_LONGS), wide("bands", BANDS)
         node, root, own = (cell.column(c).to_numpy() for c in ("node", "root", "own"))
         bucket = cell.column("bucket")[0].as_py()
         i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
         rows, others = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        low, a, b = np.uint64(0x1111111111111111), [], []
+        a, b = [], []
         for x in rows:
             near = others[(root[others] != root[x]) & (node[others] > node[x])] if i == j else others[root[others] != root[x]]
-            odd = sig[near] ^ sig[x]
-            odd |= odd >> np.uint64(1)
-            odd |= odd >> np.uint64(2)
-            near = near[LANES - np.bitwise_count(odd & low).sum(1, dtype=np.int64) >= need]
+            near = near[agree(sig[near], sig[x]) >= need]
+            near = near[agree(fine[near], fine[x]) >= need_fine]
             same = bands[near] == bands[x]
             near = near[bands[x][same.argmax(1)].view(np.int64) == bucket]
             a.append(np.minimum(node[near], node[x]))
@@ -180,10 +201,10 @@ def matches(x: str, y: str):
     return total
 
 
-def least_matches(least_percent: int = LEAST_PERCENT) -> int:
+def least_matches(least_percent: int = LEAST_PERCENT, lanes: int = LANES) -> int:
     """Matching lanes, collision-corrected, that a pair at the threshold reaches but for 3 in 100 000 (4 deviations): no more than the bands miss there."""
     c = 2.0**-BITS + (1 - 2.0**-BITS) * least_percent / 100
-    return int(LANES * c - 4 * (LANES * c * (1 - c)) ** 0.5)
+    return int(lanes * c - 4 * (lanes * c * (1 - c)) ** 0.5)
 
 
 def near_groups(docs: DataFrame, least_percent: int = LEAST_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,11 +274,11 @@ def near_groups(docs: DataFrame, least_percent: int = LEAST_PERCENT, id_col: str
         held = mixed(held)
 
     # What is left in buckets with several components: cells of two blocks, each pair of blocks once.
-    sizes = held.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    held = held.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    held = held.join(reps, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = held.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "sig", "bands")
-    pairs = cells.groupBy("bucket", "i", "j").applyInArrow(_compare_blocks(need), "a long, b long").join(tried, ["a", "b"], "left_anti")
+    held = held.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    fine = cut(words.join(held.select("node").distinct(), "node", "left_semi").mapInArrow(_sign_finely, "node long, fine array<long>"), "fine")
+    held = held.join(reps, "node").join(fine.dropDuplicates(["node"]), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = held.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "sig", "fine", "bands")
+    pairs = cells.groupBy("bucket", "i", "j").applyInArrow(_compare_blocks(need, least_matches(least_percent, FINE_LANES)), "a long, b long").join(tried, ["a", "b"], "left_anti")
     links = cut(confirmed(cut(pairs, "pairs")), "links")
     if links.take(1):
         roots = merged(links)
