@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from string import punctuation
 from unicodedata import is_normalized
 
 import numpy as np
@@ -20,6 +22,7 @@ SLICE_ROWS = 256
 
 CACHED_CORES = 200_000
 _LATIN = 0x250
+_MARKS = punctuation.encode()
 _PROBES = ("erer", "Erer.", "THE!!", "leau\u00e9,", "\u00c9t\u00e9", "\u00f1o***", "\u0130x", "a", "z\u00df;")
 
 
@@ -49,7 +52,7 @@ class WordIds(Recent):
         self.dtype = id_type(self.tokenizer.get_vocab_size(True))
         self.shape = regex.compile(r"(\p{L}+)([!-/:-@\[-`{-~]*)").fullmatch
         self.letters, self.parts = byte_letters(), Recent(self._letters, CACHED_CORES)
-        self.marks = Recent(lambda m: self._whole([m])[0], CACHED_CORES)
+        self.marks = Recent(lambda m: self._whole([m.decode()])[0] if m else b"", CACHED_CORES)
         try:
             self.by_parts = all(self._joined(w) in (None, self._whole([w])[0]) for w in _PROBES)
         except Exception:  # a model without single-word tokenising
@@ -58,12 +61,9 @@ class WordIds(Recent):
     def _whole(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _part(self, part: str, letters: bool) -> bytes:
-        return self.parts[part] if letters else self.marks[part]
-
-    def _letters(self, part: str) -> bytes:
-        spelt = part if part.isascii() else "".join([self.letters[b] for b in part.encode()])
-        return np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], self.dtype).tobytes()
+    def _letters(self, part: bytes) -> bytes:
+        spelt = part.decode() if part.isascii() else "".join([self.letters[b] for b in part])
+        return array("H" if self.dtype.itemsize == 2 else "I", [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
 
     def _joined(self, word: str) -> bytes | None:
         """Ids by parts; none for words of another shape or of letters beyond Latin."""
@@ -76,7 +76,19 @@ class WordIds(Recent):
         small = core.lower()
         if len(small) != len(core):  # a letter that becomes a letter and a mark
             return None
-        return self._part(small, True) + (self._part(marks, False) if marks else b"")
+        return self.parts[small.encode()] + self.marks[marks.encode()]
+
+    def _learn_ascii(self, words: list[bytes]) -> list[bytes]:
+        """What ``_joined`` does for ASCII letters and marks, without a pattern; returns the words of another shape."""
+        parts, marks, others = self.parts, self.marks, []
+        for w in words:
+            core = w.rstrip(_MARKS)
+            if core.isalpha():
+                ids = parts[core.lower()]
+                self[w] = ids if len(core) == len(w) else ids + marks[w[len(core) :]]
+            else:
+                others.append(w)
+        return others
 
     def learn(self, split: list[list[bytes]]) -> None:
         missing = list(set().union(*split).difference(self.keys()))
@@ -87,7 +99,7 @@ class WordIds(Recent):
             self.update((w, self.old[w]) for w in missing if w in self.old)
             missing = [w for w in missing if w not in self.old]
         if self.by_parts:
-            known = [(w, self._joined(w.decode())) for w in missing]
+            known = [(w, self._joined(w.decode())) for w in self._learn_ascii(missing)]
             self.update(x for x in known if x[1] is not None)
             missing = [w for w, ids in known if ids is None]
         for words in (missing[i : i + 20_000] for i in range(0, len(missing), 20_000)):
@@ -96,7 +108,7 @@ class WordIds(Recent):
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         split = [(t or b"").split() for t in texts]
         self.learn(split)
-        return [b"".join([self[w] for w in words]) for words in split]
+        return [b"".join(map(self.__getitem__, words)) for words in split]
 
 
 def id_type(vocabulary: int) -> np.dtype:
