@@ -44,13 +44,11 @@ class WordIds(Recent):
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         super().__init__(lambda w: self._whole([w.decode()])[0], CACHED_WORDS)
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = id_type(self.tokenizer.get_vocab_size(True))
-        self.shape = regex.compile(r"(\p{L}+)([!-/:-@\[-`{-~]*)").fullmatch
         self.letters, self.parts = byte_letters(), Recent(self._letters, CACHED_CORES)
         self.marks = Recent(lambda m: self._whole([m.decode()])[0] if m else b"", CACHED_CORES)
         try:
@@ -67,16 +65,15 @@ class WordIds(Recent):
 
     def _joined(self, word: str) -> bytes | None:
         """Ids by parts; none for words of another shape or of letters beyond Latin."""
-        match = self.shape(word)
-        if match is None:
+        core = word.rstrip(punctuation)
+        if not core.isalpha():
             return None
-        core, marks = match[1], match[2]
         if not core.isascii() and (max(core) >= chr(_LATIN) or not is_normalized("NFC", core)):
             return None
         small = core.lower()
         if len(small) != len(core):  # a letter that becomes a letter and a mark
             return None
-        return self.parts[small.encode()] + self.marks[marks.encode()]
+        return self.parts[small.encode()] + self.marks[word[len(core) :].encode()]
 
     def _learn_ascii(self, words: list[bytes]) -> list[bytes]:
         """What ``_joined`` does for ASCII letters and marks, without a pattern; returns the words of another shape."""
