@@ -1,9 +1,9 @@
 """Quality rules: base counts and a hashed n-gram log-likelihood ratio, in DataFrame operations only.
 
-The ratio compares two multinomials over hashed word 1- and 2-grams: one of trusted
-target documents, one of the whole raw corpus. A document's score is the mean
-of log(p_target / p_raw) over its n-grams, and every document is held
-against one fixed threshold.
+The ratio compares two multinomials over hashed word 1- and 2-grams: one of all trusted
+target documents, one of the whole raw corpus without the document itself. A document's
+score is the mean of the log ratios of its n-grams, moved so that a stated quantile of
+the same table's trusted documents, each left out of the target in turn, lies at the threshold.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldroute.session import cut
+
 #: Spaces between words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
@@ -18,8 +20,12 @@ SYMBOLS = "#*$%&|<>"
 BUCKETS = 1 << 18
 #: Bound of the trusted sample; the raw corpus has none.
 TARGET_ROWS = 20_000
+MIN_WORDS = 50
 THRESHOLD = -0.45
+#: Share of trusted documents that would fall below the threshold if they had not been trusted.
+QUANTILE, QUANTILE_ACCURACY = 0.005, 100_000
 SMOOTHING = 0.5
+RUN = "struct<bucket:int,n:double,target:double,raw:double,sum:double,share:double>"
 
 
 def _without(text, chars: str):
@@ -71,33 +77,72 @@ def trusted_ids(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
     return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def ratio_table(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row with ``lut``: an array of log(p_target / p_raw) by bucket. All documents count in the raw corpus."""
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted.withColumn("_good", F.lit(1))), "doc_id", "left")
+def gram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, raw, target) for every bucket: n-grams of all documents, and of all trusted ones.
+
+    How the ids meet the documents is left to the planner: they are shuffled where they are too many to send around.
+    """
+    marked = docs.select("doc_id", "text").join(trusted.withColumn("_good", F.lit(1)), "doc_id", "left")
     grams = with_words(marked).select(F.coalesce("_good", F.lit(0)).alias("good"), F.explode(_buckets(buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target"))
-    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
-    packed = every.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("t"), F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"))
-    p_target = lambda x: (x["target"] + SMOOTHING) / (F.col("n_target") + SMOOTHING * buckets)
-    p_raw = lambda x: (x["raw"] + SMOOTHING) / (F.col("n_raw") + SMOOTHING * buckets)
-    return packed.select(F.transform("t", lambda x: F.log(p_target(x) / p_raw(x)).cast("float")).alias("lut"))
+    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
+    return cut(every.select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target")), "grams")
+
+
+def with_ratio(worded: DataFrame, counts: DataFrame, buckets: int = BUCKETS, trusted: bool = False) -> DataFrame:
+    """Adds _ratio: the mean log of a document's n-gram counts among the target over those the raw rest leads to expect.
+
+    The document's own counts are left out of the raw side, and of the target's where it is one of the ``trusted``.
+    So an n-gram that no other document has says nothing, however small the table is.
+    """
+    listed = lambda c: counts.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", c))), lambda x: x[c].cast("double"))).scalar()
+    summed = lambda c: counts.agg(F.sum(c).cast("double")).scalar()
+    out = worded.withColumn("_grams", _buckets(buckets)).withColumn("_n_raw", summed("raw")).withColumn("_n_target", summed("target"))
+    own = F.size("_grams") if trusted else F.lit(0)
+    out = out.withColumn("_share", (F.col("_n_target") - own) / F.greatest(F.col("_n_raw") - F.size("_grams"), F.lit(1.0)))
+    # Each of these columns is named once below, so that the planner puts the arrays into the fold instead of into every row.
+    out = out.withColumn("_target", listed("target")).withColumn("_raw", listed("raw"))
+
+    def ended(run):
+        mine = run["n"] if trusted else F.lit(0.0)
+        expected = (run["raw"] - run["n"]) * run["share"]
+        return run["sum"] + run["n"] * F.log((run["target"] - mine + SMOOTHING) / (expected + SMOOTHING))
+
+    def step(run, bucket):
+        fresh = F.struct(bucket.alias("bucket"), F.lit(1.0).alias("n"), F.get("_target", bucket).alias("target"), F.get("_raw", bucket).alias("raw"), ended(run).alias("sum"), run["share"].alias("share"))
+        longer = F.struct(run["bucket"].alias("bucket"), (run["n"] + 1).alias("n"), run["target"].alias("target"), run["raw"].alias("raw"), run["sum"].alias("sum"), run["share"].alias("share"))
+        return F.when(run["bucket"] == bucket, longer).otherwise(fresh)
+
+    begin = F.struct(F.lit(-1).alias("bucket"), *[F.lit(0.0).alias(c) for c in ("n", "target", "raw", "sum")], F.col("_share").alias("share"))
+    total = F.aggregate(F.sort_array("_grams"), begin.cast(RUN), lambda run, b: step(run, b).cast(RUN), ended)
+    return out.withColumn("_ratio", F.when(F.size("_grams") > 0, total / F.size("_grams")).otherwise(F.lit(0.0)))
+
+
+def shift(docs: DataFrame, trusted: DataFrame, counts: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+    """One row: what brings the QUANTILE of the trusted documents' own ratios to ``threshold``; 0 without any.
+
+    Each is judged as if it had not been trusted. Documents too short for the base rules are left out. The quantile
+    is a mergeable sketch, exact up to QUANTILE_ACCURACY rows and within 1 / QUANTILE_ACCURACY of the rank beyond.
+    """
+    known = with_words(docs.select("doc_id", "text").join(trusted, "doc_id")).where(F.size("_words") >= MIN_WORDS)
+    found = with_ratio(known, counts, buckets, trusted=True).agg(F.percentile_approx("_ratio", QUANTILE, QUANTILE_ACCURACY).alias("q"))
+    return found.select(F.coalesce(F.lit(threshold) - F.col("q"), F.lit(0.0)))
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """Every input column, then the base counts, base_failed, score and kept.
 
     A null text has no words and fails the base rules. A document without
-    n-grams scores 0. Rows are judged one by one: repeated rows and null ids each
-    get their own verdict. Without trusted documents the target is uniform and
+    n-grams has a ratio of 0. Rows are judged one by one: repeated rows and null ids each
+    get their own verdict. Without trusted documents every ratio is 0 and
     the verdict still defined.
     """
-    lut = ratio_table(docs, trusted_ids(labels), buckets)
+    trusted = trusted_ids(labels)
+    counts = gram_counts(docs, trusted, buckets)
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
     out = base_counts(with_words(docs.drop(*added)))
-    out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    out = out.withColumn("_lut", lut.scalar()).withColumn("_grams", _buckets(buckets))
-    total = F.aggregate("_grams", F.lit(0.0), lambda a, b: a + F.get("_lut", b))
-    out = out.withColumn("score", F.when(F.size("_grams") > 0, total / F.size("_grams")).otherwise(F.lit(0.0)))
+    out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    out = with_ratio(out, counts, buckets).withColumn("score", F.col("_ratio") + shift(docs, trusted, counts, threshold, buckets).scalar())
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
     # The verdict leaves through a generator: a filter on it then stays above, instead of being pushed
     # down and spelt out in terms of the text, once for every reference.

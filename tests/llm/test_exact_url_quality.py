@@ -1,7 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from fieldroute.llm.exact_dedup import drop_exact_copies, exact_groups
-from fieldroute.llm.quality_rules import base_counts, quality, with_words
+from fieldroute.llm.quality_rules import base_counts, gram_counts, quality, trusted_ids, with_ratio, with_words
 from fieldroute.llm.queries import URL_RULES
 from fieldroute.llm.url_filter import judge_urls, rules_frame
 from fieldroute.session import table
@@ -68,3 +69,28 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
     clean = kept.get((1, True), 0) / (kept.get((1, True), 0) + kept.get((1, False), 0))
     assert clean > 0.97
     assert quality(docs.limit(0), labels.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name,trusted", [("sf0.001", None), ("sf0.01", None), ("sf0.01", 30)])
+def test_quality_keeps_clean_unlabelled_text_at_any_size(spark, name, trusted):
+    """The labels of every fifth good document are hidden; few of these may go, and of all unlabelled ones no more than junk explains."""
+    sf = f"/root/testdata/{name}"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels").where("quality is not null")
+    hidden = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    known = labels.where((F.col("quality") == 0) | ~hidden)
+    if trusted:
+        known = known.orderBy(F.xxhash64("doc_id")).where("quality = 1").limit(trusted)
+    rows = quality(docs, known).where("not base_failed").join(labels, "doc_id", "left").join(known.select("doc_id", F.lit(1).alias("told")), "doc_id", "left").select("quality", "told", "kept").collect()
+    held = [r.kept for r in rows if r.quality == 1 and not r.told]
+    unlabelled = [r.kept for r in rows if r.quality is None]
+    assert len(held) >= 10 and sum(held) >= 0.75 * len(held)
+    assert sum(unlabelled) >= 0.75 * len(unlabelled)
+
+
+def test_own_counts_say_nothing(spark):
+    """A text whose words no other document has is neither good nor bad, and its repeats do not change that."""
+    odd = " ".join(f"q{i % 40}" for i in range(120))
+    docs = spark.createDataFrame([(1, "a b c d " * 30), (2, "a b c d " * 30), (3, odd)], "doc_id long, text string")
+    counts = gram_counts(docs, docs.where("doc_id = 1").select("doc_id"), 1 << 16)
+    got = {r.doc_id: r._ratio for r in with_ratio(with_words(docs), counts, 1 << 16).collect()}
+    assert abs(got[3]) < 1e-9 and got[2] != 0
