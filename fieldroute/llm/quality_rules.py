@@ -18,8 +18,6 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 BUCKETS = 1 << 18
-#: Bound of the trusted sample; the raw corpus has none.
-TARGET_ROWS = 20_000
 MIN_WORDS = 50
 THRESHOLD = -0.45
 #: Share of trusted documents that would fall below the threshold if they had not been trusted.
@@ -71,10 +69,9 @@ def _buckets(buckets: int):
     return F.concat(uni, bi)
 
 
-def trusted_ids(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
-    """Ids of at most ``rows`` documents labelled good, dealt by a hash of the id; a bounded table."""
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of all documents labelled good; the table grows with the labels."""
+    return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
 
 
 def gram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:

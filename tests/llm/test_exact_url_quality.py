@@ -87,6 +87,14 @@ def test_quality_keeps_clean_unlabelled_text_at_any_size(spark, name, trusted):
     assert sum(unlabelled) >= 0.75 * len(unlabelled)
 
 
+def test_quality_counts_every_trusted_document(spark):
+    """More good labels than the sample once held: all of them count in the target."""
+    docs = spark.range(25_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id")).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    counts = gram_counts(docs, trusted_ids(labels)).agg(F.sum("raw"), F.sum("target")).first()
+    assert tuple(counts) == (25_000, 25_000)
+
+
 def test_own_counts_say_nothing(spark):
     """A text whose words no other document has is neither good nor bad, and its repeats do not change that."""
     odd = " ".join(f"q{i % 40}" for i in range(120))
