@@ -74,6 +74,11 @@ def ag_engineer_day(spark: SparkSession, sf: str) -> DataFrame:
     return R.engineer_day(engineers(spark, sf), v, "service_month")
 
 
+def ag_engineer_month(spark: SparkSession, sf: str) -> DataFrame:
+    """Roster engineers of all months, with and without work."""
+    return R.engineer_day(engineers(spark, sf), visits(spark, sf), "service_month")
+
+
 def ag_staffing(spark: SparkSession, sf: str) -> DataFrame:
     v = visits(spark, sf).join(regions(spark, sf), "postal_code")
     only = lambda c, k: F.countDistinct(F.when(F.col("center_type") == k, F.col(c)))
@@ -150,7 +155,7 @@ def so_latest_request(spark: SparkSession, sf: str) -> DataFrame:
     return R.keep_first(e, ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()]).select("user_id", "event_id", "event_type")
 
 
-QUERIES = {f.__name__: f for f in (ag_daily_rollup, ag_postal_stats, ag_capacity, ag_distribution, ag_mode_and_first, ag_busiest, ag_most_frequent, ag_region_workload, ag_zip_overlap, ag_engineer_day, ag_staffing, ag_profile_counters, ag_null_groups, ag_attempts, ag_integrated_area, ag_bucket_overlap, wn_keep_first, wn_duplicates, wn_replacement_rank, wn_job_priority, wn_fixed_slot, so_latest_request)}
+QUERIES = {f.__name__: f for f in (ag_daily_rollup, ag_postal_stats, ag_capacity, ag_distribution, ag_mode_and_first, ag_busiest, ag_most_frequent, ag_region_workload, ag_zip_overlap, ag_engineer_day, ag_engineer_month, ag_staffing, ag_profile_counters, ag_null_groups, ag_attempts, ag_integrated_area, ag_bucket_overlap, wn_keep_first, wn_duplicates, wn_replacement_rank, wn_job_priority, wn_fixed_slot, so_latest_request)}
 _OVERLAP = "per AS (SELECT engineer_code, region_seq, count(DISTINCT postal_code) AS overlap FROM visits JOIN regions USING (postal_code) GROUP BY 1, 2), tot AS (SELECT engineer_code, count(DISTINCT postal_code) AS total FROM visits GROUP BY 1), o AS (SELECT engineer_code, region_seq, overlap, total, CAST(overlap AS DOUBLE) / total AS ratio FROM per JOIN tot USING (engineer_code))"
 _LONGEST = "f AS (SELECT *, row_number() OVER (PARTITION BY receipt_no ORDER BY service_min DESC, l_linenumber, engineer_code, service_date) AS rn FROM visits)"
 SQL = {
@@ -164,6 +169,7 @@ SQL = {
     "ag_region_workload": f"WITH {VISITS_SQL}, {_REGIONS} SELECT region_seq, CAST(sum(service_min) AS BIGINT) AS minutes, count(*) FILTER (WHERE is_heavy) AS heavy, count(DISTINCT receipt_no) AS receipts, round(avg(latitude), 9) AS center_lat FROM visits JOIN regions USING (postal_code) GROUP BY 1",
     "ag_zip_overlap": f"WITH {VISITS_SQL}, {_REGIONS}, {_OVERLAP} SELECT engineer_code, region_seq, overlap, total, round(ratio, 4) AS ratio FROM o",
     "ag_engineer_day": f"WITH {VISITS_SQL}, {ENGINEERS_SQL}, v AS (SELECT * FROM visits WHERE service_month < DATE '1996-01-01'), d AS (SELECT DISTINCT service_month FROM v), w AS (SELECT engineer_code, service_month, count(DISTINCT receipt_no) AS jobs, sum(service_min) AS m FROM v GROUP BY 1, 2) SELECT e.engineer_code, d.service_month, e.center_type, coalesce(jobs, 0) AS job_count, CAST(coalesce(m, 0) AS BIGINT) AS service_min, coalesce(m, 0) > 480 AS overflow_480 FROM engineers e CROSS JOIN d LEFT JOIN w ON w.engineer_code = e.engineer_code AND w.service_month = d.service_month",
+    "ag_engineer_month": f"WITH {VISITS_SQL}, {ENGINEERS_SQL}, d AS (SELECT DISTINCT service_month FROM visits), w AS (SELECT engineer_code, service_month, count(DISTINCT receipt_no) AS jobs, sum(service_min) AS m FROM visits GROUP BY 1, 2) SELECT e.engineer_code, d.service_month, e.center_type, coalesce(jobs, 0) AS job_count, CAST(coalesce(m, 0) AS BIGINT) AS service_min, coalesce(m, 0) > 480 AS overflow_480 FROM engineers e CROSS JOIN d LEFT JOIN w ON w.engineer_code = e.engineer_code AND w.service_month = d.service_month",
     "ag_staffing": f"WITH {VISITS_SQL}, {_REGIONS} SELECT region_seq, service_month, count(DISTINCT CASE WHEN center_type = 'DMS' THEN engineer_code END) AS dms, count(DISTINCT CASE WHEN center_type = 'DMS2' THEN engineer_code END) AS dms2, count(DISTINCT CASE WHEN center_type = 'DMS' THEN receipt_no END) AS dms_receipts, count(DISTINCT CASE WHEN center_type = 'DMS2' THEN receipt_no END) AS dms2_receipts, count(DISTINCT receipt_no) AS receipts FROM visits JOIN regions USING (postal_code) GROUP BY 1, 2",
     "ag_profile_counters": f"WITH {ENGINEERS_SQL} SELECT 'rows' AS metric, count(*) AS value FROM engineers UNION ALL SELECT 'cities', count(DISTINCT city) FROM engineers UNION ALL SELECT 'with_slot', count(slot) FROM engineers UNION ALL SELECT 'without_slot', count(*) - count(slot) FROM engineers",
     "ag_null_groups": f"WITH {ENGINEERS_SQL} SELECT slot, count(*) AS n FROM engineers GROUP BY 1",

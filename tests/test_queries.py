@@ -2,6 +2,7 @@ import pytest
 
 import __spark_entry__ as entry
 from fieldroute.queries import ORACLE_SQL, QUERIES
+from fieldroute.sources.adapter import visits
 
 from .oracle import compare, duck
 
@@ -32,3 +33,10 @@ def test_assignment_is_whole(spark, sf):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_engineer_months_are_whole(spark, sf):
+    got = QUERIES["ag_engineer_month"](spark, sf)
+    v = visits(spark, sf)
+    assert got.agg({"service_min": "sum"}).first()[0] == v.agg({"service_min": "sum"}).first()[0]
+    assert got.select("service_month").distinct().count() == v.select("service_month").distinct().count()
