@@ -48,10 +48,15 @@ def flagship_routing_compare(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def df_single_stop_routes(spark: SparkSession, sf: str) -> DataFrame:
-    """Routes of engineer-days with one or two stops, where the greedy path has one form."""
+    """Routes of engineer-days with one stop, where the greedy path has one form."""
     return route_groups(visits(spark, sf), ["engineer_code", "service_date"]).where("unique_stop_count <= 1")
 
 
+def df_engineer_day_routes(spark: SparkSession, sf: str) -> DataFrame:
+    """The greedy route of every engineer-day."""
+    return route_groups(visits(spark, sf), ["engineer_code", "service_date"])
+
+
 def df_schedule(spark: SparkSession, sf: str) -> DataFrame:
     """Visit order, start and end of each engineer-day with its lunch."""
     v = visits(spark, sf).join(engineers(spark, sf).select("engineer_code", "home_lat", "home_lon"), "engineer_code")
@@ -104,7 +109,7 @@ def df_visit_sequence(spark: SparkSession, sf: str) -> DataFrame:
     return visits(spark, sf).select("engineer_code", "service_date", "receipt_no", "l_linenumber", F.row_number().over(w).alias("visit_seq"))
 
 
-QUERIES = {f.__name__: f for f in (flagship_routing_compare, df_current_daily, df_city_summary, df_integrated_units, df_single_stop_routes, df_schedule, df_insertion, df_chunks, df_region_design, df_assignment, df_payload, df_visit_sequence)}
+QUERIES = {f.__name__: f for f in (flagship_routing_compare, df_current_daily, df_city_summary, df_integrated_units, df_single_stop_routes, df_engineer_day_routes, df_schedule, df_insertion, df_chunks, df_region_design, df_assignment, df_payload, df_visit_sequence)}
 _FIRST = "f AS (SELECT *, row_number() OVER (PARTITION BY receipt_no ORDER BY service_min DESC, l_linenumber, engineer_code, service_date) AS rn FROM visits)"
 SQL = {
     "df_single_stop_routes": f"WITH {VISITS_SQL}, g AS (SELECT engineer_code, service_date, count(DISTINCT receipt_no) AS job_count, count(DISTINCT latitude * 100000 + longitude) AS unique_stop_count FROM visits GROUP BY 1, 2) SELECT *, CAST(0 AS DOUBLE) AS distance_km, CAST(0 AS DOUBLE) AS duration_min FROM g WHERE unique_stop_count <= 1",

@@ -1,3 +1,5 @@
+from math import asin, cos, radians, sin, sqrt
+
 import pytest
 
 import __spark_entry__ as entry
@@ -40,3 +42,29 @@ def test_engineer_months_are_whole(spark, sf):
     v = visits(spark, sf)
     assert got.agg({"service_min": "sum"}).first()[0] == v.agg({"service_min": "sum"}).first()[0]
     assert got.select("service_month").distinct().count() == v.select("service_month").distinct().count()
+
+
+def km(a, b):
+    (la, lo), (lb, ob) = ((radians(x) for x in p) for p in (a, b))
+    return 2 * 6371 * asin(sqrt(sin((lb - la) / 2) ** 2 + cos(la) * cos(lb) * sin((ob - lo) / 2) ** 2))
+
+
+def test_routes_of_all_engineer_days(spark, sf):
+    days = {}
+    for r in visits(spark, sf).orderBy("l_orderkey", "l_linenumber", "longitude", "latitude").collect():
+        days.setdefault((r.engineer_code, r.service_date), []).append((r.receipt_no, (r.latitude, r.longitude)))
+    want = {}
+    for key, rows in days.items():
+        left = list(dict.fromkeys(p for _, p in rows))
+        n, at, total = len(left), left.pop(0), 0.0
+        while left:
+            near = min(left, key=lambda p: km(at, p))
+            total, at = total + km(at, near), near
+            left.remove(near)
+        want[key] = (len({x for x, _ in rows}), n, total)
+    got = {(r.engineer_code, r.service_date): r for r in QUERIES["df_engineer_day_routes"](spark, sf).collect()}
+    assert set(got) == set(want) and any(n > 1 for _, n, _ in want.values())
+    for key, (jobs, n, total) in want.items():
+        r = got[key]
+        assert (r.job_count, r.unique_stop_count) == (jobs, n)
+        assert abs(r.distance_km - total) < 0.002 and abs(r.duration_min - total / 50 * 60) < 0.02
