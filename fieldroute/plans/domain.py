@@ -13,11 +13,12 @@ from fieldroute.operators.routing import ORDINALS, city_summary, compare_scenari
 from fieldroute.sources.adapter import VISITS_SQL, engineers, visits
 
 MEASURES = ["deployed", "jobs", "distance_km", "duration_min", "jobs_std", "distance_per_unit"]
-DAY = ["city", "service_month"]
+DAY = ["city", "service_date"]
+MONTH = ["city", "service_month"]
 
 
 def _current(spark, sf):
-    return daily_summary(route_groups(visits(spark, sf), [*DAY, "engineer_code"]))
+    return daily_summary(route_groups(visits(spark, sf), [*DAY, "engineer_code"]), day="service_date")
 
 
 def df_current_daily(spark: SparkSession, sf: str) -> DataFrame:
@@ -35,7 +36,7 @@ def _jobs(spark, sf):
 
 
 def df_integrated_units(spark: SparkSession, sf: str) -> DataFrame:
-    """The fewest units that do each city-month's work within the limits."""
+    """The fewest units that do each city-day's work within the limits."""
     jobs = _jobs(spark, sf)
     units = batch_days(jobs.select(*DAY, "receipt_no", "latitude", "longitude", "service_min"), DAY)
     return jobs.join(units, [*DAY, "receipt_no"]).select(*DAY, "receipt_no", "unit", *ORDINALS, "latitude", "longitude", "service_min")
@@ -43,7 +44,7 @@ def df_integrated_units(spark: SparkSession, sf: str) -> DataFrame:
 
 def flagship_routing_compare(spark: SparkSession, sf: str) -> DataFrame:
     """Current engineers against integrated units: city means of the daily summaries, with deltas and an ALL row."""
-    integrated = daily_summary(route_groups(df_integrated_units(spark, sf), [*DAY, "unit"]), unit="unit")
+    integrated = daily_summary(route_groups(df_integrated_units(spark, sf), [*DAY, "unit"]), day="service_date", unit="unit")
     return compare_scenarios(city_summary(_current(spark, sf)), city_summary(integrated), MEASURES)
 
 
@@ -88,7 +89,7 @@ def df_region_design(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def df_assignment(spark: SparkSession, sf: str) -> DataFrame:
-    """Engineers for every job of a city-month."""
+    """Engineers for every job of a city-day."""
     jobs = _jobs(spark, sf).select(*DAY, "receipt_no", "latitude", "longitude", "service_min", "is_heavy")
     return assign_days(jobs, engineers(spark, sf).select("city", "engineer_code", "home_lat", "home_lon", "ref_heavy"), DAY)
 
@@ -97,10 +98,10 @@ def df_payload(spark: SparkSession, sf: str) -> DataFrame:
     """Request documents by city-month as JSON, read back and exploded."""
     v = _jobs(spark, sf)
     job = F.struct("receipt_no", "product_group", F.struct(F.col("latitude").alias("lat"), F.col("longitude").alias("lng")).alias("location"), F.col("service_min").alias("service_minutes"), "is_heavy")
-    packed = v.groupBy(*DAY).agg(F.to_json(F.struct(F.lit("assign").alias("mode"), F.sort_array(F.collect_list(job)).alias("jobs"))).alias("payload"))
+    packed = v.groupBy(*MONTH).agg(F.to_json(F.struct(F.lit("assign").alias("mode"), F.sort_array(F.collect_list(job)).alias("jobs"))).alias("payload"))
     schema = "mode string, jobs array<struct<receipt_no:string,product_group:string,location:struct<lat:double,lng:double>,service_minutes:int,is_heavy:boolean>>"
-    back = packed.withColumn("p", F.from_json("payload", schema)).select(*DAY, F.explode("p.jobs").alias("j"))
-    return back.groupBy(*DAY).agg(F.count(F.lit(1)).alias("jobs"), F.count_if(F.col("j.is_heavy")).alias("heavy_jobs"), F.sum("j.service_minutes").alias("minutes"), F.max("j.location.lat").alias("lat"))
+    back = packed.withColumn("p", F.from_json("payload", schema)).select(*MONTH, F.explode("p.jobs").alias("j"))
+    return back.groupBy(*MONTH).agg(F.count(F.lit(1)).alias("jobs"), F.count_if(F.col("j.is_heavy")).alias("heavy_jobs"), F.sum("j.service_minutes").alias("minutes"), F.max("j.location.lat").alias("lat"))
 
 
 def df_visit_sequence(spark: SparkSession, sf: str) -> DataFrame:

@@ -68,3 +68,14 @@ def test_routes_of_all_engineer_days(spark, sf):
         r = got[key]
         assert (r.job_count, r.unique_stop_count) == (jobs, n)
         assert abs(r.distance_km - total) < 0.002 and abs(r.duration_min - total / 50 * 60) < 0.02
+
+
+def test_days_are_dates(spark, sf):
+    v = visits(spark, sf)
+    daily = QUERIES["df_current_daily"](spark, sf)
+    days = v.groupBy("city", "service_date").agg({"engineer_code": "count"}).count()
+    assert daily.count() == days == daily.select("city", "service_date").distinct().count()
+    units = QUERIES["df_integrated_units"](spark, sf)
+    work = units.groupBy("city", "service_date", "unit").agg({"service_min": "sum"}).toDF("city", "service_date", "unit", "minutes")
+    assert work.where("minutes > 480").count() == 0
+    assert "service_date" in QUERIES["df_assignment"](spark, sf).columns
