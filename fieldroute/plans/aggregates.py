@@ -95,7 +95,7 @@ def ag_null_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def ag_attempts(spark: SparkSession, sf: str) -> DataFrame:
-    """Attempts by month and day quota left of 1000."""
+    """Attempts by day and the day's quota left of 1000."""
     e = table(spark, sf, "events")
     return e.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("attempts"), F.countDistinct("user_id").alias("users")).withColumn("quota_left", F.greatest(F.lit(1000) - F.col("attempts"), F.lit(0)))
 
