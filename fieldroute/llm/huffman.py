@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldroute.llm.tokens import id_type, tokenise, vocabulary_size
+from fieldroute.llm.tokens import flat, id_type, tokenise, vocabulary_size
 from fieldroute.session import cut, ship, shuffle_width
 
 LIMIT = 18
 STRIDE = 128
-BLOCK_IDS = 1 << 16
+BLOCK_IDS = 1 << 19
 BLOCKS = "part int, block int, local_start long, n_ids long, doc_ids array<long>, doc_lengths array<long>, checkpoints binary, payload binary"
 
 
@@ -108,8 +108,7 @@ def global_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
-                data = b"".join(batch.column(0).slice(i, 1024).to_pylist())
-                total += np.bincount(np.frombuffer(data, dtype), minlength=vocabulary)
+                total += np.bincount(flat(batch.column(0).slice(i, 1024), dtype)[0], minlength=vocabulary)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["id", "n"])
 
@@ -146,10 +145,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -
             )
 
         for batch in batches:
-            for name, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            data, ends = flat(batch.column(1), dtype)
+            begins = [0, *ends[:-1].tolist()]
+            for name, a, b in zip(batch.column(0).to_pylist(), begins, ends.tolist(), strict=True):
                 names.append(name)
-                texts.append(np.frombuffer(ids, dtype))
-                held += len(texts[-1])
+                texts.append(data[a:b])
+                held += b - a
                 if held >= BLOCK_IDS:
                     yield close()
                     start, block, names, texts, held = start + held, block + 1, [], [], 0
@@ -177,9 +178,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 n = np.array(row["doc_lengths"], np.int64)
                 ends = np.cumsum(n)
                 start = row["local_start"] + ends - n
-                data = ids.tobytes()
+                offsets = np.append(0, 4 * ends).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["part"]] * len(n), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(start), pa.array(n), pa.array([data[4 * (e - k) : 4 * e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)], pa.binary())],
+                    [pa.array([row["part"]] * len(n), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(start), pa.array(n), pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])],
                     names=["part", "doc_id", "start", "n_tokens", "ids"],
                 )
 

@@ -33,7 +33,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    both = decode(encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    both = decode(encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, space_starts_match=True), path)
     spelt = F.array_join(F.col("ids").cast("array<string>"), " ")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(spelt.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -1,24 +1,49 @@
-"""A bounded cache for values that follow from their key alone."""
+"""A cache for values that follow from their key alone, bounded in bytes.
+
+A cache belongs to the task that makes it: it dies with the task's iterator, so
+that reused Python workers hold none while they wait.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+#: What a dict entry and the two objects' headers take beside their contents.
+ENTRY_BYTES = 170
+
 
 class Recent(dict):
     """Makes missing values; when full, the values become the older half, which those in use leave again."""
 
-    def __init__(self, make: Callable, most: int):
+    def __init__(self, make: Callable, most_bytes: int, size: Callable = len):
         super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.half, self.size = make, most_bytes // 2, size
+        self.room, self.old = self.half, {}
+
+    def keep(self, keys, values) -> None:
+        self.room -= ENTRY_BYTES * len(keys) + sum(map(len, keys)) + sum(map(self.size, values))
+        if self.room < 0:
+            self.room, self.old = self.half, {}
+            self.old = dict(self)
+            self.clear()
+        self.update(zip(keys, values, strict=True))
 
-    def age(self) -> None:
-        self.old = dict(self)
-        self.clear()
+    def look_up(self, keys: list, make_many: Callable) -> list:
+        """The value of every key; ``make_many`` makes those of the distinct keys not met lately."""
+        found = list(map(self.get, keys))
+        if None in found:
+            missing = list(dict.fromkeys(k for k, x in zip(keys, found, strict=True) if x is None))
+            old = list(map(self.old.get, missing))
+            new = [k for k, x in zip(missing, old, strict=True) if x is None]
+            made = iter(make_many(new) if new else ())
+            values = [next(made) if x is None else x for x in old]
+            self.keep(missing, values)
+            own = dict(zip(missing, values, strict=True))
+            found = [own[k] if x is None else x for k, x in zip(keys, found, strict=True)]
+        return found
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.age()
         found = self.old.get(key)
-        out = self[key] = self.make(key) if found is None else found
+        out = self.make(key) if found is None else found
+        self.keep((key,), (out,))
         return out

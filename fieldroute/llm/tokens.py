@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from string import punctuation
 from unicodedata import is_normalized
 
@@ -16,14 +15,12 @@ from pyspark.sql import functions as F
 from fieldroute.llm.recent import Recent
 from fieldroute.session import ship
 
-CACHED_WORDS = 250_000
 SLICE_ROWS = 256
-
-
-CACHED_CORES = 200_000
+WORDS_BYTES, PARTS_BYTES, MARKS_BYTES = 56 << 20, 24 << 20, 2 << 20
 _LATIN = 0x250
 _MARKS = punctuation.encode()
-_PROBES = ("erer", "Erer.", "THE!!", "leau\u00e9,", "\u00c9t\u00e9", "\u00f1o***", "\u0130x", "a", "z\u00df;")
+_WORD_PROBES = ("erer", "Erer.", "THE!!", "leau\u00e9,", "\u00c9t\u00e9", "\u00f1o***", "\u0130x", "a", "z\u00df;")
+_TEXT_PROBES = (" the cat\n\nsat.  on\tit ", "Of of\x0b the , x 12 3\r\n", "\u00e9t\u00e9 \u00c9 a.b c")
 
 
 def byte_letters() -> list[str]:
@@ -33,97 +30,92 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
 
 
-class WordIds(Recent):
-    """Ids, as bytes of ``dtype``, of the words met lately.
+class WordIds:
+    """Ids, as bytes of ``dtype``, of texts; words met lately are remembered.
 
-    For tokenizers whose pre-tokenizer drops white space, so that no token
-    spans two words: a text's ids are its words' ids one after another. Where probes
-    show that the tokenizer lower-cases and splits letters from marks, a word of
+    Where probes show that the tokenizer drops white space, so that no token spans two
+    words, a text's ids are its words' ids one after another; else texts are encoded whole. Where
+    probes show that it also lower-cases and splits letters from marks, a word of
     letters and trailing ASCII marks is the ids of both parts, and letters
     already met in another case or before other marks are not encoded again.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        super().__init__(lambda w: self._whole([w.decode()])[0], CACHED_WORDS)
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = load(path)
         self.dtype = id_type(self.tokenizer.get_vocab_size(True))
-        self.letters, self.parts = byte_letters(), Recent(self._letters, CACHED_CORES)
-        self.marks = Recent(lambda m: self._whole([m.decode()])[0] if m else b"", CACHED_CORES)
+        self.letters = byte_letters()
+        self.words, self.parts, self.marks = Recent(None, WORDS_BYTES), Recent(None, PARTS_BYTES), Recent(None, MARKS_BYTES)
+        self.by_words, self.by_parts = True, False
+        self.by_words = all(b"".join(self._make([w.encode() for w in t.split()])) == self._whole([t])[0] for t in _TEXT_PROBES)
         try:
-            self.by_parts = all(self._joined(w) in (None, self._whole([w])[0]) for w in _PROBES)
+            self.by_parts = True
+            self.by_parts = all(self._make([w.encode()]) == self._whole([w]) for w in _WORD_PROBES)
         except Exception:  # a model without single-word tokenising
             self.by_parts = False
 
     def _whole(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _letters(self, part: bytes) -> bytes:
-        spelt = part.decode() if part.isascii() else "".join([self.letters[b] for b in part])
-        return array("H" if self.dtype.itemsize == 2 else "I", [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()
-
-    def _joined(self, word: str) -> bytes | None:
-        """Ids by parts; none for words of another shape or of letters beyond Latin."""
-        core = word.rstrip(punctuation)
-        if not core.isalpha():
-            return None
-        if not core.isascii() and (max(core) >= chr(_LATIN) or not is_normalized("NFC", core)):
-            return None
-        small = core.lower()
-        if len(small) != len(core):  # a letter that becomes a letter and a mark
+    def _letters(self, parts: list[bytes]) -> list[bytes]:
+        kind, tokenise = "H" if self.dtype.itemsize == 2 else "I", self.tokenizer.model.tokenize
+        spelt = [p.decode() if p.isascii() else "".join([self.letters[b] for b in p]) for p in parts]
+        return [array(kind, [t.id for t in tokenise(x)]).tobytes() for x in spelt]
+
+    @staticmethod
+    def _shape(word: bytes) -> bytes | None:
+        """The lower-cased letters before the marks; none for words of another shape or of letters beyond Latin."""
+        core = word.rstrip(_MARKS)
+        if core.isalpha():  # ASCII letters
+            return core.lower()
+        letters = core.decode()
+        if not letters.isalpha() or max(letters) >= chr(_LATIN) or not is_normalized("NFC", letters):
             return None
-        return self.parts[small.encode()] + self.marks[word[len(core) :].encode()]
-
-    def _learn_ascii(self, words: list[bytes]) -> list[bytes]:
-        """What ``_joined`` does for ASCII letters and marks, without a pattern; returns the words of another shape."""
-        parts, marks, others = self.parts, self.marks, []
-        for w in words:
-            core = w.rstrip(_MARKS)
-            if core.isalpha():
-                ids = parts[core.lower()]
-                self[w] = ids if len(core) == len(w) else ids + marks[w[len(core) :]]
-            else:
-                others.append(w)
-        return others
-
-    def learn(self, split: list[list[bytes]]) -> None:
-        missing = list(set().union(*split).difference(self.keys()))
-        if len(self) + len(missing) > CACHED_WORDS and self:
-            self.age()
-            missing = list(set().union(*split))
-        if self.old:
-            self.update((w, self.old[w]) for w in missing if w in self.old)
-            missing = [w for w in missing if w not in self.old]
-        if self.by_parts:
-            known = [(w, self._joined(w.decode())) for w in self._learn_ascii(missing)]
-            self.update(x for x in known if x[1] is not None)
-            missing = [w for w, ids in known if ids is None]
-        for words in (missing[i : i + 20_000] for i in range(0, len(missing), 20_000)):
-            self.update(zip(words, self._whole([w.decode() for w in words]), strict=True))
+        small = letters.lower()
+        return small.encode() if len(small) == len(letters) else None  # not so: a letter that becomes a letter and a mark
+
+    def _make(self, words: list[bytes]) -> list[bytes]:
+        shapes = [self._shape(w) for w in words] if self.by_parts else [None] * len(words)
+        parts = iter(self.parts.look_up([x for x in shapes if x is not None], self._letters))
+        tails = [b"" if x is None else w[len(w.rstrip(_MARKS)) :] for w, x in zip(words, shapes, strict=True)]
+        marks = iter(self.marks.look_up([t for t in tails if t], lambda new: self._whole([m.decode() for m in new])))
+        others = iter(self._whole([w.decode() for w, x in zip(words, shapes, strict=True) if x is None]))
+        return [next(others) if x is None else next(parts) + next(marks) if t else next(parts) for x, t in zip(shapes, tails, strict=True)]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        if not self.by_words:
+            return self._whole([(t or b"").decode() for t in texts])
         split = [(t or b"").split() for t in texts]
-        self.learn(split)
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        ids, out, at = self.words.look_up([w for s in split for w in s], self._make), [], 0
+        for n in map(len, split):
+            out.append(b"".join(ids[at : at + n]))
+            at += n
+        return out
 
 
 def id_type(vocabulary: int) -> np.dtype:
     return np.dtype("<u2") if vocabulary <= 1 << 16 else np.dtype("<u4")
 
 
-@lru_cache(1)
-def word_ids(path: str) -> WordIds:
+def load(path: str):
     import os
 
+    from tokenizers import Tokenizer
+
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-    return WordIds(path)
+    return Tokenizer.from_file(path)
 
 
 def vocabulary_size(path: str) -> int:
-    from tokenizers import Tokenizer
+    return load(path).get_vocab_size(True)
+
 
-    return Tokenizer.from_file(path).get_vocab_size(True)
+def flat(column: pa.Array, dtype: np.dtype = np.dtype(np.uint8)) -> tuple[np.ndarray, np.ndarray]:
+    """The contents of a binary column end to end, and the end of each value, in items of ``dtype``."""
+    if not len(column):
+        return np.zeros(0, dtype), np.zeros(0, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return np.frombuffer(data.tobytes(), dtype), (offsets[1:] - offsets[0]) // dtype.itemsize
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,7 +128,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        known, chunk = word_ids(tokenizer_path), TaskContext.get().partitionId()
+        known, chunk = WordIds(tokenizer_path), TaskContext.get().partitionId()
         end = np.array([end_id], known.dtype).tobytes()
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE_ROWS):

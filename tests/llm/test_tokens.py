@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fieldroute.llm.bpe import decode, encode, load
+from fieldroute.llm.bpe import TextEncoder, decode, encode, load
 from fieldroute.llm.huffman import STRIDE, Book, code_lengths, read_tokens, write_tokens
 from fieldroute.llm.packing import Layout, combinations, pack, solve
 from fieldroute.llm.tokens import WordIds
@@ -27,24 +27,46 @@ def reference_encoding():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+_OWN = reference_encoding()
+_ENCODER = TextEncoder(load(RANKS), public_tokenizers.PATTERN, True)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="aeinorst hlé\n1!", max_size=300))
 def test_tree_equals_direct(text):
     bpe = load(RANKS)
     data = text.encode()
     assert bpe.tree(data) == bpe.merge(data)
-    assert bpe.decode(bpe.tree(data)) == data
+    assert bpe.merges([data[:16], data[16:32], b"x"]) == [bpe.merge(data[:16]), bpe.merge(data[16:32]), bpe.merge(b"x")]
+    assert bpe.decode(np.array(bpe.tree(data), np.int32)) == data
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="aebn 1!\n\t'sd\u00a0\x1cé", max_size=30), max_size=4))
+def test_texts_in_parts(texts):
+    """Texts that fall apart at spaces, with white space of all kinds around, are what the pattern gives."""
+    got = _ENCODER.encode(texts)
+    assert [np.frombuffer(x, np.int32).tolist() for x in got] == [_OWN.encode_ordinary(t) for t in texts]
 
 
 def test_bpe_query_rows(spark, sf):
     own = reference_encoding()
     texts = [r.text for r in table(spark, sf, "documents").collect()] + ODD
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: (r.ids, bytes(r.decoded)) for r in decode(encode(docs, RANKS, public_tokenizers.PATTERN), RANKS).collect()}
-    assert got == {i: (own.encode_ordinary(t or ""), (t or "").encode()) for i, t in enumerate(texts)}
+    for parts in (False, True):
+        got = {r.doc_id: (r.ids, bytes(r.decoded)) for r in decode(encode(docs, RANKS, public_tokenizers.PATTERN, space_starts_match=parts), RANKS).collect()}
+        assert got == {i: (own.encode_ordinary(t or ""), (t or "").encode()) for i, t in enumerate(texts)}
     assert encode(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_odd_rows(spark):
+    """Null ids, repeated rows and clashing column names."""
+    docs = spark.createDataFrame([(None, "a b", "x"), (1, "a b", "x"), (1, "a b", "x"), (2, None, "y")], "doc_id long, text string, ids string")
+    got = sorted(((r.doc_id, r.ids, bytes(r.decoded)) for r in decode(encode(docs, RANKS, public_tokenizers.PATTERN, space_starts_match=True), RANKS).collect()), key=repr)
+    ids = _OWN.encode_ordinary("a b")
+    assert got == sorted([(None, ids, b"a b"), (1, ids, b"a b"), (1, ids, b"a b"), (2, [], b"")], key=repr)
+
+
 def whole(texts):
     return [_TOKENIZER.encode(x or "", add_special_tokens=False).ids + [1] for x in texts]
 
