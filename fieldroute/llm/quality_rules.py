@@ -1,20 +1,20 @@
 """Quality rules: base counts and a hashed n-gram log-likelihood ratio, in DataFrame operations only.
 
-The ratio compares two multinomials over hashed word 1- and 2-grams: one of all trusted
-target documents, one of the whole raw corpus without the document itself. A document's
-score is the mean of the log ratios of its n-grams, moved so that a stated quantile of
-the same table's trusted documents, each left out of the target in turn, lies at the threshold.
+The ratio compares two multinomials over hashed word 1- and 2-grams: one of the trusted
+target documents, one of the whole raw corpus. Both are counted over every document, in
+two halves dealt by a hash of the id, and a document is scored by the half it is not in: so its own
+counts never speak for it, however small the table is. The score is the mean log ratio of its
+n-grams, moved so that a stated quantile of the same table's trusted documents lies at the threshold.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldroute.session import cut
 
-#: Spaces between words: space, tab, line feed, vertical tab, form feed, carriage return.
-SPACES = " \t\n\x0b\x0c\r"
+#: Between words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 BUCKETS = 1 << 18
@@ -23,17 +23,13 @@ THRESHOLD = -0.45
 #: Share of trusted documents that would fall below the threshold if they had not been trusted.
 QUANTILE, QUANTILE_ACCURACY = 0.005, 100_000
 SMOOTHING = 0.5
-RUN = "struct<bucket:int,n:double,target:double,raw:double,sum:double,share:double>"
-
-
-def _without(text, chars: str):
-    return F.translate(text, chars, "")
+HALVES = 2
 
 
 def with_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds _text, _words and _hashes (a 64-bit hash of each word)."""
     out = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
-    out = out.withColumn("_words", F.filter(F.split("_text", WORD_SPLIT), lambda w: w != ""))
+    out = out.withColumn("_words", F.array_remove(F.split("_text", WORD_SPLIT), ""))
     return out.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
 
 
@@ -47,8 +43,8 @@ def base_counts(worded: DataFrame) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
     text = F.col("_text")
     out = worded.withColumn("n_words", F.size("_words").cast("long"))
-    out = out.withColumn("word_chars", F.length(_without(text, SPACES)).cast("long"))
-    out = out.withColumn("n_symbols", (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long"))
+    out = out.withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
+    out = out.withColumn("n_symbols", F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("long"))
     out = out.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     out = out.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
 
@@ -74,55 +70,62 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
 
 
+def _half():
+    return F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(HALVES)).cast("int")
+
+
 def gram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, raw, target) for every bucket: n-grams of all documents, and of all trusted ones.
+    """(bucket, half, raw, target) for every bucket and half: n-grams of all documents, and of all trusted ones.
 
     How the ids meet the documents is left to the planner: they are shuffled where they are too many to send around.
     """
     marked = docs.select("doc_id", "text").join(trusted.withColumn("_good", F.lit(1)), "doc_id", "left")
-    grams = with_words(marked).select(F.coalesce("_good", F.lit(0)).alias("good"), F.explode(_buckets(buckets)).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target"))
-    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
-    return cut(every.select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target")), "grams")
+    grams = with_words(marked).select(_half().alias("half"), F.coalesce("_good", F.lit(0)).alias("good"), F.explode(_buckets(buckets)).alias("bucket"))
+    counts = grams.groupBy("bucket", "half").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target"))
+    every = docs.sparkSession.range(buckets * HALVES).select(F.floor(F.col("id") / HALVES).cast("int").alias("bucket"), (F.col("id") % HALVES).cast("int").alias("half"))
+    every = every.join(counts, ["bucket", "half"], "left")
+    return cut(every.select("bucket", "half", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target")), "grams")
 
 
-def with_ratio(worded: DataFrame, counts: DataFrame, buckets: int = BUCKETS, trusted: bool = False) -> DataFrame:
-    """Adds _ratio: the mean log of a document's n-gram counts among the target over those the raw rest leads to expect.
+def ratios(counts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """One row: for each half and bucket (at half * buckets + bucket) the log of what the other half counted in the target over what its raw counts lead to expect.
 
-    The document's own counts are left out of the raw side, and of the target's where it is one of the ``trusted``.
-    So an n-gram that no other document has says nothing, however small the table is.
+    Where the other half has no n-gram or no trusted document at all, every ratio is 0.
     """
-    listed = lambda c: counts.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", c))), lambda x: x[c].cast("double"))).scalar()
-    summed = lambda c: counts.agg(F.sum(c).cast("double")).scalar()
-    out = worded.withColumn("_grams", _buckets(buckets)).withColumn("_n_raw", summed("raw")).withColumn("_n_target", summed("target"))
-    own = F.size("_grams") if trusted else F.lit(0)
-    out = out.withColumn("_share", (F.col("_n_target") - own) / F.greatest(F.col("_n_raw") - F.size("_grams"), F.lit(1.0)))
-    # Each of these columns is named once below, so that the planner puts the arrays into the fold instead of into every row.
-    out = out.withColumn("_target", listed("target")).withColumn("_raw", listed("raw"))
-
-    def ended(run):
-        mine = run["n"] if trusted else F.lit(0.0)
-        expected = (run["raw"] - run["n"]) * run["share"]
-        return run["sum"] + run["n"] * F.log((run["target"] - mine + SMOOTHING) / (expected + SMOOTHING))
-
-    def step(run, bucket):
-        fresh = F.struct(bucket.alias("bucket"), F.lit(1.0).alias("n"), F.get("_target", bucket).alias("target"), F.get("_raw", bucket).alias("raw"), ended(run).alias("sum"), run["share"].alias("share"))
-        longer = F.struct(run["bucket"].alias("bucket"), (run["n"] + 1).alias("n"), run["target"].alias("target"), run["raw"].alias("raw"), run["sum"].alias("sum"), run["share"].alias("share"))
-        return F.when(run["bucket"] == bucket, longer).otherwise(fresh)
-
-    begin = F.struct(F.lit(-1).alias("bucket"), *[F.lit(0.0).alias(c) for c in ("n", "target", "raw", "sum")], F.col("_share").alias("share"))
-    total = F.aggregate(F.sort_array("_grams"), begin.cast(RUN), lambda run, b: step(run, b).cast(RUN), ended)
-    return out.withColumn("_ratio", F.when(F.size("_grams") > 0, total / F.size("_grams")).otherwise(F.lit(0.0)))
-
-
-def shift(docs: DataFrame, trusted: DataFrame, counts: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
-    """One row: what brings the QUANTILE of the trusted documents' own ratios to ``threshold``; 0 without any.
-
-    Each is judged as if it had not been trusted. Documents too short for the base rules are left out. The quantile
-    is a mergeable sketch, exact up to QUANTILE_ACCURACY rows and within 1 / QUANTILE_ACCURACY of the rank beyond.
+    whole = Window.partitionBy("bucket")
+    sums = counts.groupBy("half").agg(F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"))
+    total = sums.agg(F.sum("n_raw").alias("all_raw"), F.sum("n_target").alias("all_target"))
+    other = sums.crossJoin(total).select("half", (F.col("all_raw") - F.col("n_raw")).alias("n_raw"), (F.col("all_target") - F.col("n_target")).alias("n_target"))  # HALVES rows
+    rest = counts.select("bucket", "half", (F.sum("raw").over(whole) - F.col("raw")).alias("raw"), (F.sum("target").over(whole) - F.col("target")).alias("target"))
+    expected = F.col("raw") * F.col("n_target") / F.greatest("n_raw", F.lit(1))
+    ratio = F.log((F.col("target") + SMOOTHING) / (expected + SMOOTHING))
+    named = rest.join(F.broadcast(other), "half").select((F.col("half") * buckets + F.col("bucket")).alias("at"), ratio.cast("float").alias("ratio"))
+    return named.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "ratio"))), lambda x: x["ratio"]).alias("ratios"))
+
+
+def with_ratio(worded: DataFrame, table: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Adds _ratio: the mean of the looked-up log ratios of a document's 1- and 2-grams; 0 without any."""
+    out = worded.withColumn("_ratios", table.scalar()).withColumn("_base", _half() * buckets)
+
+    def looked_up(name):
+        return F.get("_ratios", F.col("_base") + F.pmod(name, F.lit(buckets)).cast("int")).cast("double")
+
+    def both(h, i):
+        after = F.get("_hashes", i + 1)
+        return looked_up(h) + F.when(after.isNull(), 0.0).otherwise(looked_up(F.xxhash64(h, after)))
+
+    total = F.aggregate(F.transform("_hashes", both), F.lit(0.0), lambda a, x: a + x)
+    return out.withColumn("_ratio", F.when(F.size("_hashes") > 0, total / (2 * F.size("_hashes") - 1)).otherwise(F.lit(0.0)))
+
+
+def shift(docs: DataFrame, trusted: DataFrame, table: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+    """One row: what brings the QUANTILE of the trusted documents' ratios to ``threshold``; 0 without any.
+
+    Documents too short for the base rules are left out. The quantile is a mergeable sketch,
+    exact up to QUANTILE_ACCURACY rows and within 1 / QUANTILE_ACCURACY of the rank beyond.
     """
     known = with_words(docs.select("doc_id", "text").join(trusted, "doc_id")).where(F.size("_words") >= MIN_WORDS)
-    found = with_ratio(known, counts, buckets, trusted=True).agg(F.percentile_approx("_ratio", QUANTILE, QUANTILE_ACCURACY).alias("q"))
+    found = with_ratio(known, table, buckets).agg(F.percentile_approx("_ratio", QUANTILE, QUANTILE_ACCURACY).alias("q"))
     return found.select(F.coalesce(F.lit(threshold) - F.col("q"), F.lit(0.0)))
 
 
@@ -131,16 +134,16 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bu
 
     A null text has no words and fails the base rules. A document without
     n-grams has a ratio of 0. Rows are judged one by one: repeated rows and null ids each
-    get their own verdict. Without trusted documents every ratio is 0 and
-    the verdict still defined.
+    get their own verdict. Without trusted documents the shift is 0 and
+    the verdict still defined. Columns named like the added ones are replaced; no other name clashes.
     """
     trusted = trusted_ids(labels)
-    counts = gram_counts(docs, trusted, buckets)
+    table = cut(ratios(gram_counts(docs, trusted, buckets), buckets), "ratios")
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
-    out = base_counts(with_words(docs.drop(*added)))
+    out = base_counts(with_words(docs.select(F.struct(*docs.columns).alias("_in"), "doc_id", "text")))
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    out = with_ratio(out, counts, buckets).withColumn("score", F.col("_ratio") + shift(docs, trusted, counts, threshold, buckets).scalar())
+    out = with_ratio(out, table, buckets).withColumn("score", F.col("_ratio") + shift(docs, trusted, table, threshold, buckets).scalar())
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
     # The verdict leaves through a generator: a filter on it then stays above, instead of being pushed
     # down and spelt out in terms of the text, once for every reference.
-    return out.select(*[c for c in docs.columns if c not in added], F.inline(F.array(F.struct(*added))))
+    return out.select(*[F.col("_in")[c].alias(c) for c in docs.columns if c not in added], F.inline(F.array(F.struct(*added))))

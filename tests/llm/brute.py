@@ -96,3 +96,43 @@ def repeats(rows, n=50):
 
 def crc_ids(ids):
     return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+def likelihood(rows, good, buckets, threshold):
+    """(doc_id, text, score) by plain counting: every document is scored by the half it is not in."""
+    import re
+    import struct
+    from collections import Counter
+    from math import log
+
+    import xxhash
+
+    def grams(text):
+        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        pairs = [xxhash.xxh64_intdigest(struct.pack("<Q", b), xxhash.xxh64_intdigest(struct.pack("<Q", a), 42)) for a, b in zip(h, h[1:])]
+        signed = [x - (1 << 64) if x >> 63 else x for x in h + pairs]
+        return len(h), [x % buckets for x in signed]
+
+    def half(doc):
+        seed = 42 if doc is None else xxhash.xxh64_intdigest(struct.pack("<q", doc), 42)
+        x = xxhash.xxh64_intdigest(struct.pack("<i", 7), seed)
+        return (x - (1 << 64) if x >> 63 else x) % 2
+
+    raw, target, known = [Counter(), Counter()], [Counter(), Counter()], []
+    for doc, text in rows:
+        n, found = grams(text)
+        known.append((doc, text, n, found))
+        raw[half(doc)].update(found)
+        if doc in good:
+            target[half(doc)].update(found)
+    out, trusted = [], []
+    for doc, text, n, found in known:
+        r, t = raw[1 - half(doc)], target[1 - half(doc)]
+        share = sum(t.values()) / max(sum(r.values()), 1)
+        ratio = sum(log((t[g] + 0.5) / (r[g] * share + 0.5)) for g in found) / len(found) if found else 0.0
+        out.append((doc, text, ratio))
+        if doc in good and n >= 50:
+            trusted.append(ratio)
+    trusted.sort()
+    move = threshold - trusted[max(0, -(-len(trusted) * 5 // 1000) - 1)] if trusted else 0.0
+    return [(d, t, x + move) for d, t, x in out]

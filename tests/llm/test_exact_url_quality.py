@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldroute.llm.exact_dedup import drop_exact_copies, exact_groups
-from fieldroute.llm.quality_rules import base_counts, gram_counts, quality, trusted_ids, with_ratio, with_words
+from fieldroute.llm.quality_rules import base_counts, gram_counts, quality, ratios, trusted_ids, with_ratio, with_words
 from fieldroute.llm.queries import URL_RULES
 from fieldroute.llm.url_filter import judge_urls, rules_frame
 from fieldroute.session import table
@@ -98,7 +98,25 @@ def test_quality_counts_every_trusted_document(spark):
 def test_own_counts_say_nothing(spark):
     """A text whose words no other document has is neither good nor bad, and its repeats do not change that."""
     odd = " ".join(f"q{i % 40}" for i in range(120))
-    docs = spark.createDataFrame([(1, "a b c d " * 30), (2, "a b c d " * 30), (3, odd)], "doc_id long, text string")
-    counts = gram_counts(docs, docs.where("doc_id = 1").select("doc_id"), 1 << 16)
-    got = {r.doc_id: r._ratio for r in with_ratio(with_words(docs), counts, 1 << 16).collect()}
-    assert abs(got[3]) < 1e-9 and got[2] != 0
+    docs = spark.createDataFrame([(i, ("a b c d " if i < 40 else "u v w x ") * 30) for i in range(80)] + [(99, odd)], "doc_id long, text string")
+    counts = gram_counts(docs, docs.where("doc_id < 20").select("doc_id"), 1 << 16)
+    got = {r.doc_id: r._ratio for r in with_ratio(with_words(docs), ratios(counts, 1 << 16), 1 << 16).collect()}
+    assert abs(got[99]) < 1e-9 and got[8] > 0.1 and got[70] < -0.1
+
+
+@pytest.mark.parametrize("threshold", [-0.45, 0.1])
+def test_score_and_verdict_by_brute_force(spark, sf, threshold):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(None, "a b c"), (None, None), (7, "again " * 60)]
+    good = {r.doc_id for r in labels.collect() if r.quality == 1 and r.doc_id is not None}
+    want = brute.likelihood(rows, good, 1 << 12, threshold)
+    frame = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], "doc_id long, text string, score string, _words string")
+    got = quality(frame, labels, threshold, 1 << 12)
+    assert got.columns[:3] == ["doc_id", "text", "_words"] and got.where("_words = 'y'").count() == len(rows)
+    key = lambda d, t: (d is None, d or 0, t or "")
+    found = sorted(((r.doc_id, r.text, r.score, r.kept) for r in got.collect()), key=lambda r: key(r[0], r[1]))
+    assert len(found) == len(want)
+    for (d, t, score, kept), (e, u, expected) in zip(found, sorted(want, key=lambda r: key(r[0], r[1])), strict=True):
+        assert (d, t) == (e, u) and abs(score - expected) < 1e-4
+        if abs(expected - threshold) > 1e-4:
+            assert kept == (not brute.base(t)[5] and expected >= threshold)
