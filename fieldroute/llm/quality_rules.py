@@ -24,6 +24,8 @@ THRESHOLD = -0.45
 QUANTILE, QUANTILE_ACCURACY = 0.005, 100_000
 SMOOTHING = 0.5
 HALVES = 2
+#: Up to this many trusted ids, some 100 MB, are sent to every executor.
+BROADCAST_IDS = 4_000_000
 
 
 def with_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -48,21 +50,37 @@ def base_counts(worded: DataFrame) -> DataFrame:
     out = out.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     out = out.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
 
-    # Windows of three words: hashes show whether any is repeated at all; only then are the words themselves sorted.
+    # Windows of three words. Their hashes show whether any is repeated at all; only then are hashes with their places in
+    # the low bits sorted, and only windows whose hash is met again are spelt out and compared.
     out = out.withColumn("_tri", _windows("_hashes", 3, lambda h, i: F.xxhash64(h, F.get("_hashes", i + 1), F.get("_hashes", i + 2))))
-    out = out.withColumn("_repeats", F.size(F.array_distinct("_tri")) < F.size("_tri"))
-    spelt = _windows("_words", 3, lambda w, i: F.struct(F.concat_ws(" ", w, F.get("_words", i + 1), F.get("_words", i + 2)).alias("g"), i.alias("p")))
-    out = out.withColumn("_sorted", F.when(F.col("_repeats"), F.sort_array(spelt)))
+    out = out.withColumn("_bits", F.length(F.bin(F.size("_tri"))))
+    placed = F.transform("_tri", lambda h, i: F.call_function("shiftleft", h, F.col("_bits")).bitwiseOR(i.cast("long")))
+    out = out.withColumn("_keys", F.when(F.size(F.array_distinct("_tri")) < F.size("_tri"), F.sort_array(placed)))
+    head = lambda k: F.call_function("shiftright", k, F.col("_bits"))
+    alike = F.filter("_keys", lambda k, j: F.coalesce(F.when(j > 0, head(F.get("_keys", j - 1))) == head(k), F.lit(False)) | F.coalesce(head(F.get("_keys", j + 1)) == head(k), F.lit(False)))
+    place = lambda k: k.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bits")) - 1).cast("int")
+    out = out.withColumn("_places", F.transform(alike, place))
+    spelt = F.transform("_places", lambda p: F.struct(F.concat_ws(" ", F.get("_words", p), F.get("_words", p + 1), F.get("_words", p + 2)).alias("g"), p.alias("p")))
+    out = out.withColumn("_sorted", F.sort_array(spelt))
     out = out.withColumn("_at", F.sort_array(F.transform(F.filter("_sorted", lambda x, i: F.coalesce(F.when(i > 0, F.get("_sorted", i - 1)["g"]) == x["g"], F.lit(False)) | F.coalesce(F.get("_sorted", i + 1)["g"] == x["g"], F.lit(False))), lambda x: x["p"])))
     steps = F.transform("_at", lambda p, i: F.when(i == 0, 3).otherwise(F.least(F.lit(3), p - F.coalesce(F.get("_at", F.greatest(i - 1, F.lit(0))), F.lit(0)))))
     out = out.withColumn("n_repeat_words", F.coalesce(F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long")))
-    return out.drop("_lines", "_tri", "_repeats", "_sorted", "_at")
+    return out.drop("_lines", "_tri", "_bits", "_keys", "_places", "_sorted", "_at")
+
+
+def _uni(h, buckets: int):
+    """Bucket of a word; ``buckets`` is a power of two."""
+    return h.bitwiseAND(F.lit(buckets - 1)).cast("int")
+
+
+def _bi(h, after, buckets: int):
+    """Bucket of two words, null without the second: other bits of its hash tell it from the first."""
+    return _uni(h.bitwiseXOR(F.shiftright(after, 20)), buckets)
 
 
 def _buckets(buckets: int):
-    uni = F.transform("_hashes", lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
-    bi = _windows("_hashes", 2, lambda h, i: F.pmod(F.xxhash64(h, F.get("_hashes", i + 1)), F.lit(buckets)).cast("int"))
-    return F.concat(uni, bi)
+    uni = F.transform("_hashes", lambda h: _uni(h, buckets))
+    return F.concat(uni, _windows("_hashes", 2, lambda h, i: _bi(h, F.get("_hashes", i + 1), buckets)))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -70,16 +88,19 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
 
 
+def with_trusted(docs: DataFrame, trusted: DataFrame, how: str) -> DataFrame:
+    """Documents joined to the trusted ids. These are sent around up to BROADCAST_IDS of them; beyond, both sides are shuffled."""
+    few = trusted.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(trusted) if few else trusted, "doc_id", how)
+
+
 def _half():
     return F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(HALVES)).cast("int")
 
 
 def gram_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, half, raw, target) for every bucket and half: n-grams of all documents, and of all trusted ones.
-
-    How the ids meet the documents is left to the planner: they are shuffled where they are too many to send around.
-    """
-    marked = docs.select("doc_id", "text").join(trusted.withColumn("_good", F.lit(1)), "doc_id", "left")
+    """(bucket, half, raw, target) for every bucket and half: n-grams of all documents, and of all trusted ones."""
+    marked = with_trusted(docs.select("doc_id", "text"), trusted.withColumn("_good", F.lit(1)), "left")
     grams = with_words(marked).select(_half().alias("half"), F.coalesce("_good", F.lit(0)).alias("good"), F.explode(_buckets(buckets)).alias("bucket"))
     counts = grams.groupBy("bucket", "half").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target"))
     every = docs.sparkSession.range(buckets * HALVES).select(F.floor(F.col("id") / HALVES).cast("int").alias("bucket"), (F.col("id") % HALVES).cast("int").alias("half"))
@@ -107,12 +128,9 @@ def with_ratio(worded: DataFrame, table: DataFrame, buckets: int = BUCKETS) -> D
     """Adds _ratio: the mean of the looked-up log ratios of a document's 1- and 2-grams; 0 without any."""
     out = worded.withColumn("_ratios", table.scalar()).withColumn("_base", _half() * buckets)
 
-    def looked_up(name):
-        return F.get("_ratios", F.col("_base") + F.pmod(name, F.lit(buckets)).cast("int")).cast("double")
-
     def both(h, i):
-        after = F.get("_hashes", i + 1)
-        return looked_up(h) + F.when(after.isNull(), 0.0).otherwise(looked_up(F.xxhash64(h, after)))
+        one, two = (F.get("_ratios", F.col("_base") + b).cast("double") for b in (_uni(h, buckets), _bi(h, F.get("_hashes", i + 1), buckets)))
+        return one + F.coalesce(two, F.lit(0.0))
 
     total = F.aggregate(F.transform("_hashes", both), F.lit(0.0), lambda a, x: a + x)
     return out.withColumn("_ratio", F.when(F.size("_hashes") > 0, total / (2 * F.size("_hashes") - 1)).otherwise(F.lit(0.0)))
@@ -124,7 +142,7 @@ def shift(docs: DataFrame, trusted: DataFrame, table: DataFrame, threshold: floa
     Documents too short for the base rules are left out. The quantile is a mergeable sketch,
     exact up to QUANTILE_ACCURACY rows and within 1 / QUANTILE_ACCURACY of the rank beyond.
     """
-    known = with_words(docs.select("doc_id", "text").join(trusted, "doc_id")).where(F.size("_words") >= MIN_WORDS)
+    known = with_words(with_trusted(docs.select("doc_id", "text"), trusted, "inner")).where(F.size("_words") >= MIN_WORDS)
     found = with_ratio(known, table, buckets).agg(F.percentile_approx("_ratio", QUANTILE, QUANTILE_ACCURACY).alias("q"))
     return found.select(F.coalesce(F.lit(threshold) - F.col("q"), F.lit(0.0)))
 
@@ -137,7 +155,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bu
     get their own verdict. Without trusted documents the shift is 0 and
     the verdict still defined. Columns named like the added ones are replaced; no other name clashes.
     """
-    trusted = trusted_ids(labels)
+    trusted = cut(trusted_ids(labels), "trusted")
     table = cut(ratios(gram_counts(docs, trusted, buckets), buckets), "ratios")
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
     out = base_counts(with_words(docs.select(F.struct(*docs.columns).alias("_in"), "doc_id", "text")))

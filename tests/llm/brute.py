@@ -109,9 +109,7 @@ def likelihood(rows, good, buckets, threshold):
 
     def grams(text):
         h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
-        pairs = [xxhash.xxh64_intdigest(struct.pack("<Q", b), xxhash.xxh64_intdigest(struct.pack("<Q", a), 42)) for a, b in zip(h, h[1:])]
-        signed = [x - (1 << 64) if x >> 63 else x for x in h + pairs]
-        return len(h), [x % buckets for x in signed]
+        return len(h), [x % buckets for x in h] + [(a ^ (b >> 20)) % buckets for a, b in zip(h, h[1:])]
 
     def half(doc):
         seed = 42 if doc is None else xxhash.xxh64_intdigest(struct.pack("<q", doc), 42)

@@ -53,7 +53,7 @@ def test_deeply_nested_rules(spark):
 
 def test_base_counts(spark, sf):
     texts = [r.text for r in table(spark, sf, "documents").collect()]
-    texts += [None, "", " \n\t", "a a a a", "a b c a b c", "a b c\n\na b c\n \nx", "a\u00a0b # <>\x0bq", "x y z " * 500, "a b c d a b c e b c d"]
+    texts += [None, "", " \n\t", "a a a a", "a b c a b c", "a b c\n\na b c\n \nx", "a\u00a0b # <>\x0bq", "x y z " * 500, "a b c d a b c e b c d", "q r s " + " ".join(f"w{i}" for i in range(9000)) + " q r s w1 w2 w3 w4"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     cols = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     got = {r.doc_id: tuple(r[c] for c in cols) for r in base_counts(with_words(docs)).collect()}
