@@ -213,7 +213,7 @@ class TextEncoder:
 
         self.bpe, self.splits = bpe, space_starts_match
         self.find = regex.compile(pattern).findall
-        self.pieces, self.parts = Recent(None, PIECES_BYTES), Recent(None, PARTS_BYTES)
+        self.pieces, self.parts = Recent(PIECES_BYTES), Recent(PARTS_BYTES)
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         return [array("i", ids).tobytes() for ids in self.bpe.encode([p.encode() for p in pieces])]

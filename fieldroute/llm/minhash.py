@@ -1,7 +1,7 @@
 """Near-duplicate detection by b-bit MinHash.
 
 Every text becomes 384 minima over its distinct five-word shingles. Bands of
-five full minima give candidates; the low four bits of all minima, packed in
+five full minima give candidates; four mixed bits of all minima, packed in
 24 longs, give a collision-corrected similarity by bit counts; what passes is
 confirmed on the full shingle sets.
 
@@ -16,7 +16,6 @@ leave a cell, each once.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ BAND_ROWS, BANDS = 5, 38
 LEAST_PERCENT = 75
 BLOCK_ROWS = 512
 STAR_TURNS = 2
-CACHED_WORDS = 300_000
+WORDS_BYTES = 48 << 20
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _RNG = np.random.default_rng(20_24)
@@ -52,19 +51,22 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-@lru_cache(1)
-def _hashes() -> Recent:
+def word_names() -> Recent:
+    """64-bit names of words, for one task."""
+    return Recent(WORDS_BYTES, lambda _: 32)
+
+
+def _named(words: list[bytes]) -> list[int]:
     import xxhash
 
-    return Recent(xxhash.xxh3_64_intdigest, CACHED_WORDS)
+    return list(map(xxhash.xxh3_64_intdigest, words))
 
 
-def shingles(words: list[bytes], n: int = SHINGLE) -> np.ndarray:
+def shingles(words: list[bytes], known: Recent, n: int = SHINGLE) -> np.ndarray:
     """Distinct 64-bit names of the n-word shingles; of the whole sequence if it is shorter; none without words."""
     if not words:
         return np.zeros(0, np.uint64)
-    known = _hashes()
-    h = np.fromiter([known[w] for w in words], np.uint64, len(words))
+    h = np.array(known.look_up(words, _named), np.uint64)
     width = min(n, len(words))
     out = np.full(len(words) - width + 1, width, np.uint64)
     for i in range(width):
@@ -89,20 +91,22 @@ def _bands(least: np.ndarray) -> np.ndarray:
 
 
 def _packed(least: np.ndarray) -> np.ndarray:
-    lanes = (least & np.uint32(15)).astype(np.uint64).reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
+    # All bits of a minimum go into the four kept: its own low bits follow from the shingle's low bits alone.
+    lanes = ((least * np.uint32(0x9E3779B1)) >> np.uint32(28)).astype(np.uint64).reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))
     return np.bitwise_or.reduce(lanes, 1).view(np.int64)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import hashlib
 
+    known = word_names()
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
             n, group, sig, bands = [], [], [], []
             for text in part.column(1).to_pylist():
                 words = (text or b"").lower().split()  # bytes.lower changes A-Z only, bytes.split knows the six spaces only
-                names = shingles(words)
+                names = shingles(words, known)
                 n.append(len(names))
                 if len(names):
                     least = minima(names)
@@ -129,11 +133,11 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sign_finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
-    unzip = zstandard.ZstdDecompressor().decompress
+    unzip, known = zstandard.ZstdDecompressor().decompress, word_names()
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
-            fine = [_packed(minima(shingles(unzip(w).split()), _FINE_A, _FINE_B)) for w in part.column(1).to_pylist()]
+            fine = [_packed(minima(shingles(unzip(w).split(), known), _FINE_A, _FINE_B)) for w in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fine, pa.list_(pa.int64()))], names=["node", "fine"])
 
 
@@ -141,7 +145,7 @@ def _confirm(least_percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        unzip = zstandard.ZstdDecompressor().decompress
+        unzip, known = zstandard.ZstdDecompressor().decompress, word_names()
         last, own = None, None
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
@@ -149,8 +153,8 @@ def _confirm(least_percent: int):
                 keep = []
                 for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     if a != last:
-                        last, own = a, shingles(unzip(a).split())
-                    other = shingles(unzip(b).split())
+                        last, own = a, shingles(unzip(a).split(), known)
+                    other = shingles(unzip(b).split(), known)
                     both = len(np.intersect1d(own, other, assume_unique=True))
                     keep.append(100 * both >= least_percent * (len(own) + len(other) - both))
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(keep)), part.column(1).filter(pa.array(keep))], names=["a", "b"])

@@ -13,11 +13,11 @@ ENTRY_BYTES = 170
 
 
 class Recent(dict):
-    """Makes missing values; when full, the values become the older half, which those in use leave again."""
+    """When full, the values become the older half, which those in use leave again."""
 
-    def __init__(self, make: Callable, most_bytes: int, size: Callable = len):
+    def __init__(self, most_bytes: int, size: Callable = len):
         super().__init__()
-        self.make, self.half, self.size = make, most_bytes // 2, size
+        self.half, self.size = most_bytes // 2, size
         self.room, self.old = self.half, {}
 
     def keep(self, keys, values) -> None:
@@ -41,9 +41,3 @@ class Recent(dict):
             own = dict(zip(missing, values, strict=True))
             found = [own[k] if x is None else x for k, x in zip(keys, found, strict=True)]
         return found
-
-    def __missing__(self, key):
-        found = self.old.get(key)
-        out = self.make(key) if found is None else found
-        self.keep((key,), (out,))
-        return out

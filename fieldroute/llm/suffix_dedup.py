@@ -17,7 +17,8 @@ suffixes that can still be repeated:
 
 Names (64-bit) only choose candidates; what is removed rests on exact ranks.
 Documents travel in batches dealt by doc_id; within a batch equal windows
-are sent once, so a hot passage counts once a batch. A whole text that a smaller
+are sent once, so a hot passage counts once a batch. The windows of a name met in many
+batches are dealt by their own content, so its many contexts never meet in one group. A whole text that a smaller
 document repeats is found by its hash beforehand and takes no part.
 """
 
@@ -35,7 +36,12 @@ from fieldroute.session import ship, shuffle_width
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
 BATCH_BYTES, BUCKET_BYTES = 4 << 20, 64 << 20
+PIECE = 1 << 18
+#: Names met in more batches than this are hot: their windows are dealt one by one, by their own content.
+HOT_BATCHES = 48
+SALTS = 16
 LOW = np.uint64((1 << 39) - 1)
+HOT = np.uint64(1 << 39)
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 NOTES = "batch int, tag int, number int, body binary, more binary"
@@ -57,6 +63,18 @@ def eights(data: np.ndarray) -> np.ndarray:
     return a
 
 
+def sampled(data: np.ndarray, begin: int) -> np.ndarray:
+    """For each 50-byte window the least name of its 24-byte prefixes, with that prefix's place, modulo 64, in the low bits."""
+    f = eights(data)
+    least = _mix(_mix(f[:-16], f[8:-8]), f[16:])
+    least = (least & ~np.uint64(63)) | (np.arange(begin, begin + len(least), dtype=np.uint64) & np.uint64(63))
+    n, step = len(least) - SPAN + 1, 1
+    while 2 * step <= SPAN:
+        least = np.minimum(least[:-step], least[step:])
+        step *= 2
+    return np.minimum(least[:n], least[SPAN - step : SPAN - step + n])
+
+
 class Batch:
     """The texts of one batch end to end, ordered by id, and the sampled suffixes of their windows."""
 
@@ -83,25 +101,22 @@ class Batch:
         self.name, self.doc = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if n < LENGTH:
             return
-        f = eights(np.frombuffer(self.data, np.uint8))
-        least = _mix(_mix(f[:-16], f[8:-8]), f[16:])
-        at = np.arange(len(least), dtype=np.uint64)
-        least = (least & ~np.uint64(63)) | (at & np.uint64(63))  # the place rides along, modulo 64
-        step = 1
-        while 2 * step <= SPAN:
-            least = np.minimum(least[:-step], least[step:])
-            step *= 2
-        least = np.minimum(least[: n - LENGTH + 1], least[SPAN - step : SPAN - step + n - LENGTH + 1])
-        window = np.arange(len(least), dtype=np.uint64)
-        anchor = window + ((least - window) & np.uint64(63))
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        valid = owner[: len(least)] == owner[LENGTH - 1 :]
-        new = valid.copy()
-        new[1:] &= (anchor[1:] != anchor[:-1]) | ~valid[:-1]
-        last = valid.copy()
-        last[:-1] &= (anchor[1:] != anchor[:-1]) | ~valid[1:]
-        self.lo, self.hi = np.flatnonzero(new), np.flatnonzero(last)
-        self.name, self.doc = least[self.lo] >> np.uint64(6), owner[self.lo]
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        data, found = np.frombuffer(self.data, np.uint8), []
+        # Piece by piece, so that a few numbers a byte exist for one piece only; a segment that a piece's end cuts is two.
+        for begin in range(0, n - LENGTH + 1, PIECE):
+            windows = min(PIECE, n - LENGTH + 1 - begin)
+            least = sampled(data[begin : begin + windows + LENGTH - 1], begin)
+            window = np.arange(begin, begin + windows, dtype=np.uint64)
+            anchor = window + ((least - window) & np.uint64(63))
+            own = owner[begin : begin + windows]
+            valid = own == owner[begin + LENGTH - 1 : begin + LENGTH - 1 + windows]
+            new, last = valid.copy(), valid.copy()
+            new[1:] &= (anchor[1:] != anchor[:-1]) | ~valid[:-1]
+            last[:-1] &= (anchor[1:] != anchor[:-1]) | ~valid[1:]
+            lo = np.flatnonzero(new)
+            found.append((lo + begin, np.flatnonzero(last) + begin, least[lo] >> np.uint64(6), own[lo].astype(np.int64)))
+        self.lo, self.hi, self.name, self.doc = (np.concatenate(x) for x in zip(*found, strict=True))
 
     def doc_ids(self) -> np.ndarray:
         return np.array([self.ids[i] for i in self.rows], np.int64)
@@ -110,9 +125,28 @@ class Batch:
         own = np.sort(np.concatenate([np.zeros(0, np.uint64)] + [_wide(b) | np.uint64(n << 40) for tag, n, b in zip(notes.column("tag").to_pylist(), notes.column("number").to_pylist(), notes.column("body").to_pylist(), strict=True) if tag == SHARED]))
         bucket, low = _place(self.name, buckets)
         code = (bucket.astype(np.uint64) << np.uint64(40)) | low
-        k = np.searchsorted(own, code)
-        shared = np.zeros(len(code), bool) if not len(own) else own[np.minimum(k, len(own) - 1)] == code
-        self.lo, self.hi, self.name, self.doc = self.lo[shared], self.hi[shared], self.name[shared], self.doc[shared]
+        plain, hot = own[own & HOT == 0], own[own & HOT > 0] & ~HOT
+        shared, spread = _among(code, plain), _among(code, hot)
+        cool = tuple(x[shared] for x in (self.lo, self.hi, self.name, self.doc))
+        # A hot name's windows become segments of their own, named by their whole content: equal ones still
+        # meet, while the many different contexts of a common passage lie in different buckets.
+        lo, hi, doc = self.lo[spread], self.hi[spread], self.doc[spread]
+        many = hi - lo + 1
+        at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        alone = (at, at, self._content(at), np.repeat(doc, many))
+        self.lo, self.hi, self.name, self.doc = (np.concatenate([a, b]) for a, b in zip(cool, alone, strict=True))
+        order = np.argsort(self.doc, kind="stable")
+        self.lo, self.hi, self.name, self.doc = self.lo[order], self.hi[order], self.name[order], self.doc[order]
+
+    def _content(self, at: np.ndarray) -> np.ndarray:
+        """Names, of 58 bits like the sampled ones, of whole windows."""
+        data, out = np.frombuffer(self.data, np.uint8), np.zeros(len(at), np.uint64)
+        for i in range(0, len(at), PIECE):
+            part, name = at[i : i + PIECE], np.zeros(len(at[i : i + PIECE]), np.uint64)
+            for offset in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+                name = _mix(name, eights(data[part[:, None] + (offset + np.arange(8))].reshape(-1))[::8])
+            out[i : i + PIECE] = name >> np.uint64(6)
+        return out
 
     def contexts(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Distinct window runs, first segment of each, and each segment's run; documents ascend, so the first has the smallest id."""
@@ -123,6 +157,11 @@ class Batch:
         return list(seen), first, runs
 
 
+def _among(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which codes are in the sorted array."""
+    return np.zeros(len(codes), bool) if not len(known) else known[np.minimum(np.searchsorted(known, codes), len(known) - 1)] == codes
+
+
 def _place(names: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return ((names >> np.uint64(39)) % np.uint64(buckets)).astype(np.int64), names & LOW
 
@@ -166,7 +205,7 @@ def rank_windows(data: bytes, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_batches: int = HOT_BATCHES) -> DataFrame:
     """Every input column but the text, then n_bytes, n_removed, n_spans and kept_bytes.
 
     A byte goes when a 50-byte string covers it that also starts in a document with a
@@ -186,7 +225,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Whole texts that a smaller document repeats.
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("d"), F.sha2(raw, 256).alias("sha"), F.xxhash64(raw).alias("h"), batch.alias("batch"))
     firsts = named.groupBy("sha").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last")
-    copies = named.join(firsts, "sha").where("d > first").select("batch", "d", "h")
+    # A text with very many copies is spread by the copies' ids.
+    named, firsts = named.withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(SALTS)).cast("int")), firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = named.join(firsts, ["sha", "salt"]).where("d > first").select("batch", "d", "h")
 
     def copy_notes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -233,6 +274,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         count = np.diff(np.r_[first, len(low)])
         keep = np.repeat((count > 1) | np.logical_or.reduceat(many, first), count)
         bucket = table.column("number")[0].as_py()
+        hot = np.repeat(count > hot_batches, count)
+        low = low | np.where(hot, HOT, np.uint64(0))
         low, of = low[keep], of[keep]
         return _notes([(numbers[k], SHARED, bucket, _narrow(low[part]), None) for k, part in _by(of)])
 

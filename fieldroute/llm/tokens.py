@@ -44,7 +44,7 @@ class WordIds:
         self.tokenizer = load(path)
         self.dtype = id_type(self.tokenizer.get_vocab_size(True))
         self.letters = byte_letters()
-        self.words, self.parts, self.marks = Recent(None, WORDS_BYTES), Recent(None, PARTS_BYTES), Recent(None, MARKS_BYTES)
+        self.words, self.parts, self.marks = Recent(WORDS_BYTES), Recent(PARTS_BYTES), Recent(MARKS_BYTES)
         self.by_words, self.by_parts = True, False
         self.by_words = all(b"".join(self._make([w.encode() for w in t.split()])) == self._whole([t])[0] for t in _TEXT_PROBES)
         try:

@@ -27,7 +27,7 @@ TRAIN_ROWS = 8_000
 STEPS, RATE, SHRINK = 120, 0.5, 2e-5
 BIAS = -5.0
 OFFENDS = 0.5
-CACHED_WORDS = 200_000
+WORDS_BYTES = 48 << 20
 _EDGES = b".,;:!?\"'()|*#$%&<>"
 
 
@@ -71,12 +71,13 @@ def fit(texts: list[bytes], y: np.ndarray) -> Model:
     """Adagrad on the noisy-or likelihood, in plain arrays of (sentence, feature) pairs."""
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(DIMENSIONS, np.float32), BIAS)
-    known = Recent(lambda w: (features(w), w[-1:] in (b".", b"!", b"?")), CACHED_WORDS)
+    known = Recent(WORDS_BYTES, lambda _: 160)
+    told = lambda words: [(features(w), w[-1:] in (b".", b"!", b"?")) for w in words]
     at, feature, doc_of = [], [], []
     n = 0
     for d, text in enumerate(texts):
         fresh = True
-        for found, ends in (known[w] for w in split_words(text)):
+        for found, ends in known.look_up(split_words(text), told):
             if fresh:
                 doc_of.append(d)
                 n += 1
@@ -127,14 +128,14 @@ def score(docs: DataFrame, model: Model, with_sentences: bool = False, id_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
-        known = Recent(Model(weights, bias).word, CACHED_WORDS)
+        known, model = Recent(WORDS_BYTES, lambda _: 96), Model(weights, bias)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 scores, found = [], []
                 for text in part.column(2).to_pylist():
                     words = split_words(text or b"")
-                    p, first = sentence_scores([known[w] for w in words], bias)
+                    p, first = sentence_scores(known.look_up(words, lambda new: list(map(model.word, new))), bias)
                     scores.append(float(noisy_or(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0)
                     if with_sentences:
                         size = np.diff(np.r_[first, len(words)])

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from fieldroute.llm.components import components
-from fieldroute.llm.minhash import drop_near_copies, least_matches, matches, minima, _packed, near_groups, shingles
+from fieldroute.llm.minhash import drop_near_copies, least_matches, matches, minima, _packed, near_groups, shingles, word_names
 from fieldroute.session import table
 
 from . import brute
@@ -50,10 +50,38 @@ def test_repeated_and_null_ids(spark):
     assert got == [("1", 1, True), ("1", 1, True), ("2", 1, False), ("None", None, True)]
 
 
+def mixed(least):
+    return (least * np.uint32(0x9E3779B1)) >> np.uint32(28)
+
+
+def test_small_sets_differ_in_their_bits():
+    """Different minima of short texts agree in their four bits about once in sixteen lanes, so the corrected bound holds there too."""
+    same = total = 0
+    for k in range(60):
+        a, b = (minima(shingles([b"%d" % i for i in range(1000 * k + j, 1000 * k + j + 8)], word_names())) for j in (0, 500))
+        same, total = same + int(np.sum(mixed(a) == mixed(b))), total + len(a)
+    assert 0.04 < same / total < 0.09
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs just at and just below 0.75, of short and long texts: all of the first are linked, none of the second."""
+    rng, rows, linked = random.Random(8), [], []
+    for k in range(400):
+        shingle_count = rng.choice([8, 16, 40, 120, 400])
+        shared = -(-6 * shingle_count // 7)  # n + n - s in the union: s / (2n - s) >= 0.75 from s = 6n/7 on
+        shared -= k % 2
+        base = [f"a{k}x{i}" for i in range(2 * shingle_count + 8)]
+        first, second = base[: shingle_count + 4], base[shingle_count - shared : 2 * shingle_count - shared + 4]
+        rows += [(2 * k, " ".join(first)), (2 * k + 1, " ".join(second))]
+        linked.append(4 * shared >= 3 * (2 * shingle_count - shared))
+    got = as_dict(near_groups(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[2 * k + 1][1] == 2 * k for k in range(400)] == linked and 150 < sum(linked) < 250
+
+
 def test_bit_counts(spark):
-    a, b = (minima(shingles([b"%d" % i for i in range(k, k + 300)])) for k in (0, 40))
+    a, b = (minima(shingles([b"%d" % i for i in range(k, k + 300)], word_names())) for k in (0, 40))
     df = spark.createDataFrame([(_packed(a).tolist(), _packed(b).tolist())], "x array<long>, y array<long>")
-    assert df.select(matches("x", "y")).first()[0] == int(((a & 15) == (b & 15)).sum())
+    assert df.select(matches("x", "y")).first()[0] == int(np.sum(mixed(a) == mixed(b)))
     assert 0.65 * 384 < least_matches() < 0.766 * 384
 
 

@@ -29,10 +29,19 @@ def odd_rows(seed):
     return list(zip(rng.sample(range(-500, 500), len(out)), out))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_odd_rows(spark, seed):
+@pytest.mark.parametrize("seed,hot", [(1, 48), (2, 1), (3, 0)])
+def test_odd_rows(spark, seed, hot):
     rows = odd_rows(seed)
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, n_bytes int").repartition(3)
+    assert as_dict(remove_repeats(docs, hot_batches=hot)) == brute.repeats(rows)
+
+
+def test_very_long_texts(spark):
+    """Texts of several pieces and batches, of which parts repeat."""
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(120_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[60_000:61_000])), (3, "own " + " ".join(words[:50_000]) + " end"), (4, "z" * 600_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert as_dict(remove_repeats(docs)) == brute.repeats(rows)
 
 
