@@ -53,7 +53,7 @@ TIMELINE = "struct<clock:double,ate:boolean,rows:array<struct<start:double,end:d
 
 
 def timeline(jobs):
-    """Start and end minute of each job (struct of km from the one before and minutes of work): one lunch, when an arrival falls in its window."""
+    """Start and end minute of each job (struct of km from the one before and minutes of work): one lunch, when an arrival or the end of a job falls in its window."""
     begin = F.struct(F.lit(float(DAY_START)).alias("clock"), F.lit(False).alias("ate"), F.array().cast("array<struct<start:double,end:double,lunch:boolean>>").alias("rows")).cast(TIMELINE)
 
     def step(state, job):
@@ -61,7 +61,9 @@ def timeline(jobs):
         lunch = ~state["ate"] & (arrival >= LUNCH_FROM) & (arrival <= LUNCH_TO)
         start = arrival + F.when(lunch, float(LUNCH)).otherwise(0.0)
         end = start + job["minutes"]
-        return F.struct(end.alias("clock"), (state["ate"] | lunch).alias("ate"), F.array_append(state["rows"], F.struct(start.alias("start"), end.alias("end"), lunch.alias("lunch"))).alias("rows")).cast(TIMELINE)
+        after = ~state["ate"] & ~lunch & (end >= LUNCH_FROM) & (end <= LUNCH_TO)
+        clock = end + F.when(after, float(LUNCH)).otherwise(0.0)
+        return F.struct(clock.alias("clock"), (state["ate"] | lunch | after).alias("ate"), F.array_append(state["rows"], F.struct(start.alias("start"), end.alias("end"), (lunch | after).alias("lunch"))).alias("rows")).cast(TIMELINE)
 
     return F.aggregate(jobs, begin, step, lambda s: s["rows"])
 

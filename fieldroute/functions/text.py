@@ -26,9 +26,11 @@ def country(c):
 
 
 def postal_key(c):
-    """Text before a dash as a whole number where it is one; leading zeros go."""
-    head = F.regexp_replace(F.trim(F.split(F.coalesce(c, F.lit("")), "-")[0]), r"\.0+$", "")
-    return F.when(head.rlike(r"^[0-9]+$"), head.try_cast("bigint").cast("string")).otherwise(head)
+    """Upper-cased text before a dash, as a whole number where it is a number; leading zeros and decimals go."""
+    head = F.regexp_replace(F.upper(F.split(collapse(c), "-")[0]), r"\.0+$", "")
+    whole = F.when(head.rlike(r"^[0-9]+$"), head.try_cast("bigint"))
+    number = F.when(head.rlike(r"^[+]?([0-9]+\.?[0-9]*|\.[0-9]+)(E[+-]?[0-9]+)?$"), head.try_cast("double").try_cast("bigint"))
+    return F.coalesce(F.coalesce(whole, number).cast("string"), head)
 
 
 def postal_padded(c):

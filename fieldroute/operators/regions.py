@@ -11,6 +11,8 @@ from fieldroute.session import ship
 #: Fixed values of the region model.
 BALANCE_WEIGHT, RADIUS_WEIGHT, GROWTH_ROUNDS, LLOYD_STEPS = 120.0, 40.0, 20, 50
 MAX_WORK_MIN, MAX_TRAVEL_MIN, MAX_TRAVEL_KM, SPEED_KMH = 480.0, 240.0, 120.0, 50.0
+#: A cluster of more jobs takes in no single one.
+ABSORB_CAP = 3
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -33,88 +35,130 @@ def seeds(points: np.ndarray, weights: np.ndarray, k: int) -> list[int]:
 
 
 def weighted_kmeans(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """Lloyd steps on great-circle distance; labels are compact and empty clusters are seeded anew at the farthest point."""
-    centres = points[seeds(points, weights, k)].copy()
-    labels = np.full(len(points), -1)
+    """Lloyd steps on great-circle distance; an empty cluster goes back to its seed; labels are compact."""
+    if k <= 1 or k >= len(points):
+        return np.arange(len(points)) if k >= len(points) > 1 else np.zeros(len(points), int)
+    start = seeds(points, weights, k)
+    centres, labels = points[start].astype(float), np.zeros(len(points), int)
     for _ in range(LLOYD_STEPS):
-        gap = distances(points, centres)
-        fresh = gap.argmin(1)
+        fresh = distances(points, centres).argmin(1)
         if (fresh == labels).all():
             break
         labels = fresh
-        for c in range(len(centres)):
+        for c, seed in enumerate(start):
             own = labels == c
             if own.any():
-                w = np.maximum(weights[own], 1e-9)
-                centres[c] = (points[own] * w[:, None]).sum(0) / w.sum()
+                centres[c] = np.average(points[own], axis=0, weights=weights[own])
             else:
-                centres[c] = points[gap.min(1).argmax()]
+                centres[c], labels[seed] = points[seed], c
     return np.unique(labels, return_inverse=True)[1]
 
 
 def target_radius(points: np.ndarray, weights: np.ndarray, k: int) -> float:
-    if len(points) < 2 or weights.sum() <= 0:
+    """1.8 times the 85th percentile of the spread, each point counted by its weight, over the root of k; 15 km at least."""
+    if len(points) <= 1 or k <= 1:
         return 25.0
-    centre = (points * weights[:, None]).sum(0) / weights.sum()
-    spread = distances(points, centre[None])[:, 0]
-    order = np.argsort(spread, kind="stable")
-    reach = np.cumsum(weights[order]) / weights.sum()
-    return max(15.0, float(spread[order][np.searchsorted(reach, 0.85)]) / np.sqrt(max(k, 1)) * 1.8)
+    spread = distances(points, np.average(points, axis=0, weights=weights)[None])[:, 0]
+    counted = np.repeat(spread, np.maximum(weights.astype(int), 1))
+    return max(15.0, float(np.percentile(counted, 85)) / np.sqrt(k) * 1.8)
+
 
+def balanced_regions(points: np.ndarray, weights: np.ndarray, k: int, target: float | None = None) -> np.ndarray:
+    """Greedy growth in rounds: seeds stay, the other points, heaviest first, join the region of least distance plus penalties.
 
-def balanced_regions(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """Greedy growth: each point, heaviest first, joins the region of least distance plus penalties for load and radius."""
-    k = min(k, len(points))
+    The penalties are the squared deviation of the region's load from the target, on either
+    side, and the squared excess of the farthest point so far over the target radius.
+    """
+    if k <= 1 or len(points) <= 1:
+        return np.zeros(len(points), int)
+    if k >= len(points):
+        return np.arange(len(points))
     start = seeds(points, weights, k)
-    target, radius = weights.sum() / k, target_radius(points, weights, k)
-    centres, labels = points[start].copy(), np.full(len(points), -1)
+    target = weights.sum() / k if target is None else target
+    radius = target_radius(points, weights, k)
+    pinned = set(start)
+    order = [i for i in np.argsort(-weights, kind="stable").tolist() if i not in pinned]
+    centres, labels = points[start].astype(float), np.full(len(points), -1)
     for _ in range(GROWTH_ROUNDS):
-        fresh, load = np.full(len(points), -1), np.zeros(k)
-        for c, i in enumerate(start):
-            fresh[i], load[c] = c, weights[i]
-        for i in np.argsort(-weights, kind="stable"):
-            if fresh[i] < 0:
-                d = distances(points[i : i + 1], centres)[0]
-                after = load + weights[i]
-                cost = d + BALANCE_WEIGHT * ((after - target) / max(target, 1e-9)) ** 2 * (after > target) + RADIUS_WEIGHT * np.maximum(0, (d - radius) / radius) ** 2
-                fresh[i] = c = int(cost.argmin())
-                load[c] += weights[i]
+        gap, fresh = distances(points, centres), np.full(len(points), -1)
+        fresh[start] = np.arange(k)
+        load, reach = weights[start].astype(float), np.zeros(k)
+        for i in order:
+            far = np.maximum(reach, gap[i])
+            cost = gap[i] + BALANCE_WEIGHT * ((load + weights[i] - target) / max(target, 1.0)) ** 2 + RADIUS_WEIGHT * np.maximum(0.0, (far - radius) / max(radius, 1.0)) ** 2
+            fresh[i] = c = int(cost.argmin())
+            load[c] += weights[i]
+            reach[c] = far[c]
+        sums = np.bincount(fresh, weights, k)
+        centres = np.stack([np.bincount(fresh, weights * points[:, j], k) / sums for j in range(2)], 1)
         if (fresh == labels).all():
             break
         labels = fresh
-        for c in range(k):
-            own = labels == c
-            centres[c] = (points[own] * np.maximum(weights[own], 1e-9)[:, None]).sum(0) / np.maximum(weights[own], 1e-9).sum()
     return labels
 
 
+def greedy_km(gap: np.ndarray) -> float:
+    """Km of the greedy open path from the first stop, given all distances."""
+    left, at, total = np.zeros(len(gap)), 0, 0.0
+    for _ in range(len(gap) - 1):
+        left[at] = np.inf
+        step = gap[at] + left
+        at = int(step.argmin())
+        total += step[at]
+    return float(total)
+
+
 def path_length(points: np.ndarray) -> float:
     """Km of the greedy open path from the first point."""
-    left, at, total = list(range(1, len(points))), 0, 0.0
-    d = distances(points, points)
-    while left:
-        nxt = min(left, key=lambda j: (d[at, j], j))
-        total, at = total + d[at, nxt], nxt
-        left.remove(nxt)
-    return float(total)
+    return greedy_km(distances(points, points))
+
+
+def _fits(gap: np.ndarray, minutes: np.ndarray, own: np.ndarray) -> bool:
+    """Whether one unit can do these jobs in a day."""
+    work = minutes[own].sum()
+    if work > MAX_WORK_MIN:
+        return False
+    km = greedy_km(gap[np.ix_(own, own)])
+    travel = km / SPEED_KMH * 60
+    return bool(work + travel <= MAX_WORK_MIN and travel <= MAX_TRAVEL_MIN and km <= MAX_TRAVEL_KM)
 
 
 def day_batches(points: np.ndarray, minutes: np.ndarray, per_unit: int) -> np.ndarray:
     """The fewest clusters, from demand upwards, that all hold to the work, time and distance limits; else one a stop."""
-    k = max(1, int(np.ceil(len(points) / per_unit)))
+    gap, k = distances(points, points), max(1, int(np.ceil(len(points) / per_unit)))
     while True:
         labels = balanced_regions(points, np.ones(len(points)), k)
-        fits = True
-        for c in range(labels.max() + 1):
-            own = labels == c
-            km = path_length(points[own]) if own.any() else 0.0
-            travel = km / SPEED_KMH * 60
-            fits &= minutes[own].sum() + travel <= MAX_WORK_MIN and travel <= MAX_TRAVEL_MIN and km <= MAX_TRAVEL_KM
-        if fits or k >= len(points):
+        if k >= len(points) or all(_fits(gap, minutes, np.flatnonzero(labels == c)) for c in np.unique(labels)):
             return labels
         k += 1
 
 
+def absorb_singles(points: np.ndarray, minutes: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Clusters of one job join a small cluster, that of the shortest common path first, as long as the day's work holds; until nothing moves."""
+    gap, labels = distances(points, points), labels.copy()
+    while True:
+        size, moved = np.bincount(labels), False
+        for single in np.flatnonzero(size == 1):
+            own = np.flatnonzero(labels == single)
+            if not len(own):
+                continue
+            choices = []
+            for other in np.flatnonzero((size > 0) & (size <= ABSORB_CAP)):
+                theirs = np.flatnonzero(labels == other)
+                if other == single or not len(theirs):
+                    continue
+                both = np.union1d(own, theirs)
+                km = greedy_km(gap[np.ix_(both, both)])
+                work = minutes[both].sum() + km / SPEED_KMH * 60
+                if work <= MAX_WORK_MIN:
+                    choices.append((km, work, gap[own[0], theirs].min(), other))
+            if choices:
+                labels[own] = min(choices)[3]
+                moved = True
+        if not moved:
+            return np.unique(labels, return_inverse=True)[1]
+
+
 def design_regions(postals: DataFrame, city: str = "city") -> DataFrame:
     """Region of every postal code; ``regions`` holds the count wanted for its city."""
     ship(postals.sparkSession)
@@ -135,14 +179,15 @@ def batch_days(jobs: DataFrame, keys: list[str], per_unit: int = 5) -> DataFrame
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values("receipt_no").reset_index(drop=True)
-        labels = day_batches(df[["latitude", "longitude"]].to_numpy(float), df["service_min"].to_numpy(float), per_unit)
+        points, minutes = df[["latitude", "longitude"]].to_numpy(float), df["service_min"].to_numpy(float)
+        labels = absorb_singles(points, minutes, day_batches(points, minutes, per_unit))
         return df[[*keys, "receipt_no"]].assign(unit=labels.astype(np.int32))
 
     return jobs.groupBy(*keys).applyInPandas(run, schema)
 
 
 def assign_days(jobs: DataFrame, roster: DataFrame, keys: list[str]) -> DataFrame:
-    """Jobs of a day to its city's engineers: longest jobs first, each to the engineer of least distance plus overtime.
+    """Jobs of a day to its city's engineers, by a greedy of our own: longest jobs first, each to the engineer of least distance plus overtime.
 
     Heavy jobs need the flag; who stays without an eligible engineer comes back with a null code.
     """

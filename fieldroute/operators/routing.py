@@ -13,15 +13,17 @@ ORDINALS = ("l_orderkey", "l_linenumber")
 
 def route_groups(visits: DataFrame, keys: list[str], ordinals: tuple[str, ...] = ORDINALS) -> DataFrame:
     """One nearest-neighbour route per group: job_count, unique_stop_count, distance_km, duration_min."""
-    grouped = visits.groupBy(*keys).agg(F.countDistinct("receipt_no").alias("job_count"), stops([F.col(c) for c in ordinals], F.col("longitude"), F.col("latitude")).alias("stops"))
+    grouped = visits.groupBy(*keys).agg(F.count(F.lit(1)).alias("job_count"), stops([F.col(c) for c in ordinals], F.col("longitude"), F.col("latitude")).alias("stops"))
     routed = grouped.withColumn("route", nearest_neighbour(F.col("stops")))
     return routed.select(*keys, "job_count", F.size("stops").cast("long").alias("unique_stop_count"), F.round("route.km", 3).alias("distance_km"), F.round(travel_minutes(F.col("route.km")), 2).alias("duration_min"))
 
 
-def daily_summary(routes: DataFrame, city: str = "city", day: str = "service_month", unit: str = "engineer_code") -> DataFrame:
+def daily_summary(routes: DataFrame, city: str = "city", day: str = "service_month", unit: str = "engineer_code", rounded: bool = True) -> DataFrame:
+    """Sums, spread and means a unit for each city and day; ``rounded`` is for a final result, not for further means."""
+    two = lambda c: (F.round(c, 2) if rounded else F.col(c)).alias(c)
     out = routes.groupBy(city, day).agg(F.countDistinct(unit).alias("deployed"), F.sum("job_count").alias("jobs"), F.sum("distance_km").alias("distance_km"), F.sum("duration_min").alias("duration_min"), F.stddev_pop("job_count").alias("jobs_std"), F.min("job_count").alias("jobs_min"), F.max("job_count").alias("jobs_max"))
     per = lambda c: F.round(F.col(c) / F.col("deployed"), 2)
-    return out.select(city, day, "deployed", "jobs", F.round("distance_km", 2).alias("distance_km"), F.round("duration_min", 2).alias("duration_min"), F.round("jobs_std", 2).alias("jobs_std"), "jobs_min", "jobs_max", per("jobs").alias("jobs_avg"), per("distance_km").alias("distance_per_unit"), per("duration_min").alias("duration_per_unit"))
+    return out.select(city, day, "deployed", "jobs", two("distance_km"), two("duration_min"), two("jobs_std"), "jobs_min", "jobs_max", per("jobs").alias("jobs_avg"), per("distance_km").alias("distance_per_unit"), per("duration_min").alias("duration_per_unit"))
 
 
 def city_summary(daily: DataFrame, city: str = "city") -> DataFrame:

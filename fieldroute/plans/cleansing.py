@@ -81,7 +81,7 @@ _VARIANTS = """SELECT c_custkey, c_name, c_mktsegment,
 QUERIES = {f.__name__: f for f in (flt_city_centers, prj_postal_keys, prj_heavy_flag, prj_heavy_prefix, prj_center_bucket, prj_engineer_label, sc_scalars)}
 SQL = {
     "flt_city_centers": f"WITH {ENGINEERS_SQL} SELECT engineer_code, city, CASE WHEN slot IS NULL THEN NULL ELSE center_type END AS kind FROM engineers WHERE slot IS NULL OR center_type <> 'DMS2'",
-    "prj_postal_keys": f"""WITH c AS ({_VARIANTS}), k AS (SELECT *, regexp_replace(trim(split_part(coalesce(raw, ''), '-', 1)), '\\.0+$', '') AS head FROM c),
+    "prj_postal_keys": f"""WITH c AS ({_VARIANTS}), k AS (SELECT *, regexp_replace(upper(split_part(trim(coalesce(raw, '')), '-', 1)), '\\.0+$', '') AS head FROM c),
  p AS (SELECT *, CASE WHEN regexp_matches(head, '^[0-9]+$') THEN CAST(CAST(head AS BIGINT) AS VARCHAR) ELSE head END AS postal_key FROM k)
 SELECT c_custkey, CASE WHEN coalesce(raw, '') = 'nan' THEN '' ELSE coalesce(raw, '') END AS blanked, postal_key, CASE WHEN length(postal_key) >= 5 THEN postal_key ELSE lpad(postal_key, 5, '0') END AS postal_padded,
  CASE WHEN c_custkey % 3 = 2 THEN 'CANADA EAST' ELSE 'USA' END AS country, regexp_replace(regexp_replace(lower(c_name || '--' || c_mktsegment), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug,

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldroute.functions import text as T
-from fieldroute.functions.routes import coordinate_key, insertion_delta, path_km, stops, timeline, weighted_chunks
+from fieldroute.functions.routes import coordinate_key, insertion_delta, nearest_neighbour, path_km, stops, timeline, weighted_chunks
 from fieldroute.operators import relational as R
 from fieldroute.operators.regions import assign_days, batch_days, design_regions
 from fieldroute.operators.routing import ORDINALS, city_summary, compare_scenarios, daily_summary, route_groups
+from fieldroute.session import cut
 from fieldroute.sources.adapter import VISITS_SQL, engineers, visits
 
 MEASURES = ["deployed", "jobs", "distance_km", "duration_min", "jobs_std", "distance_per_unit"]
@@ -17,13 +18,13 @@ DAY = ["city", "service_date"]
 MONTH = ["city", "service_month"]
 
 
-def _current(spark, sf):
-    return daily_summary(route_groups(visits(spark, sf), [*DAY, "engineer_code"]), day="service_date")
+def _current(spark, sf, rounded=False):
+    return daily_summary(route_groups(visits(spark, sf), [*DAY, "engineer_code"]), day="service_date", rounded=rounded)
 
 
 def df_current_daily(spark: SparkSession, sf: str) -> DataFrame:
     """Daily city routing summary of the current engineers."""
-    return _current(spark, sf)
+    return _current(spark, sf, rounded=True)
 
 
 def df_city_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -36,20 +37,24 @@ def _jobs(spark, sf):
 
 
 def df_integrated_units(spark: SparkSession, sf: str) -> DataFrame:
-    """The fewest units that do each city-day's work within the limits."""
-    jobs = _jobs(spark, sf)
-    units = batch_days(jobs.select(*DAY, "receipt_no", "latitude", "longitude", "service_min"), DAY)
-    return jobs.join(units, [*DAY, "receipt_no"]).select(*DAY, "receipt_no", "unit", *ORDINALS, "latitude", "longitude", "service_min")
+    """The fewest units that do the work of each city, region and day within the limits; regions are those of the design."""
+    keys = ["city", "region", "service_date"]
+    jobs = _jobs(spark, sf).join(cut(df_region_design(spark, sf), "regions"), ["city", "postal_code"])
+    jobs = jobs.select(*keys, "receipt_no", *ORDINALS, "latitude", "longitude", "service_min")
+    units = batch_days(jobs.select(*keys, "receipt_no", "latitude", "longitude", "service_min"), keys)
+    return jobs.join(units, [*keys, "receipt_no"])
 
 
 def flagship_routing_compare(spark: SparkSession, sf: str) -> DataFrame:
     """Current engineers against integrated units: city means of the daily summaries, with deltas and an ALL row."""
-    integrated = daily_summary(route_groups(df_integrated_units(spark, sf), [*DAY, "unit"]), day="service_date", unit="unit")
+    routes = route_groups(df_integrated_units(spark, sf), ["city", "region", "service_date", "unit"])
+    routes = routes.withColumn("unit", F.concat_ws("-", "region", "unit"))
+    integrated = daily_summary(routes, day="service_date", unit="unit", rounded=False)
     return compare_scenarios(city_summary(_current(spark, sf)), city_summary(integrated), MEASURES)
 
 
 def df_single_stop_routes(spark: SparkSession, sf: str) -> DataFrame:
-    """Routes of engineer-days with one stop, where the greedy path has one form."""
+    """Routes of engineer-days with one stop, where the greedy path has one form; df_engineer_day_routes has all."""
     return route_groups(visits(spark, sf), ["engineer_code", "service_date"]).where("unique_stop_count <= 1")
 
 
@@ -59,9 +64,12 @@ def df_engineer_day_routes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def df_schedule(spark: SparkSession, sf: str) -> DataFrame:
-    """Visit order, start and end of each engineer-day with its lunch."""
+    """Visit order by the greedy route from home, start and end of each engineer-day's jobs, and its lunch."""
     v = visits(spark, sf).join(engineers(spark, sf).select("engineer_code", "home_lat", "home_lon"), "engineer_code")
     day = v.groupBy("engineer_code", "service_date").agg(F.sort_array(F.collect_list(F.struct(*ORDINALS, F.struct(F.col("longitude").alias("lon"), F.col("latitude").alias("lat")).alias("stop"), F.col("service_min").cast("double").alias("minutes"), "receipt_no"))).alias("jobs"), F.first(F.struct(F.col("home_lon").alias("lon"), F.col("home_lat").alias("lat"))).alias("home"))
+    day = day.withColumn("path", nearest_neighbour(F.array_distinct(F.transform("jobs", lambda j: j["stop"])), F.col("home"))["path"])
+    # Jobs at one stop follow each other in their own order.
+    day = day.withColumn("jobs", F.sort_array(F.transform("jobs", lambda j: F.struct(F.array_position("path", j["stop"]).alias("at"), j["l_orderkey"].alias("l_orderkey"), j["l_linenumber"].alias("l_linenumber"), j["stop"].alias("stop"), j["minutes"].alias("minutes"), j["receipt_no"].alias("receipt_no")))))
     day = day.withColumn("legs", F.transform("jobs", lambda j, i: F.struct(path_km(F.array(F.when(i == 0, F.col("home")).otherwise(F.get("jobs", i - 1)["stop"]), j["stop"])).alias("km"), j["minutes"].alias("minutes"))))
     day = day.withColumn("rows", timeline(F.col("legs"))).select("engineer_code", "service_date", F.posexplode(F.arrays_zip("jobs", "rows")))
     return day.select("engineer_code", "service_date", (F.col("pos") + 1).alias("visit_seq"), "col.jobs.receipt_no", T.clock_text(F.floor("col.rows.start")).alias("visit_start"), T.clock_text(F.floor("col.rows.end")).alias("visit_end"), F.col("col.rows.lunch").alias("lunch"))
@@ -113,7 +121,7 @@ def df_visit_sequence(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (flagship_routing_compare, df_current_daily, df_city_summary, df_integrated_units, df_single_stop_routes, df_engineer_day_routes, df_schedule, df_insertion, df_chunks, df_region_design, df_assignment, df_payload, df_visit_sequence)}
 _FIRST = "f AS (SELECT *, row_number() OVER (PARTITION BY receipt_no ORDER BY service_min DESC, l_linenumber, engineer_code, service_date) AS rn FROM visits)"
 SQL = {
-    "df_single_stop_routes": f"WITH {VISITS_SQL}, g AS (SELECT engineer_code, service_date, count(DISTINCT receipt_no) AS job_count, count(DISTINCT latitude * 100000 + longitude) AS unique_stop_count FROM visits GROUP BY 1, 2) SELECT *, CAST(0 AS DOUBLE) AS distance_km, CAST(0 AS DOUBLE) AS duration_min FROM g WHERE unique_stop_count <= 1",
+    "df_single_stop_routes": f"WITH {VISITS_SQL}, g AS (SELECT engineer_code, service_date, count(*) AS job_count, count(DISTINCT latitude * 100000 + longitude) AS unique_stop_count FROM visits GROUP BY 1, 2) SELECT *, CAST(0 AS DOUBLE) AS distance_km, CAST(0 AS DOUBLE) AS duration_min FROM g WHERE unique_stop_count <= 1",
     "df_payload": f"WITH {VISITS_SQL}, {_FIRST} SELECT city, service_month, count(*) AS jobs, count(*) FILTER (WHERE is_heavy) AS heavy_jobs, CAST(sum(service_min) AS BIGINT) AS minutes, max(latitude) AS lat FROM f WHERE rn = 1 GROUP BY 1, 2",
     "df_visit_sequence": f"WITH {VISITS_SQL} SELECT engineer_code, service_date, receipt_no, l_linenumber, row_number() OVER (PARTITION BY engineer_code, service_date ORDER BY l_orderkey, l_linenumber, service_min, latitude) AS visit_seq FROM visits",
 }

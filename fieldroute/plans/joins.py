@@ -40,13 +40,13 @@ def jn_nearest_centre(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def jn_border_band(spark: SparkSession, sf: str) -> DataFrame:
-    """Postal codes of region 1 that region 3 may serve: within 15 km more and 1.35 times the own distance."""
-    own = centres(spark, sf).where("region_seq = 1").select("city", F.col("latitude").alias("a"), F.col("longitude").alias("b"))
+    """Postal codes of regions 1 and 2 that region 3 may serve: within 15 km more and 1.35 times the own distance."""
+    own = centres(spark, sf).where("region_seq in (1, 2)").select("city", F.col("region_seq").alias("target_region"), F.col("latitude").alias("a"), F.col("longitude").alias("b"))
     other = centres(spark, sf).where("region_seq = 3").select("city", F.col("latitude").alias("c"), F.col("longitude").alias("d"))
     p = _postals(spark, sf).join(own, "city").join(other, "city")
     p = p.withColumn("own_km", haversine_km(F.col("latitude"), F.col("longitude"), F.col("a"), F.col("b"))).withColumn("source_km", haversine_km(F.col("latitude"), F.col("longitude"), F.col("c"), F.col("d")))
     near = (F.col("source_km") <= F.col("own_km") + 15) & (F.col("source_km") <= F.greatest(F.col("own_km") * 1.35, F.col("own_km") + 1))
-    return p.where(near).select("city", "postal_code", F.round("own_km", 4).alias("own_km"), F.round("source_km", 4).alias("source_km"))
+    return p.where(near).select("city", "target_region", "postal_code", F.round("own_km", 4).alias("own_km"), F.round("source_km", 4).alias("source_km"))
 
 
 def jn_distance_matrix(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,9 +93,9 @@ def jn_service_sql(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def jn_pending_addresses(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers without an order, the first 50 by key."""
+    """Customers without an urgent order, the first 50 by key."""
     c = table(spark, sf, "customer").select("c_custkey", "c_name")
-    return c.join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").orderBy("c_custkey").limit(50)
+    return c.join(table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").orderBy("c_custkey").limit(50)
 
 
 def st_union_priority(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,12 +132,12 @@ SQL = {
     "jn_overlay": """WITH own AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey * CAST(0.5 AS DOUBLE) END AS la, o_orderkey * CAST(0.25 AS DOUBLE) AS lo FROM orders WHERE o_orderkey % 7 = 0), cache AS (SELECT c_custkey, c_custkey * CAST(0.5 AS DOUBLE) AS la, c_custkey * CAST(0.125 AS DOUBLE) AS lo FROM customer WHERE c_custkey % 3 <> 0)
 SELECT o.o_orderkey, CASE WHEN own.la IS NOT NULL THEN own.la ELSE cache.la END AS latitude, CASE WHEN own.la IS NOT NULL THEN own.lo ELSE cache.lo END AS longitude, CASE WHEN own.la IS NOT NULL THEN 'override' WHEN cache.la IS NOT NULL THEN 'cache' ELSE 'failed' END AS source FROM orders o LEFT JOIN own ON own.o_orderkey = o.o_orderkey LEFT JOIN cache ON cache.c_custkey = o.o_custkey""",
     "jn_nearest_centre": f"WITH {VISITS_SQL}, {ENGINEERS_SQL}, {_CENTRES}, {_POSTALS}, d AS (SELECT p.city, p.postal_code, c.region_seq, {_KM} AS km FROM postals p JOIN centres c ON c.city = p.city), k AS (SELECT *, row_number() OVER (PARTITION BY city, postal_code ORDER BY km, region_seq) AS rn FROM d) SELECT city, postal_code, region_seq, round(km, 4) AS km FROM k WHERE rn = 1",
-    "jn_border_band": f"WITH {VISITS_SQL}, {ENGINEERS_SQL}, {_CENTRES}, {_POSTALS}, d AS (SELECT p.city, p.postal_code, {haversine_sql('p.latitude', 'p.longitude', 'a.latitude', 'a.longitude')} AS own_km, {haversine_sql('p.latitude', 'p.longitude', 'b.latitude', 'b.longitude')} AS source_km FROM postals p JOIN centres a ON a.city = p.city AND a.region_seq = 1 JOIN centres b ON b.city = p.city AND b.region_seq = 3) SELECT city, postal_code, round(own_km, 4) AS own_km, round(source_km, 4) AS source_km FROM d WHERE source_km <= own_km + 15 AND source_km <= greatest(own_km * CAST(1.35 AS DOUBLE), own_km + 1)",
+    "jn_border_band": f"WITH {VISITS_SQL}, {ENGINEERS_SQL}, {_CENTRES}, {_POSTALS}, d AS (SELECT p.city, a.region_seq AS target_region, p.postal_code, {haversine_sql('p.latitude', 'p.longitude', 'a.latitude', 'a.longitude')} AS own_km, {haversine_sql('p.latitude', 'p.longitude', 'b.latitude', 'b.longitude')} AS source_km FROM postals p JOIN centres a ON a.city = p.city AND a.region_seq IN (1, 2) JOIN centres b ON b.city = p.city AND b.region_seq = 3) SELECT city, target_region, postal_code, round(own_km, 4) AS own_km, round(source_km, 4) AS source_km FROM d WHERE source_km <= own_km + 15 AND source_km <= greatest(own_km * CAST(1.35 AS DOUBLE), own_km + 1)",
     "jn_distance_matrix": f"WITH {VISITS_SQL}, v AS (SELECT DISTINCT engineer_code, service_date, receipt_no, latitude, longitude FROM visits), d AS (SELECT a.engineer_code, a.service_date, a.receipt_no, b.receipt_no AS to_receipt, {haversine_sql('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} AS k FROM v a JOIN v b ON a.engineer_code = b.engineer_code AND a.service_date = b.service_date AND a.receipt_no <> b.receipt_no) SELECT engineer_code, service_date, receipt_no, to_receipt, round(k, 4) AS km, round(k / 50 * 60, 4) AS minutes FROM d",
     "jn_skill": f"WITH {VISITS_SQL}, {ENGINEERS_SQL}, v AS (SELECT city, service_month, is_heavy, count(DISTINCT receipt_no) AS receipts FROM visits GROUP BY 1, 2, 3) SELECT v.city, service_month, is_heavy, count(DISTINCT engineer_code) AS eligible, max(receipts) AS receipts FROM v JOIN engineers e ON v.city = e.city AND (NOT is_heavy OR ref_heavy = 'Y') GROUP BY 1, 2, 3",
     "jn_preference": f"WITH {ENGINEERS_SQL}, {_CENTRES}, k AS (SELECT e.city, c.region_seq AS cluster, engineer_code, row_number() OVER (PARTITION BY e.city, c.region_seq ORDER BY CASE WHEN e.region_seq = c.region_seq THEN 0 ELSE 1 END, round({haversine_sql('home_lat', 'home_lon', 'c.latitude', 'c.longitude')}, 6), engineer_code) AS rank FROM engineers e JOIN centres c ON c.city = e.city) SELECT city, cluster, max(CASE WHEN rank = 1 THEN engineer_code END) AS primary_code, max(CASE WHEN rank = 2 THEN engineer_code END) AS secondary_code FROM k WHERE rank <= 2 GROUP BY 1, 2",
     "jn_service_sql": SERVICE,
-    "jn_pending_addresses": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) ORDER BY c_custkey LIMIT 50",
+    "jn_pending_addresses": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') ORDER BY c_custkey LIMIT 50",
     "st_union_priority": "WITH u AS (SELECT s_nationkey AS key, 'census' AS source, s_name AS address, 0 AS p FROM supplier UNION ALL SELECT CAST(c_custkey % 40 AS INTEGER), 'other', c_name, 1 FROM customer), k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY p, source, address) AS rn FROM u) SELECT key, source, address FROM k WHERE rn = 1",
     "st_coverage_sets": f"WITH {VISITS_SQL}, a AS (SELECT DISTINCT postal_code FROM visits WHERE symptom = 'A'), b AS (SELECT DISTINCT postal_code FROM visits WHERE symptom = 'R') SELECT 'both' AS which, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'first only', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'second only', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT 'any', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)",
     "st_fill_missing": f"WITH {VISITS_SQL}, s AS (SELECT DISTINCT postal_code FROM visits WHERE city < 'J'), m AS (SELECT DISTINCT lpad(CAST(c_custkey % 1100 AS VARCHAR), 5, '0') AS postal_code FROM customer) SELECT postal_code, 'visible' AS source FROM s UNION ALL SELECT postal_code, 'manual' FROM m WHERE postal_code NOT IN (SELECT postal_code FROM s)",

@@ -30,9 +30,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where none is configured (tests)."""
+    """The folder in ``spark.checkpoint.dir``; one of our own only where none is configured and all runs on this machine (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="fieldroute-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")

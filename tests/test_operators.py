@@ -16,6 +16,44 @@ def test_regions_cover_and_balance():
         assert len(np.unique(G.weighted_kmeans(points, weights, k))) <= k
 
 
+def test_growth_follows_its_formula():
+    """Labels of a plain version, one score at a time."""
+    rng = np.random.default_rng(3)
+    for n, k in ((12, 2), (30, 3), (40, 5), (5, 5), (1, 1), (9, 1)):
+        points, weights = rng.random((n, 2)) + [33, -84], rng.integers(1, 9, n).astype(float)
+        got = G.balanced_regions(points, weights, k)
+        if k <= 1 or k >= n:
+            assert got.tolist() == (list(range(n)) if k >= n > 1 else [0] * n)
+            continue
+        gap = lambda i, c: float(G.distances(points[i : i + 1], np.array([c]))[0, 0])
+        first = [max(range(n), key=lambda i: weights[i])]
+        while len(first) < k:
+            first.append(max((i for i in range(n) if i not in first), key=lambda i: min(gap(i, points[j]) for j in first) * weights[i]))
+        centre = np.average(points, axis=0, weights=weights)
+        spread = [gap(i, centre) for i in range(n) for _ in range(int(weights[i]))]
+        limit = max(15.0, float(np.percentile(spread, 85)) / k**0.5 * 1.8)
+        target, centres, labels = weights.sum() / k, [points[i] for i in first], None
+        for _ in range(20):
+            now, load, reach = {i: c for c, i in enumerate(first)}, [weights[i] for i in first], [0.0] * k
+            for i in sorted((i for i in range(n) if i not in first), key=lambda i: -weights[i]):
+                cost = [gap(i, centres[c]) + 120 * ((load[c] + weights[i] - target) / max(target, 1)) ** 2 + 40 * max(0, (max(reach[c], gap(i, centres[c])) - limit) / max(limit, 1)) ** 2 for c in range(k)]
+                c = now[i] = cost.index(min(cost))
+                load[c], reach[c] = load[c] + weights[i], max(reach[c], gap(i, centres[c]))
+            centres = [np.average([points[i] for i in range(n) if now[i] == c], axis=0, weights=[weights[i] for i in range(n) if now[i] == c]) for c in range(k)]
+            if now == labels:
+                break
+            labels = now
+        assert got.tolist() == [labels[i] for i in range(n)]
+
+
+def test_single_jobs_are_absorbed():
+    points = np.array([[33.0, -84.0], [33.01, -84.0], [33.02, -84.0], [35.0, -80.0], [33.0, -84.01]])
+    labels = G.absorb_singles(points, np.full(5, 45.0), np.array([0, 0, 1, 2, 3]))
+    assert labels[0] == labels[1] and len(set(labels[[0, 1, 2, 4]])) <= 2 and (np.bincount(labels[[0, 1, 2, 4]]) != 1).all()
+    assert (labels == labels[3]).sum() == 1  # too far for a day's work
+    assert G.absorb_singles(points, np.full(5, 300.0), np.arange(5)).tolist() == [0, 1, 2, 3, 4]
+
+
 def test_day_batches_hold_the_limits():
     rng = np.random.default_rng(2)
     points, minutes = rng.random((25, 2)) * 0.3 + [33, -84], np.full(25, 45.0)
