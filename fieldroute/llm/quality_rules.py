@@ -16,6 +16,7 @@ from fieldroute.session import cut
 
 #: Between words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
+SEPARATORS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 BUCKETS = 1 << 18
 MIN_WORDS = 50
@@ -47,7 +48,7 @@ def base_counts(worded: DataFrame) -> DataFrame:
     out = worded.withColumn("n_words", F.size("_words").cast("long"))
     out = out.withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
     out = out.withColumn("n_symbols", F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("long"))
-    out = out.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    out = out.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: F.ltrim(x, F.lit(SEPARATORS)) != ""))
     out = out.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
 
     # Windows of three words. Their hashes show whether any is repeated at all; only then are hashes with their places in
@@ -136,19 +137,22 @@ def with_ratio(worded: DataFrame, table: DataFrame, buckets: int = BUCKETS) -> D
     return out.withColumn("_ratio", F.when(F.size("_hashes") > 0, total / (2 * F.size("_hashes") - 1)).otherwise(F.lit(0.0)))
 
 
-def shift(docs: DataFrame, trusted: DataFrame, table: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+def shift(scored: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row: what brings the QUANTILE of the trusted documents' ratios to ``threshold``; 0 without any.
 
     Documents too short for the base rules are left out. The quantile is a mergeable sketch,
     exact up to QUANTILE_ACCURACY rows and within 1 / QUANTILE_ACCURACY of the rank beyond.
     """
-    known = with_words(with_trusted(docs.select("doc_id", "text"), trusted, "inner")).where(F.size("_words") >= MIN_WORDS)
-    found = with_ratio(known, table, buckets).agg(F.percentile_approx("_ratio", QUANTILE, QUANTILE_ACCURACY).alias("q"))
+    known = with_trusted(scored.where(F.col("n_words") >= MIN_WORDS).select("doc_id", "_ratio"), trusted, "inner")
+    found = known.agg(F.percentile_approx("_ratio", QUANTILE, QUANTILE_ACCURACY).alias("q"))
     return found.select(F.coalesce(F.lit(threshold) - F.col("q"), F.lit(0.0)))
 
 
-def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
-    """Every input column, then the base counts, base_failed, score and kept.
+def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, columns: list[str] | None = None) -> DataFrame:
+    """The named input columns (all by default), then the base counts, base_failed, score and kept.
+
+    Counts and ratios are written once, with the named columns: the threshold is found on
+    what was written, and no text is read a third time. Who needs no texts back names the others.
 
     A null text has no words and fails the base rules. A document without
     n-grams has a ratio of 0. Rows are judged one by one: repeated rows and null ids each
@@ -157,11 +161,12 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bu
     """
     trusted = cut(trusted_ids(labels), "trusted")
     table = cut(ratios(gram_counts(docs, trusted, buckets), buckets), "ratios")
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
-    out = base_counts(with_words(docs.select(F.struct(*docs.columns).alias("_in"), "doc_id", "text")))
-    out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    out = with_ratio(out, table, buckets).withColumn("score", F.col("_ratio") + shift(docs, trusted, table, threshold, buckets).scalar())
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    added = [*counts, "base_failed", "score", "kept"]
+    back = [c for c in columns or docs.columns if c not in added]
+    out = base_counts(with_words(docs.select(F.struct(*back).alias("_in"), "doc_id", "text")))
+    scored = cut(with_ratio(out, table, buckets).select("_in", "doc_id", *counts, "_ratio"), "scored")
+    out = scored.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    out = out.withColumn("score", F.col("_ratio") + shift(scored, trusted, threshold).scalar())
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
-    # The verdict leaves through a generator: a filter on it then stays above, instead of being pushed
-    # down and spelt out in terms of the text, once for every reference.
-    return out.select(*[F.col("_in")[c].alias(c) for c in docs.columns if c not in added], F.inline(F.array(F.struct(*added))))
+    return out.select(*[F.col("_in")[c].alias(c) for c in back], *added)
