@@ -73,7 +73,77 @@ def flt_located(spark: SparkSession, sf: str) -> DataFrame:
     return found.where(F.coalesce(F.trim("source"), F.lit("nan")) != "failed").groupBy(F.trim("source").alias("source")).agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (wn_nearest_engineers, jn_product_skill, sc_penalties, ag_attempts_month, ag_payload_minutes, ag_city_overall, flt_located)}
+def _sides(spark, sf):
+    """Actual work (no line of symptom A) and assigned work (none of symptom R), with the region of the postal code."""
+    v = visits(spark, sf).join(regions(spark, sf), "postal_code")
+    return v.where("symptom <> 'A'"), v.where("symptom <> 'R'")
+
+
+def rp_attendance(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct engineers at work by date, region and type of center."""
+    return _sides(spark, sf)[0].groupBy("service_date", "region_seq", "center_type").agg(F.countDistinct("engineer_code").alias("engineers"))
+
+
+def rp_region_gap(spark: SparkSession, sf: str) -> DataFrame:
+    """Actual against assigned engineers by region and date, in all and by type of center; a side without any counts 0."""
+    def heads(side, name):
+        only = lambda k: F.countDistinct(F.when(F.col("center_type") == k, F.col("engineer_code"))).alias(f"{name}_{k.lower()}")
+        return side.groupBy("service_date", "region_seq").agg(F.countDistinct("engineer_code").alias(f"{name}_total"), only("DMS"), only("DMS2"))
+
+    actual, assigned = _sides(spark, sf)
+    both = heads(actual, "actual").join(heads(assigned, "assigned"), ["service_date", "region_seq"], "full_outer").fillna(0)
+    return both.withColumns({f"gap_{k}": F.col(f"assigned_{k}") - F.col(f"actual_{k}") for k in ("total", "dms", "dms2")})
+
+
+def rp_region_shortage(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions and dates with fewer assigned than actual engineers, with the actual work there, widest gap first."""
+    work = _sides(spark, sf)[0].groupBy("service_date", "region_seq").agg(F.countDistinct("receipt_no").alias("jobs"), F.count_if("is_heavy").alias("heavy_lines"), F.sum("service_min").alias("minutes"))
+    short = rp_region_gap(spark, sf).where("gap_total < 0").select("service_date", "region_seq", "actual_total", "assigned_total", "gap_total")
+    return short.join(work, ["service_date", "region_seq"], "left").orderBy("gap_total", "service_date", "region_seq")
+
+
+def rp_engineer_scenarios(spark: SparkSession, sf: str) -> DataFrame:
+    """Jobs and minutes of each engineer and date in both scenarios, side by side, with deltas."""
+    def work(side, name):
+        return side.groupBy("service_date", "engineer_code").agg(F.countDistinct("receipt_no").alias(f"jobs_{name}"), F.sum("service_min").alias(f"minutes_{name}"))
+
+    a, b = _sides(spark, sf)
+    both = work(a, "a").join(work(b, "b"), ["service_date", "engineer_code"], "full_outer").fillna(0)
+    return both.withColumn("jobs_delta", F.col("jobs_b") - F.col("jobs_a")).withColumn("minutes_delta", F.col("minutes_b") - F.col("minutes_a"))
+
+
+def df_active_count(spark: SparkSession, sf: str) -> DataFrame:
+    """Engineers wanted for each city and date: one for four receipts, at least one, at most those of the city."""
+    need = visits(spark, sf).groupBy("city", "service_date").agg(F.countDistinct("receipt_no").alias("receipts"))
+    have = engineers(spark, sf).groupBy("city").agg(F.countDistinct("engineer_code").alias("engineers"))
+    active = F.greatest(F.lit(1), F.least(F.col("engineers"), F.ceil(F.col("receipts") / 4)))
+    return need.join(have, "city").select("city", "service_date", "receipts", active.alias("active"))
+
+
+def xt_default_technicians(spark: SparkSession, sf: str) -> DataFrame:
+    """The engineers of a city's jobs with the master's type of center and the default shift, slots and limit."""
+    found = visits(spark, sf).select("city", "engineer_code").distinct()
+    master = engineers(spark, sf).where("region_seq <> 3").select("engineer_code", "center_type")
+    shift = [F.lit("09:00").alias("shift_start"), F.lit("18:00").alias("shift_end"), F.lit(8).alias("slot_count"), F.lit(8).alias("max_jobs")]
+    return found.join(master, "engineer_code", "left").select("city", "engineer_code", F.coalesce("center_type", F.lit("")).alias("center_type"), *shift)
+
+
+def prj_planned_time(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders with a readable yyyymmdd date and their planned time, 09:00 where none is stated."""
+    key = F.col("o_orderkey")
+    raw = table(spark, sf, "orders").select("o_orderkey", F.when(key % 13 == 0, "n/a").otherwise(F.date_format("o_orderdate", "yyyyMMdd")).alias("day"), F.when(key % 3 == 0, "").when(key % 3 == 1, "13:30").alias("at"))
+    parsed = raw.withColumn("service_date", F.try_to_timestamp("day", F.lit("yyyyMMdd")).cast("date")).where("service_date is not null")
+    at = F.coalesce(F.nullif(F.trim("at"), F.lit("")), F.lit("09:00"))
+    return parsed.select("o_orderkey", "service_date", F.concat(F.date_format("service_date", "yyyy-MM-dd"), F.lit("T"), at, F.lit(":00-05:00")).alias("planned"))
+
+
+QUERIES = {f.__name__: f for f in (wn_nearest_engineers, jn_product_skill, sc_penalties, ag_attempts_month, ag_payload_minutes, ag_city_overall, flt_located, rp_attendance, rp_region_gap, rp_region_shortage, rp_engineer_scenarios, df_active_count, xt_default_technicians, prj_planned_time)}
+
+_SIDES = f"{VISITS_SQL}, {_REGIONS}, w AS (SELECT * FROM visits JOIN regions USING (postal_code))"
+_GAP = f"""{_SIDES}, h AS (SELECT service_date, region_seq, count(DISTINCT CASE WHEN symptom <> 'A' THEN engineer_code END) AS actual_total, count(DISTINCT CASE WHEN symptom <> 'R' THEN engineer_code END) AS assigned_total,
+ count(DISTINCT CASE WHEN symptom <> 'A' AND center_type = 'DMS' THEN engineer_code END) AS actual_dms, count(DISTINCT CASE WHEN symptom <> 'A' AND center_type = 'DMS2' THEN engineer_code END) AS actual_dms2,
+ count(DISTINCT CASE WHEN symptom <> 'R' AND center_type = 'DMS' THEN engineer_code END) AS assigned_dms, count(DISTINCT CASE WHEN symptom <> 'R' AND center_type = 'DMS2' THEN engineer_code END) AS assigned_dms2 FROM w GROUP BY 1, 2),
+g AS (SELECT *, assigned_total - actual_total AS gap_total, assigned_dms - actual_dms AS gap_dms, assigned_dms2 - actual_dms2 AS gap_dms2 FROM h)"""
 
 SQL = {
     "wn_nearest_engineers": f"""WITH {VISITS_SQL}, {ENGINEERS_SQL}, {_REGIONS}, {joins._CENTRES}, {_OVERLAP},
@@ -100,4 +170,16 @@ SELECT city, round(avg(minutes), 2) AS mean_minutes, round(quantile_cont(minutes
  round(100.0::DOUBLE * count(*) FILTER (WHERE minutes > 480) / count(*), 2) AS overflow_pct, max(engineer_code) FILTER (WHERE rn = 1) AS worst_engineer FROM k GROUP BY 1""",
     "flt_located": f"""WITH f AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE source END AS source FROM ({joins.SQL['jn_overlay']}))
 SELECT source, count(*) AS n FROM f WHERE coalesce(source, 'nan') <> 'failed' GROUP BY 1""",
+    "rp_attendance": f"WITH {_SIDES} SELECT service_date, region_seq, center_type, count(DISTINCT engineer_code) AS engineers FROM w WHERE symptom <> 'A' GROUP BY 1, 2, 3",
+    "rp_region_gap": f"WITH {_GAP} SELECT * FROM g",
+    "rp_region_shortage": f"""WITH {_GAP}, k AS (SELECT service_date, region_seq, count(DISTINCT receipt_no) AS jobs, count(*) FILTER (WHERE is_heavy) AS heavy_lines, CAST(sum(service_min) AS BIGINT) AS minutes FROM w WHERE symptom <> 'A' GROUP BY 1, 2)
+SELECT g.service_date, g.region_seq, actual_total, assigned_total, gap_total, jobs, heavy_lines, minutes FROM g LEFT JOIN k ON k.service_date = g.service_date AND k.region_seq = g.region_seq WHERE gap_total < 0""",
+    "rp_engineer_scenarios": f"""WITH {_SIDES}, k AS (SELECT service_date, engineer_code, count(DISTINCT CASE WHEN symptom <> 'A' THEN receipt_no END) AS jobs_a, CAST(coalesce(sum(service_min) FILTER (WHERE symptom <> 'A'), 0) AS BIGINT) AS minutes_a,
+ count(DISTINCT CASE WHEN symptom <> 'R' THEN receipt_no END) AS jobs_b, CAST(coalesce(sum(service_min) FILTER (WHERE symptom <> 'R'), 0) AS BIGINT) AS minutes_b FROM w GROUP BY 1, 2)
+SELECT *, jobs_b - jobs_a AS jobs_delta, minutes_b - minutes_a AS minutes_delta FROM k""",
+    "df_active_count": f"""WITH {VISITS_SQL}, {ENGINEERS_SQL}, n AS (SELECT city, service_date, count(DISTINCT receipt_no) AS receipts FROM visits GROUP BY 1, 2), h AS (SELECT city, count(DISTINCT engineer_code) AS c FROM engineers GROUP BY 1)
+SELECT n.city, service_date, receipts, CAST(greatest(1, least(c, (receipts + 3) // 4)) AS BIGINT) AS active FROM n JOIN h ON h.city = n.city""",
+    "xt_default_technicians": f"""WITH {VISITS_SQL}, {ENGINEERS_SQL}, v AS (SELECT DISTINCT city, engineer_code FROM visits)
+SELECT v.city, v.engineer_code, coalesce(e.center_type, '') AS center_type, '09:00' AS shift_start, '18:00' AS shift_end, 8 AS slot_count, 8 AS max_jobs FROM v LEFT JOIN engineers e ON e.engineer_code = v.engineer_code AND e.region_seq <> 3""",
+    "prj_planned_time": """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS service_date, strftime(o_orderdate, '%Y-%m-%d') || 'T' || CASE WHEN o_orderkey % 3 = 1 THEN '13:30' ELSE '09:00' END || ':00-05:00' AS planned FROM orders WHERE o_orderkey % 13 <> 0""",
 }
