@@ -93,9 +93,9 @@ def jn_service_sql(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def jn_pending_addresses(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers without an urgent order, the first 50 by key."""
+    """Customers without an urgent order above 200 000, the first 50 by key."""
     c = table(spark, sf, "customer").select("c_custkey", "c_name")
-    return c.join(table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").orderBy("c_custkey").limit(50)
+    return c.join(table(spark, sf, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").orderBy("c_custkey").limit(50)
 
 
 def st_union_priority(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,7 +137,7 @@ SELECT o.o_orderkey, CASE WHEN own.la IS NOT NULL THEN own.la ELSE cache.la END
     "jn_skill": f"WITH {VISITS_SQL}, {ENGINEERS_SQL}, v AS (SELECT city, service_month, is_heavy, count(DISTINCT receipt_no) AS receipts FROM visits GROUP BY 1, 2, 3) SELECT v.city, service_month, is_heavy, count(DISTINCT engineer_code) AS eligible, max(receipts) AS receipts FROM v JOIN engineers e ON v.city = e.city AND (NOT is_heavy OR ref_heavy = 'Y') GROUP BY 1, 2, 3",
     "jn_preference": f"WITH {ENGINEERS_SQL}, {_CENTRES}, k AS (SELECT e.city, c.region_seq AS cluster, engineer_code, row_number() OVER (PARTITION BY e.city, c.region_seq ORDER BY CASE WHEN e.region_seq = c.region_seq THEN 0 ELSE 1 END, round({haversine_sql('home_lat', 'home_lon', 'c.latitude', 'c.longitude')}, 6), engineer_code) AS rank FROM engineers e JOIN centres c ON c.city = e.city) SELECT city, cluster, max(CASE WHEN rank = 1 THEN engineer_code END) AS primary_code, max(CASE WHEN rank = 2 THEN engineer_code END) AS secondary_code FROM k WHERE rank <= 2 GROUP BY 1, 2",
     "jn_service_sql": SERVICE,
-    "jn_pending_addresses": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') ORDER BY c_custkey LIMIT 50",
+    "jn_pending_addresses": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 200000) ORDER BY c_custkey LIMIT 50",
     "st_union_priority": "WITH u AS (SELECT s_nationkey AS key, 'census' AS source, s_name AS address, 0 AS p FROM supplier UNION ALL SELECT CAST(c_custkey % 40 AS INTEGER), 'other', c_name, 1 FROM customer), k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY p, source, address) AS rn FROM u) SELECT key, source, address FROM k WHERE rn = 1",
     "st_coverage_sets": f"WITH {VISITS_SQL}, a AS (SELECT DISTINCT postal_code FROM visits WHERE symptom = 'A'), b AS (SELECT DISTINCT postal_code FROM visits WHERE symptom = 'R') SELECT 'both' AS which, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'first only', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'second only', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT 'any', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)",
     "st_fill_missing": f"WITH {VISITS_SQL}, s AS (SELECT DISTINCT postal_code FROM visits WHERE city < 'J'), m AS (SELECT DISTINCT lpad(CAST(c_custkey % 1100 AS VARCHAR), 5, '0') AS postal_code FROM customer) SELECT postal_code, 'visible' AS source FROM s UNION ALL SELECT postal_code, 'manual' FROM m WHERE postal_code NOT IN (SELECT postal_code FROM s)",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldroute.functions.geo import haversine_km, haversine_sql
+from fieldroute.functions.geo import MERCATOR_M, haversine_km, haversine_sql, mercator
 from fieldroute.functions.penalties import preference_km, soft_region_km
 from fieldroute.operators import relational as R
 from fieldroute.plans import joins
@@ -137,7 +137,38 @@ def prj_planned_time(spark: SparkSession, sf: str) -> DataFrame:
     return parsed.select("o_orderkey", "service_date", F.concat(F.date_format("service_date", "yyyy-MM-dd"), F.lit("T"), at, F.lit(":00-05:00")).alias("planned"))
 
 
-QUERIES = {f.__name__: f for f in (wn_nearest_engineers, jn_product_skill, sc_penalties, ag_attempts_month, ag_payload_minutes, ag_city_overall, flt_located, rp_attendance, rp_region_gap, rp_region_shortage, rp_engineer_scenarios, df_active_count, xt_default_technicians, prj_planned_time)}
+def jn_planar_centre(spark: SparkSession, sf: str) -> DataFrame:
+    """Postal codes outside the regions (here those that end in 0 or 5) to the nearest centre of their city on the mercator plane, the smaller region on ties."""
+    x, y = mercator(F.col("latitude"), F.col("longitude"))
+    p = joins._postals(spark, sf).where("right(postal_code, 1) in ('0', '5')").select("city", "postal_code", x.alias("x"), y.alias("y"))
+    c = joins.centres(spark, sf).select("city", "region_seq", x.alias("cx"), y.alias("cy"))
+    metres = F.round(F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")), 3)
+    best = p.join(c, "city").groupBy("city", "postal_code").agg(F.min(F.struct(metres.alias("metres"), "region_seq")).alias("b"))
+    return best.select("city", "postal_code", "b.region_seq", F.round(F.col("b.metres") / 1000, 3).alias("km"))
+
+
+def wn_first_input(spark: SparkSession, sf: str) -> DataFrame:
+    """Visits without repeated (postal code, product group), the first in input order, which order and line number state."""
+    v = visits(spark, sf).select("l_orderkey", "l_linenumber", "engineer_code", "postal_code", "product_group")
+    return R.keep_first(v, ["postal_code", "product_group"], [F.col("l_orderkey"), F.col("l_linenumber"), F.col("engineer_code")])
+
+
+def xt_located_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows with both coordinates and rows without, counted by source."""
+    both = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    return joins.jn_overlay(spark, sf).groupBy(both.alias("located"), "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ag_daily_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """By date: jobs, heavy jobs, engineers at work, minutes and jobs an engineer with deviation, maximum and overflow."""
+    v = visits(spark, sf)
+    day = v.groupBy("service_date").agg(F.countDistinct("receipt_no").alias("jobs"), F.count_if("is_heavy").alias("heavy_lines"))
+    per = v.groupBy("service_date", "engineer_code").agg(F.sum("service_min").alias("m"), F.countDistinct("receipt_no").alias("j"))
+    who = per.groupBy("service_date").agg(F.count(F.lit(1)).alias("engineers"), F.sum("m").alias("minutes"), F.round(F.avg("m"), 4).alias("mean_minutes"), F.round(F.stddev_pop("m"), 4).alias("std_minutes"), F.max("m").alias("longest"), F.max("j").alias("most_jobs"), F.min("j").alias("fewest_jobs"), F.round(F.stddev_pop("j"), 4).alias("std_jobs"), F.count_if(F.col("m") > 480).alias("overflow"))
+    return day.join(who, "service_date")
+
+
+QUERIES = {f.__name__: f for f in (wn_nearest_engineers, jn_product_skill, sc_penalties, ag_attempts_month, ag_payload_minutes, ag_city_overall, flt_located, rp_attendance, rp_region_gap, rp_region_shortage, rp_engineer_scenarios, df_active_count, xt_default_technicians, prj_planned_time, jn_planar_centre, wn_first_input, xt_located_split, ag_daily_metrics)}
 
 _SIDES = f"{VISITS_SQL}, {_REGIONS}, w AS (SELECT * FROM visits JOIN regions USING (postal_code))"
 _GAP = f"""{_SIDES}, h AS (SELECT service_date, region_seq, count(DISTINCT CASE WHEN symptom <> 'A' THEN engineer_code END) AS actual_total, count(DISTINCT CASE WHEN symptom <> 'R' THEN engineer_code END) AS assigned_total,
@@ -182,4 +213,17 @@ SELECT n.city, service_date, receipts, CAST(greatest(1, least(c, (receipts + 3)
     "xt_default_technicians": f"""WITH {VISITS_SQL}, {ENGINEERS_SQL}, v AS (SELECT DISTINCT city, engineer_code FROM visits)
 SELECT v.city, v.engineer_code, coalesce(e.center_type, '') AS center_type, '09:00' AS shift_start, '18:00' AS shift_end, 8 AS slot_count, 8 AS max_jobs FROM v LEFT JOIN engineers e ON e.engineer_code = v.engineer_code AND e.region_seq <> 3""",
     "prj_planned_time": """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS service_date, strftime(o_orderdate, '%Y-%m-%d') || 'T' || CASE WHEN o_orderkey % 3 = 1 THEN '13:30' ELSE '09:00' END || ':00-05:00' AS planned FROM orders WHERE o_orderkey % 13 <> 0""",
+    "jn_planar_centre": f"""WITH {VISITS_SQL}, {ENGINEERS_SQL}, {joins._CENTRES}, {joins._POSTALS},
+k AS (SELECT p.city, p.postal_code, c.region_seq, round(sqrt(pow({MERCATOR_M}::DOUBLE * (radians(p.longitude) - radians(c.longitude)), 2)
+ + pow({MERCATOR_M}::DOUBLE * (ln(tan(pi() / 4 + radians(p.latitude) / 2)) - ln(tan(pi() / 4 + radians(c.latitude) / 2))), 2)), 3) AS metres
+ FROM postals p JOIN centres c ON c.city = p.city WHERE right(p.postal_code, 1) IN ('0', '5')),
+r AS (SELECT *, row_number() OVER (PARTITION BY city, postal_code ORDER BY metres, region_seq) AS rn FROM k)
+SELECT city, postal_code, region_seq, round(metres / 1000, 3) AS km FROM r WHERE rn = 1""",
+    "wn_first_input": f"""WITH {VISITS_SQL}, k AS (SELECT l_orderkey, l_linenumber, engineer_code, postal_code, product_group, row_number() OVER (PARTITION BY postal_code, product_group ORDER BY l_orderkey, l_linenumber, engineer_code) AS rn FROM visits)
+SELECT l_orderkey, l_linenumber, engineer_code, postal_code, product_group FROM k WHERE rn = 1""",
+    "xt_located_split": f"SELECT latitude IS NOT NULL AND longitude IS NOT NULL AS located, source, count(*) AS n FROM ({joins.SQL['jn_overlay']}) GROUP BY 1, 2",
+    "ag_daily_metrics": f"""WITH {VISITS_SQL}, d AS (SELECT service_date, count(DISTINCT receipt_no) AS jobs, count(*) FILTER (WHERE is_heavy) AS heavy_lines FROM visits GROUP BY 1),
+p AS (SELECT service_date, engineer_code, CAST(sum(service_min) AS BIGINT) AS m, count(DISTINCT receipt_no) AS j FROM visits GROUP BY 1, 2),
+w AS (SELECT service_date, count(*) AS engineers, CAST(sum(m) AS BIGINT) AS minutes, round(avg(m), 4) AS mean_minutes, round(stddev_pop(m), 4) AS std_minutes, max(m) AS longest, max(j) AS most_jobs, min(j) AS fewest_jobs, round(stddev_pop(j), 4) AS std_jobs, count(*) FILTER (WHERE m > 480) AS overflow FROM p GROUP BY 1)
+SELECT * FROM d JOIN w USING (service_date)""",
 }
