@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldroute.functions.geo import haversine_km, haversine_sql
 from fieldroute.operators.feasibility import balance_score, border_support, region_capacity
 from fieldroute.plans.aggregates import _REGIONS, regions
 from fieldroute.sources.adapter import ENGINEERS_SQL, VISITS_SQL, engineers, visits
@@ -67,11 +68,14 @@ def rp_receipt_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def df_balance_score(spark: SparkSession, sf: str) -> DataFrame:
-    v = visits(spark, sf).groupBy("city", "symptom").agg(F.countDistinct("receipt_no").alias("n"), F.sum("service_min").alias("m"), F.stddev_pop("service_min").alias("s"), F.countDistinct("engineer_code").alias("e"), F.count_if(F.col("is_heavy")).alias("o"))
+    """Lines of symptom R against those of A by city; the distance is that from each engineer's home, straight."""
+    homes = engineers(spark, sf).select("engineer_code", "home_lat", "home_lon")
+    km = F.round(haversine_km(F.col("home_lat"), F.col("home_lon"), F.col("latitude"), F.col("longitude")), 6)
+    v = visits(spark, sf).join(homes, "engineer_code").groupBy("city", "symptom").agg(F.sum(km).alias("d"), F.countDistinct("receipt_no").alias("n"), F.sum("service_min").alias("m"), F.stddev_pop("service_min").alias("s"), F.countDistinct("engineer_code").alias("e"), F.count_if(F.col("is_heavy")).alias("o"))
     a = v.where("symptom = 'A'").drop("symptom")
-    b = v.where("symptom = 'R'").select("city", *[F.col(c).alias(f"{c}2") for c in ("n", "m", "s", "e", "o")])
+    b = v.where("symptom = 'R'").select("city", *[F.col(c).alias(f"{c}2") for c in ("d", "n", "m", "s", "e", "o")])
     pct = lambda c: (F.col(f"{c}2") - F.col(c)) / F.nullif(F.col(c).cast("double"), F.lit(0.0)) * 100
-    j = a.join(b, "city").select("city", pct("n").alias("distance_pct"), pct("m").alias("duration_pct"), pct("s").alias("std_pct"), pct("n").alias("jobs_pct"), pct("e").alias("headcount_pct"), (F.col("o2") - F.col("o")).cast("double").alias("overflow_delta"))
+    j = a.join(b, "city").select("city", pct("d").alias("distance_pct"), pct("m").alias("duration_pct"), pct("s").alias("std_pct"), pct("n").alias("jobs_pct"), pct("e").alias("headcount_pct"), (F.col("o2") - F.col("o")).cast("double").alias("overflow_delta"))
     return balance_score(j).select("city", F.round("balance_score", 4).alias("balance_score"))
 
 
@@ -86,5 +90,5 @@ SQL = {
     "rp_difference_detail": f"WITH {_SIDES} SELECT service_month, center_type, engineer_code, CASE WHEN actual = 1 THEN 'actual_only' ELSE 'assigned_only' END AS difference_type FROM k WHERE actual <> assigned",
     "rp_jobs_per_engineer": f"WITH {VISITS_SQL}, a AS (SELECT service_date, CAST(count(DISTINCT receipt_no) AS DOUBLE) / count(DISTINCT engineer_code) AS r FROM visits WHERE symptom <> 'A' GROUP BY 1), b AS (SELECT service_date, CAST(count(DISTINCT receipt_no) AS DOUBLE) / count(DISTINCT engineer_code) AS r FROM visits WHERE symptom <> 'R' GROUP BY 1) SELECT coalesce(a.service_date, b.service_date) AS service_date, round(a.r, 4) AS actual, round(b.r, 4) AS assigned, round(b.r - a.r, 4) AS difference FROM a FULL OUTER JOIN b ON a.service_date = b.service_date",
     "rp_receipt_changes": f"WITH {VISITS_SQL}, w AS (SELECT receipt_no, engineer_code, l_linenumber, min(l_linenumber) OVER (PARTITION BY receipt_no) AS lo, max(l_linenumber) OVER (PARTITION BY receipt_no) AS hi FROM visits), k AS (SELECT receipt_no, min(CASE WHEN l_linenumber = lo THEN engineer_code END) AS engineer_a, max(CASE WHEN l_linenumber = hi THEN engineer_code END) AS engineer_b FROM w GROUP BY 1) SELECT * FROM k WHERE engineer_a <> engineer_b",
-    "df_balance_score": f"WITH {VISITS_SQL}, v AS (SELECT city, symptom, CAST(count(DISTINCT receipt_no) AS DOUBLE) AS n, CAST(sum(service_min) AS DOUBLE) AS m, stddev_pop(service_min) AS s, CAST(count(DISTINCT engineer_code) AS DOUBLE) AS e, CAST(count(*) FILTER (WHERE is_heavy) AS DOUBLE) AS o FROM visits GROUP BY 1, 2), j AS (SELECT a.city, (b.n - a.n) / a.n * 100 AS n, (b.m - a.m) / a.m * 100 AS m, (b.s - a.s) / nullif(a.s, 0) * 100 AS s, (b.e - a.e) / a.e * 100 AS e, b.o - a.o AS o FROM v a JOIN v b ON a.city = b.city AND a.symptom = 'A' AND b.symptom = 'R') SELECT city, round(CAST(0.35 AS DOUBLE) * greatest(n, 0) + CAST(0.35 AS DOUBLE) * greatest(m, 0) + CAST(0.20 AS DOUBLE) * greatest(s, 0) + CAST(0.10 AS DOUBLE) * greatest(n, 0) - CAST(0.20 AS DOUBLE) * abs(least(e, 0)) + CAST(0.5 AS DOUBLE) * greatest(o, 0), 4) AS balance_score FROM j",
+    "df_balance_score": f"WITH {VISITS_SQL}, {ENGINEERS_SQL}, v AS (SELECT v.city, symptom, sum(round({haversine_sql('home_lat', 'home_lon', 'latitude', 'longitude')}, 6)) AS d, CAST(count(DISTINCT receipt_no) AS DOUBLE) AS n, CAST(sum(service_min) AS DOUBLE) AS m, stddev_pop(service_min) AS s, CAST(count(DISTINCT v.engineer_code) AS DOUBLE) AS e, CAST(count(*) FILTER (WHERE is_heavy) AS DOUBLE) AS o FROM visits v JOIN engineers e ON e.engineer_code = v.engineer_code GROUP BY 1, 2), j AS (SELECT a.city, (b.d - a.d) / a.d * 100 AS d, (b.n - a.n) / a.n * 100 AS n, (b.m - a.m) / a.m * 100 AS m, (b.s - a.s) / nullif(a.s, 0) * 100 AS s, (b.e - a.e) / a.e * 100 AS e, b.o - a.o AS o FROM v a JOIN v b ON a.city = b.city AND a.symptom = 'A' AND b.symptom = 'R') SELECT city, round(CAST(0.35 AS DOUBLE) * greatest(d, 0) + CAST(0.35 AS DOUBLE) * greatest(m, 0) + CAST(0.20 AS DOUBLE) * greatest(s, 0) + CAST(0.10 AS DOUBLE) * greatest(n, 0) - CAST(0.20 AS DOUBLE) * abs(least(e, 0)) + CAST(0.5 AS DOUBLE) * greatest(o, 0), 4) AS balance_score FROM j",
 }
