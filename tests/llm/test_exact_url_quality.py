@@ -120,3 +120,12 @@ def test_score_and_verdict_by_brute_force(spark, sf, threshold):
         assert (d, t) == (e, u) and abs(score - expected) < 1e-4
         if abs(expected - threshold) > 1e-4:
             assert kept == (not brute.base(t)[5] and expected >= threshold)
+
+
+def test_quality_takes_clashing_and_untyped_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c " * 30, "x", 5), (1, None, "y", 6), (None, "", None, 7)], "doc_id long, text string, _ratio string, n_words int")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    rows = quality(docs.withColumn("_text", F.lit("q")).withColumn("_in", F.lit(1)).withColumn("nothing", F.lit(None)), labels).collect()
+    assert sorted((r.n_words, r["_ratio"] or "", r["_text"], r["_in"], r.nothing, r.kept) for r in rows) == [(0, "", "q", 1, None, False), (0, "y", "q", 1, None, False), (90, "x", "q", 1, None, False)]
+    slim = quality(docs, labels, columns=["doc_id"])
+    assert slim.columns[0] == "doc_id" and "text" not in slim.columns and slim.count() == 3
