@@ -80,7 +80,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_url_filter, op4_quality_rules, op5_toxicity, op6_packing, op7_token_files, op8_minhash, op9_quality_classifier, op10_suffix_dedup)}
 
-#: DuckDB SQL; the LLR verdict of op4 and the trained or tokenised operators have none.
+#: DuckDB SQL; the LLR verdict of op4 and the trained or tokenised operators have none. That of op8 pairs off shared shingles and that of op10 spells every window: for small tables.
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": """
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
@@ -94,4 +94,25 @@ m AS (SELECT p.page_id, r.rhost || r.rpath AS rule, r.action, row_number() OVER
 FROM p JOIN r ON (p.host = r.rhost OR ends_with(p.host, '.' || r.rhost)) AND starts_with(p.path, r.rpath))
 SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.action, 'allow') AS verdict
 FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.k = 1""",
+    "op8_minhash": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+sh AS (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM sets),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k, any_value(a.n) + any_value(b.n) AS n FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM common WHERE 100 * k >= 75 * (n - k) UNION ALL SELECT y, x FROM common WHERE 100 * k >= 75 * (n - k)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON r.other = l.x),
+roots AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN roots USING (doc_id)""",
+    "op10_suffix_dedup": """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 49)) AS p, unnest(list_transform(range(0, len(h) // 2 - 49), lambda i: substr(h, 2 * i + 1, 100))) AS s FROM h),
+gone AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS first FROM w) WHERE first < doc_id),
+steps AS (SELECT doc_id, p, coalesce(p > lag(p) OVER d + 50, true) AS opens FROM gone WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
+numbered AS (SELECT doc_id, p, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM steps),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM numbered GROUP BY doc_id, run),
+edges AS (SELECT doc_id, a, b FROM spans UNION ALL SELECT doc_id, len(h) // 2, len(h) // 2 FROM h),
+heads AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS since FROM edges)
+SELECT doc_id, CAST(any_value(len(h) // 2) AS BIGINT) AS n_bytes, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) - 1 AS n_spans,
+ sha256(unhex(string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a, b))) AS kept_sha256
+FROM heads JOIN h USING (doc_id) GROUP BY doc_id""",
 }
