@@ -50,7 +50,9 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), with_sentences=True)
+    found = F.transform("sentences", lambda s: s["first_word"])
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("sentences").cast("long").alias("n_offending"), F.array_join(found.cast("array<string>"), ",").alias("offending_at"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

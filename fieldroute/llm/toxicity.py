@@ -67,6 +67,17 @@ def sentence_scores(scored: list[tuple[float, bool]], bias: float) -> tuple[np.n
     return 1 / (1 + np.exp(-np.clip(total, -30, 30))), first
 
 
+def slopes(at: np.ndarray, feature: np.ndarray, doc_of: np.ndarray, positive: np.ndarray, w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+    """Gradient of the mean negative log-likelihood by weights and bias, from (sentence, feature) pairs."""
+    n = len(doc_of)
+    s = np.clip(np.bincount(at, w[feature], minlength=n) + bias, -30, 30)
+    p = 1 / (1 + np.exp(-s))
+    none = np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(positive))
+    some = np.maximum(noisy_or(none), 1e-9)
+    g = p * np.where(positive, -(1 - some) / some, 1.0)[doc_of] / len(positive)
+    return np.bincount(feature, g[at], minlength=len(w)), g.sum()
+
+
 def fit(texts: list[bytes], y: np.ndarray) -> Model:
     """Adagrad on the noisy-or likelihood, in plain arrays of (sentence, feature) pairs."""
     if len(set(y.tolist())) < 2:
@@ -91,16 +102,10 @@ def fit(texts: list[bytes], y: np.ndarray) -> Model:
     seen, seen_bias = np.full(len(used), 1e-3), 1e-3
     positive = y > 0
     for _ in range(STEPS):
-        s = np.clip(np.bincount(at, w[feature], minlength=n) + bias, -30, 30)
-        p = 1 / (1 + np.exp(-s))
-        none = np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=len(texts))
-        some = np.maximum(noisy_or(none), 1e-9)
-        g = p * np.where(positive, -(1 - some) / some, 1.0)[doc_of] / len(texts)
-        grad = np.bincount(feature, g[at], minlength=len(used))
+        grad, total = slopes(at, feature, doc_of, positive, w, bias)
         seen += grad**2 * 1e4
         w -= RATE * grad * 100 / np.sqrt(seen)
         w = np.sign(w) * np.maximum(np.abs(w) - RATE * SHRINK * 100 / np.sqrt(seen), 0)
-        total = g.sum()
         seen_bias += total**2 * 1e4
         bias -= 0.3 * total * 100 / np.sqrt(seen_bias)
     weights = np.zeros(DIMENSIONS, np.float32)

@@ -60,3 +60,66 @@ def test_odd_rows(spark):
         assert len(rows) == 7 and all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in rows)
         assert all(r.held_out for r in rows if r.doc_id is None)
     assert toxicity.score(docs.limit(0), toxicity.train(docs, none)).count() == 0
+
+
+def test_noisy_or_gradient_by_finite_differences():
+    rng = np.random.default_rng(3)
+    doc_of = np.sort(rng.integers(0, 8, 25)).astype(np.int32)
+    at, feature = rng.integers(0, 25, 90).astype(np.int32), rng.integers(0, 12, 90)
+    positive, w, bias = np.arange(8) % 2 == 0, rng.normal(size=12), -0.7
+
+    def loss(w, bias):
+        total = 0.0
+        for d in range(8):
+            none = 1.0
+            for k in np.flatnonzero(doc_of == d):
+                none *= 1 - 1 / (1 + np.exp(-(sum(w[f] for f in feature[at == k]) + bias)))
+            total -= (np.log(max(1 - none, 1e-9)) if positive[d] else np.log(none)) / 8
+        return total
+
+    grad, by_bias = toxicity.slopes(at, feature, doc_of, positive, w, bias)
+    step = np.eye(12) * 1e-6
+    assert np.allclose(grad, [(loss(w + e, bias) - loss(w - e, bias)) / 2e-6 for e in step], atol=1e-6)
+    assert np.isclose(by_bias, (loss(w, bias + 1e-6) - loss(w, bias - 1e-6)) / 2e-6, atol=1e-6)
+
+
+def test_toxicity_score_against_a_loop(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "labels")
+    model = toxicity.train(docs, labels)
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    for r in toxicity.score(docs, model, with_sentences=True).collect():
+        none, total, start, offends = 1.0, model.bias, 0, []
+        words = texts[r.doc_id].replace(b"\n", b" . ").split()
+        for k, word in enumerate(words):
+            total += sum(float(model.weights[i]) for i in toxicity.features(word))
+            if word.endswith((b".", b"!", b"?")) or k == len(words) - 1:
+                p = 1 / (1 + np.exp(-min(max(total, -30), 30)))
+                none *= 1 - min(p, 1 - 1e-12)
+                offends += [(start, k + 1 - start)] if p >= 0.5 else []
+                total, start = model.bias, k + 1
+        assert abs(r.score - (1 - none)) < 1e-6
+        assert [(s.first_word, s.words) for s in r.sentences] == offends
+
+
+def test_gam_score_is_a_sum_of_bins():
+    rng = np.random.default_rng(1)
+    x = rng.random((600, 4)).round(2)
+    model = gam.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float))
+    for row, got in zip(x[:60], model.score(x[:60]), strict=True):
+        total = model.bias + sum(t[sum(e <= v for e in edges)] for t, edges, v in zip(model.tables, model.edges, row, strict=True))
+        total += sum(t[sum(e <= row[i] for e in model.coarse[i]), sum(e <= row[j] for e in model.coarse[j])] for i, j, t in model.pairs)
+        assert abs(got - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_gam_split_against_every_cut():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        g, h, n = rng.normal(size=12), rng.random(12) + 0.1, rng.integers(0, 9, 12)
+        best, at = 1e-6, None
+        for c in range(1, 12):
+            if min(n[:c].sum(), n[c:].sum()) < gam.LEAST_ROWS:
+                continue
+            gain = sum(v.sum() ** 2 / (k.sum() + gam.RIDGE) for v, k in ((g[:c], h[:c]), (g[c:], h[c:]))) - g.sum() ** 2 / (h.sum() + gam.RIDGE)
+            if gain > best:
+                best, at = gain, c
+        assert gam._split(g, h, n, 0, 12) == at
