@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldroute.plans import aggregates, cleansing, domain, joins, reports, staffing, streams
+from fieldroute.plans import aggregates, cleansing, domain, explorer, joins, reports, staffing, streams
 
-_MODULES = (domain, cleansing, joins, aggregates, reports, staffing, streams)
+_MODULES = (domain, cleansing, joins, aggregates, reports, staffing, explorer, streams)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: q for m in _MODULES for k, q in m.SQL.items()}
