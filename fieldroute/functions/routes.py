@@ -31,6 +31,17 @@ def nearest_neighbour(points, start=None):
     return F.aggregate(left, begin, step, lambda s: F.struct(s["path"].alias("path"), s["km"].alias("km")))
 
 
+def best_start(points):
+    """The shortest greedy path over all starts, the first of equals; up to two stops stay as they are."""
+
+    def rooted(i):
+        others = F.filter(points, lambda x, j: j != i)
+        return nearest_neighbour(F.concat(F.slice(points, i + 1, F.lit(1)), others))
+
+    tried = F.transform(F.sequence(F.lit(0), F.greatest(F.size(points) - 1, F.lit(0))), lambda i: F.struct(F.round(rooted(i)["km"], 9).alias("km"), i.alias("start")))
+    return F.when(F.size(points) <= 2, F.struct(path_km(points).alias("km"), F.lit(0).alias("start"))).otherwise(F.array_min(tried))
+
+
 def path_km(points):
     """Length of a path in the given order."""
     legs = F.transform(points, lambda x, i: F.when(i == 0, 0.0).otherwise(haversine_km(F.get(points, i - 1)["lat"], F.get(points, i - 1)["lon"], x["lat"], x["lon"])))

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldroute.functions import text as T
-from fieldroute.functions.routes import coordinate_key, insertion_delta, nearest_neighbour, path_km, stops, timeline, weighted_chunks
+from fieldroute.functions.routes import best_start, coordinate_key, insertion_delta, nearest_neighbour, path_km, stops, timeline, weighted_chunks
 from fieldroute.operators import relational as R
+from fieldroute.operators.allocation import allocate, fixed_regions, objective, overflow_ratio, override_regions, sweep_scores
 from fieldroute.operators.regions import assign_days, batch_days, design_regions
 from fieldroute.operators.routing import ORDINALS, city_summary, compare_scenarios, daily_summary, route_groups
+from fieldroute.plans.aggregates import regions
 from fieldroute.session import cut
 from fieldroute.sources.adapter import VISITS_SQL, engineers, visits
 
@@ -102,6 +104,55 @@ def df_assignment(spark: SparkSession, sf: str) -> DataFrame:
     return assign_days(jobs, engineers(spark, sf).select("city", "engineer_code", "home_lat", "home_lon", "ref_heavy"), DAY)
 
 
+def df_objective(spark: SparkSession, sf: str) -> DataFrame:
+    """Objective of every city-day of df_assignment."""
+    jobs = _jobs(spark, sf).select(*DAY, "receipt_no", "service_min", "is_heavy")
+    out = objective(df_assignment(spark, sf).join(jobs, [*DAY, "receipt_no"]), DAY)
+    return out.drop("balance_first", "travel_first")
+
+
+def df_multi_start(spark: SparkSession, sf: str) -> DataFrame:
+    """Shortest greedy route of an engineer-day over all first stops, beside that from its first."""
+    day = visits(spark, sf).groupBy("engineer_code", "service_date").agg(stops([F.col(c) for c in ORDINALS], F.col("longitude"), F.col("latitude")).alias("stops"))
+    best = day.withColumn("best", best_start(F.col("stops")))
+    return best.select("engineer_code", "service_date", F.size("stops").alias("stops"), F.round(nearest_neighbour(F.col("stops"))["km"], 3).alias("first_km"), F.round("best.km", 3).alias("best_km"))
+
+
+def df_region_allocation(spark: SparkSession, sf: str) -> DataFrame:
+    """The region of each engineer of a city's own centers that keeps most of their postal codes, with even counts."""
+    seen = R.overlap_ratio(visits(spark, sf), regions(spark, sf))
+    staff = engineers(spark, sf).where("center_type = 'DMS'").select("city", "engineer_code")
+    return allocate(staff.join(seen, "engineer_code", "left"), 3)
+
+
+def df_region_master(spark: SparkSession, sf: str) -> DataFrame:
+    """Allocation after overrides by hand (each city's first engineers of regions 1 and 2 change places), with the workload rank in the region and flags."""
+    plan = cut(df_region_allocation(spark, sf), "allocation")
+    pair = plan.where("region_seq < 3").groupBy("city", "region_seq").agg(F.min("engineer_code").alias("engineer_code"))
+    both = pair.groupBy("city").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("city")
+    swap = pair.join(both, "city").select("engineer_code", (3 - F.col("region_seq")).alias("region_seq"))
+    master = override_regions(plan, swap)
+    work = visits(spark, sf).groupBy("engineer_code").agg(F.countDistinct("receipt_no").alias("receipts"))
+    master = master.join(work, "engineer_code", "left").fillna(0, ["receipts"]).join(engineers(spark, sf).select("engineer_code", "slot", "ref_heavy"), "engineer_code")
+    return master.withColumn("workload_rank", F.row_number().over(Window.partitionBy("city", "region_seq").orderBy(F.col("receipts").desc(), F.col("engineer_code"))))
+
+
+def df_region_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """For every city and one to three regions: routes of the fewest units, their changes against the current ones, score and best count."""
+    p = visits(spark, sf).groupBy("city", "postal_code").agg(F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"), F.countDistinct("receipt_no").cast("double").alias("weight"))
+    designed = cut(fixed_regions(p.withColumn("regions", F.explode(F.array(*map(F.lit, (1, 2, 3)))))), "sweep-regions")
+    keys = ["city", "regions", "region", "service_date"]
+    jobs = _jobs(spark, sf).join(designed, ["city", "postal_code"]).select(*keys, "receipt_no", *ORDINALS, "latitude", "longitude", "service_min")
+    units = batch_days(jobs.select(*keys, "receipt_no", "latitude", "longitude", "service_min"), keys)
+    routes = cut(route_groups(jobs.join(units, [*keys, "receipt_no"]), [*keys, "unit"]), "sweep-routes")
+    tagged = routes.withColumn("unit", F.concat_ws("-", "region", "unit")).withColumn("candidate", F.struct("city", "regions"))
+    found = city_summary(daily_summary(tagged, city="candidate", day="service_date", unit="unit", rounded=False), city="candidate").select("candidate.*", "*").drop("candidate")
+    found = found.join(overflow_ratio(routes, ["city", "regions"]), ["city", "regions"])
+    now = cut(route_groups(visits(spark, sf), [*DAY, "engineer_code"]), "current-routes")
+    current = city_summary(daily_summary(now, day="service_date", rounded=False)).join(overflow_ratio(now, ["city"]), "city")
+    return sweep_scores(current, found)
+
+
 def df_payload(spark: SparkSession, sf: str) -> DataFrame:
     """Request documents by city-month as JSON, read back and exploded."""
     v = _jobs(spark, sf)
@@ -118,7 +169,7 @@ def df_visit_sequence(spark: SparkSession, sf: str) -> DataFrame:
     return visits(spark, sf).select("engineer_code", "service_date", "receipt_no", "l_linenumber", F.row_number().over(w).alias("visit_seq"))
 
 
-QUERIES = {f.__name__: f for f in (flagship_routing_compare, df_current_daily, df_city_summary, df_integrated_units, df_single_stop_routes, df_engineer_day_routes, df_schedule, df_insertion, df_chunks, df_region_design, df_assignment, df_payload, df_visit_sequence)}
+QUERIES = {f.__name__: f for f in (flagship_routing_compare, df_current_daily, df_city_summary, df_integrated_units, df_single_stop_routes, df_engineer_day_routes, df_schedule, df_insertion, df_chunks, df_region_design, df_region_sweep, df_region_allocation, df_region_master, df_assignment, df_objective, df_multi_start, df_payload, df_visit_sequence)}
 _FIRST = "f AS (SELECT *, row_number() OVER (PARTITION BY receipt_no ORDER BY service_min DESC, l_linenumber, engineer_code, service_date) AS rn FROM visits)"
 SQL = {
     "df_single_stop_routes": f"WITH {VISITS_SQL}, g AS (SELECT engineer_code, service_date, count(*) AS job_count, count(DISTINCT latitude * 100000 + longitude) AS unique_stop_count FROM visits GROUP BY 1, 2) SELECT *, CAST(0 AS DOUBLE) AS distance_km, CAST(0 AS DOUBLE) AS duration_min FROM g WHERE unique_stop_count <= 1",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldroute.functions.text import boolean
 from fieldroute.operators.relational import upsert
 
 #: Encodings in the order in which they are tried.
@@ -33,6 +34,56 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return out.withColumnsRenamed({c: c.lstrip(BOM) for c in out.columns if c.startswith(BOM)}).drop(*[c for c in out.columns if c.startswith("Unnamed:")])
 
 
+def backfill(df: DataFrame | None, spark: SparkSession, schema: str, flags: Sequence[str] = ()) -> DataFrame:
+    """The columns of ``schema`` in its order, null where ``df`` lacks one; empty without ``df``. Text flags become booleans."""
+    wanted = spark.createDataFrame([], schema)
+    if df is None:
+        return wanted
+    df = df.withColumns({c: boolean(F.col(c).cast("string")) for c in flags if c in df.columns})
+    return wanted.unionByName(df.select(*[F.col(f.name).cast(f.dataType) for f in wanted.schema if f.name in df.columns]), allowMissingColumns=True)
+
+
+def newest_valid(spark: SparkSession, folder: str, pattern: str, required: Sequence[str]) -> str | None:
+    """Path of the newest CSV file that fits the pattern and has the required columns; only headers are read."""
+    head = spark.read.option("pathGlobFilter", pattern).text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("at"), "_metadata.file_block_start", F.regexp_replace("value", BOM, "").alias("value"))
+    cells = F.transform(F.split("value", ","), lambda c: F.btrim(c, F.lit(' "')))
+    fits = head.where((F.col("file_block_start") == 0) & F.forall(F.array(*map(F.lit, required)), lambda c: F.array_contains(cells, c)))
+    found = fits.orderBy(F.col("at").desc(), F.col("path").desc()).select("path").head()
+    return found.path if found else None
+
+
+def read_route_cache(spark: SparkSession, path: str) -> DataFrame:
+    """One JSON route a line; lines that are none are skipped, repeated keys stay."""
+    schema = "cache_key string, distance_km double, duration_min double, coords array<array<double>>"
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).where("cache_key is not null")
+
+
+def read_trip_cache(spark: SparkSession, path: str) -> DataFrame:
+    """cache_key, km and minutes; malformed rows are skipped."""
+    schema = "cache_key string, distance_km double, duration_min double"
+    rows = spark.read.schema(schema).option("header", True).option("mode", "DROPMALFORMED").csv(path)
+    return rows.where("cache_key is not null and distance_km is not null and duration_min is not null")
+
+
+def read_sniffed_csv(spark: SparkSession, path: str, delimiters: str = ",;\t|") -> DataFrame:
+    """CSV whose delimiter is the one met most often in its header; blank text stays blank."""
+    first = spark.read.text(path).limit(1).collect()
+    line = first[0].value if first else ""
+    sep = max(delimiters, key=line.count)
+    out = spark.read.option("header", True).option("sep", sep).option("nullValue", "\u0000").option("emptyValue", "").csv(path)
+    return out.fillna("").withColumnsRenamed({c: c.lstrip(BOM) for c in out.columns if c.startswith(BOM)})
+
+
+def keep_last(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Cache rows with the new ones after them; of rows with one key the newest generation's stays."""
+    return upsert(existing, new.dropDuplicates(keys), keys)
+
+
+def service_query(spark: SparkSession, sql: str, first_day: str, last_day: str, postals: DataFrame, postal_col: str = "postal_code") -> DataFrame:
+    """A query with the named parameters :first_day and :last_day, limited to the postal codes of a table by a semi join."""
+    return spark.sql(sql, args={"first_day": first_day, "last_day": last_day}).join(postals.select(postal_col), postal_col, "left_semi")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
