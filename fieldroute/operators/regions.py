@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from fieldroute.session import ship
+from fieldroute.session import ship, shuffle_width
 
 #: Fixed values of the region model.
 BALANCE_WEIGHT, RADIUS_WEIGHT, GROWTH_ROUNDS, LLOYD_STEPS = 120.0, 40.0, 20, 50
@@ -172,18 +172,25 @@ def design_regions(postals: DataFrame, city: str = "city") -> DataFrame:
     return postals.groupBy(city).applyInPandas(run, f"{city} string, postal_code string, region int")
 
 
-def batch_days(jobs: DataFrame, keys: list[str], per_unit: int = 5) -> DataFrame:
-    """Unit number of every job of a day, one group a (city, region, day)."""
+def batch_days(jobs: DataFrame, keys: list[str], per_unit: int = 5, together: list[str] | None = None) -> DataFrame:
+    """Unit number of every job of a day, each (city, region, day) for itself.
+
+    One group is one set of ``keys``, or, for fewer calls, one of the keys in ``together``.
+    """
     ship(jobs.sparkSession)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in jobs.select(*keys, "receipt_no").schema) + ", unit int"
+    rest = [k for k in keys if together and k not in together]
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("receipt_no").reset_index(drop=True)
+        df = df.sort_values([*rest, "receipt_no"]).reset_index(drop=True)
         points, minutes = df[["latitude", "longitude"]].to_numpy(float), df["service_min"].to_numpy(float)
-        labels = absorb_singles(points, minutes, day_batches(points, minutes, per_unit))
-        return df[[*keys, "receipt_no"]].assign(unit=labels.astype(np.int32))
+        unit = np.zeros(len(df), np.int32)
+        for own in df.groupby(rest).indices.values() if rest else [np.arange(len(df))]:
+            unit[own] = absorb_singles(points[own], minutes[own], day_batches(points[own], minutes[own], per_unit))
+        return df[[*keys, "receipt_no"]].assign(unit=unit)
 
-    return jobs.groupBy(*keys).applyInPandas(run, schema)
+    # A day is a few bytes but much work: a stated width keeps adaptive execution from joining all days in one task.
+    return jobs.repartition(shuffle_width(jobs.sparkSession), *(together or keys)).groupBy(*(together or keys)).applyInPandas(run, schema)
 
 
 def assign_days(jobs: DataFrame, roster: DataFrame, keys: list[str]) -> DataFrame:
@@ -217,4 +224,5 @@ def assign_days(jobs: DataFrame, roster: DataFrame, keys: list[str]) -> DataFram
 
     days = jobs.select(*keys).distinct().toDF(*[f"at_{k}" for k in keys])
     staff = days.join(roster.withColumnRenamed("city", "at_city"), "at_city")
-    return jobs.groupBy(*keys).cogroup(staff.groupBy(*[f"at_{k}" for k in keys])).applyInPandas(run, schema)
+    width, at_keys = shuffle_width(jobs.sparkSession), [f"at_{k}" for k in keys]
+    return jobs.repartition(width, *keys).groupBy(*keys).cogroup(staff.repartition(width, *at_keys).groupBy(*at_keys)).applyInPandas(run, schema)

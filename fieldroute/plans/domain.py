@@ -143,7 +143,7 @@ def df_region_sweep(spark: SparkSession, sf: str) -> DataFrame:
     designed = cut(fixed_regions(p.withColumn("regions", F.explode(F.array(*map(F.lit, (1, 2, 3)))))), "sweep-regions")
     keys = ["city", "regions", "region", "service_date"]
     jobs = _jobs(spark, sf).join(designed, ["city", "postal_code"]).select(*keys, "receipt_no", *ORDINALS, "latitude", "longitude", "service_min")
-    units = batch_days(jobs.select(*keys, "receipt_no", "latitude", "longitude", "service_min"), keys)
+    units = batch_days(jobs.select(*keys, "receipt_no", "latitude", "longitude", "service_min"), keys, together=DAY)
     routes = cut(route_groups(jobs.join(units, [*keys, "receipt_no"]), [*keys, "unit"]), "sweep-routes")
     tagged = routes.withColumn("unit", F.concat_ws("-", "region", "unit")).withColumn("candidate", F.struct("city", "regions"))
     found = city_summary(daily_summary(tagged, city="candidate", day="service_date", unit="unit", rounded=False), city="candidate").select("candidate.*", "*").drop("candidate")
