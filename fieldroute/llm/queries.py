@@ -9,9 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldroute.llm import gam, toxicity
+from fieldroute.llm import gam, toxicity, warc
 from fieldroute.llm.bpe import decode, encode
+from fieldroute.llm.clustering import clusters
 from fieldroute.llm.exact_dedup import exact_groups
+from fieldroute.llm.filter_audit import audit
 from fieldroute.llm.huffman import read_tokens, write_tokens
 from fieldroute.llm.minhash import near_groups
 from fieldroute.llm.packing import pack
@@ -80,7 +82,40 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_url_filter, op4_quality_rules, op5_toxicity, op6_packing, op7_token_files, op8_minhash, op9_quality_classifier, op10_suffix_dedup)}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sound vector with its cluster after three rounds of 16 centroids, exact in integers."""
+    return clusters(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of the five filters removes, for every source, order of the filters and step."""
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from the archives that were written for it."""
+    back = warc.round_trip(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/fieldroute/warc-{uuid.uuid4().hex}")
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_byte_bpe, op3_url_filter, op4_quality_rules, op5_toxicity, op6_packing, op7_token_files, op8_minhash, op9_quality_classifier, op10_suffix_dedup, op11_centroids, op12_filter_audit, op13_warc)}
+
+
+def _clusters_sql(k: int = 16, rounds: int = 3, dims: int = 64) -> str:
+    """Plain k-means: every distance is computed, and means are floored as whole numbers."""
+    nearest = "SELECT v.n, v.vec_id, v.i, arg_min(c.j, (list_sum(list_transform(range(1, {d}), lambda x: (v.i[x] - c.c[x]) * (v.i[x] - c.c[x]))), c.j)) AS j FROM v, {c} c GROUP BY ALL"
+    parts = [
+        f"v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS i FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY h, i) - 1 AS j, i AS c FROM (SELECT i, sha256('1:' || vec_id) AS h FROM v ORDER BY h, i LIMIT {k}))",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED ({nearest.format(d=dims + 1, c=f'c{r}')})")
+        if r < rounds:
+            parts.append(f"s{r} AS (SELECT j, x, CAST((sum(y) - ((sum(y) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS m FROM (SELECT j, unnest(range(1, {dims + 1})) AS x, unnest(i) AS y FROM a{r}) GROUP BY j, x)")
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c{r}.j, coalesce(m.c, c{r}.c) AS c FROM c{r} LEFT JOIN (SELECT j, list(m ORDER BY x) AS c FROM s{r} GROUP BY j) m ON c{r}.j = m.j)")
+    last = f"SELECT a.vec_id, a.j, CAST(list_sum(list_transform(range(1, {dims + 1}), lambda x: (a.i[x] - c.c[x]) * (a.i[x] - c.c[x]))) AS BIGINT) AS distance, sha256(array_to_string(c.c, ',')) AS sha FROM a{rounds} a JOIN c{rounds} c ON a.j = c.j"
+    return f"WITH {', '.join(parts)} SELECT vec_id, CAST(j AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha AS centroid_sha256 FROM ({last})"
+
 
 #: DuckDB SQL; the LLR verdict of op4 and the trained or tokenised operators have none. That of op8 pairs off shared shingles and that of op10 spells every window: for small tables.
 ORACLE_SQL: dict[str, str] = {
@@ -117,4 +152,25 @@ heads AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER B
 SELECT doc_id, CAST(any_value(len(h) // 2) AS BIGINT) AS n_bytes, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) - 1 AS n_spans,
  sha256(unhex(string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a, b))) AS kept_sha256
 FROM heads JOIN h USING (doc_id) GROUP BY doc_id""",
+    "op11_centroids": _clusters_sql(),
+    "op12_filter_audit": r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+ (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+ || (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 'C' ELSE '' END) || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END)
+ || (CASE WHEN min(t.doc_id) OVER (PARTITION BY text) < t.doc_id THEN 'E' ELSE '' END) AS fails FROM t LEFT JOIN l ON t.doc_id = l.doc_id),
+x(c) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT a.c || b.c || d.c || e.c || g.c AS filter_order FROM x a, x b, x d, x e, x g WHERE len(list_distinct([a.c, b.c, d.c, e.c, g.c])) = 5),
+s AS (SELECT filter_order, CAST(k AS INTEGER) AS step, substr(filter_order, k, 1) AS own, substr(filter_order, 1, k - 1) AS before FROM o, range(1, 6) r(k)),
+g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+e AS (SELECT part, filter_order, step, own, contains(fails, own) AS hit, length(translate(fails, before, '')) < length(fails) AS gone, fails = own AS alone, n, good, toxic FROM g, s),
+c AS (SELECT part, filter_order, step, own, CAST(sum(CASE WHEN NOT hit AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN hit AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS removed,
+ CAST(sum(CASE WHEN hit AND gone THEN n ELSE 0 END) AS BIGINT) AS redundant, CAST(sum(CASE WHEN alone THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+ CAST(sum(CASE WHEN hit AND NOT gone THEN good ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN hit AND NOT gone THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost FROM e GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM c""",
+    "op13_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+f AS (SELECT page_id, n, html, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY html) ELSE page_id END AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f""",
 }
