@@ -114,12 +114,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """Documents without their exact copies; of each group the row with the largest doc_id stays, with all its columns.
 
-    Repeated rows of one id become one row. A group whose ids are all null keeps one row.
+    What stays is chosen by id and text together, so an id that comes with several texts keeps each of
+    them that no larger id has. Rows alike in id and text become one row, any one of them. A group whose
+    ids are all null keeps one row. Input columns may have any names.
     """
-    groups = exact_groups(docs)
-    keep = groups.where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    lone = groups.where("keep_id is null").select(F.col("text_sha256").alias("_sha")).distinct()
-    named = docs.join(keep, docs["doc_id"] == keep["_id"], "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null").withColumn("_own", F.sha2(normalise(F.col("text")).cast("binary"), 256))
-    nameless = nameless.join(lone, nameless["_own"] == lone["_sha"], "left_semi").dropDuplicates(["_own"]).drop("_own")
-    return named.unionByName(nameless)
+    # The id as two columns that are never null, so that rows without one meet like all others.
+    same_id = lambda c: [F.coalesce(c, F.lit(0)).alias("id"), c.isNull().alias("nameless")]
+    keep = exact_groups(docs).where("kept").select(*same_id(F.col("doc_id")), F.unhex("text_sha256").alias("sha")).distinct()
+    own = F.unhex(F.sha2(normalise(F.col("text")).cast("binary"), 256)).alias("sha")
+    rows = docs.select(F.struct("*").alias("row"), *same_id(F.col("doc_id").cast("long")), own)
+    key = ["id", "nameless", "sha"]
+    return rows.join(keep, key, "left_semi").dropDuplicates(key).select("row.*")

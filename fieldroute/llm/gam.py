@@ -8,6 +8,8 @@ that explain most of what is left are boosted alike. A score is a sum of looked-
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 from operator import eq
 
@@ -19,26 +21,32 @@ from pyspark.sql import functions as F
 from fieldroute.llm.labelled import held_out, training_rows
 from fieldroute.session import ship
 
-#: Bound of the labelled sample the model is fitted on.
-TRAIN_ROWS = 20_000
+#: Bounds of the labelled sample the model is fitted on: documents, and bytes of the texts that tasks measure for it.
+TRAIN_ROWS, TRAIN_BYTES = 20_000, 1 << 30
 BINS, PAIR_BINS, PAIRS = 32, 8, 6
 ROUNDS, PAIR_ROUNDS, RATE, RIDGE, LEAST_ROWS = 120, 40, 0.15, 1.0, 5
 CUT = 0.3
-NAMES = ("log_bytes", "upper", "symbols", "marks", "digits", "bars", "stops", "wide_bytes", "word_length", "distinct_words", "doubled_words", "copied_lines", "line_words", "marked_words", "breaks", "shouted_words")
+NAMES = ("log_bytes", "upper", "symbols", "marks", "digits", "punctuation", "stops", "wide_bytes", "word_length", "distinct_words", "doubled_words", "copied_lines", "line_words", "breaks", "repeated_marks", "entropy", "compressed")
+SYMBOLS, PUNCTUATION = list(b"#*$%&<>@^_~|\\/+="), list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+#: A punctuation mark that follows itself.
+REPEATED = re.compile(rb"([!-/:-@\[-`{-~])\1")
 
 
 def measure(text: bytes | None) -> list[float]:
-    """The features of one whole text; all zero for an empty one."""
+    """The features of one whole text, from counts of its bytes, words and lines; all zero for one without words."""
     if not text or not (words := text.split()):
         return [0.0] * len(NAMES)
     n, w = len(text), len(words)
     at = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     upper, lower, wide = int(at[65:91].sum()), int(at[97:123].sum()), int(at[128:].sum())
-    symbols = int(at[list(b"#*$%&<>")].sum())
     lines = [x for x in text.split(b"\n") if x.strip()]
-    different = len(set(words))
     doubled = sum(map(eq, words, words[1:]))
-    return [np.log(n), upper / (upper + lower + 1), symbols / n, int(at[33]) / w, int(at[48:58].sum()) / n, int(at[124]) / w, int(at[46]) / w, wide / n, (n - int(at[[9, 10, 11, 12, 13, 32]].sum())) / w, different / w, doubled / w, 1 - len(set(lines)) / len(lines), np.log(w / len(lines)), text.count(b"!! ") / w, len(lines) / w, text.count(b"%%") / w]
+    share = at[at > 0] / n
+    return [
+        np.log(n), upper / (upper + lower + 1), int(at[SYMBOLS].sum()) / n, int(at[33] + at[63]) / w, int(at[48:58].sum()) / n, int(at[PUNCTUATION].sum()) / n, int(at[46]) / w, wide / n,
+        (n - int(at[[9, 10, 11, 12, 13, 32]].sum())) / w, len(set(words)) / w, doubled / w, 1 - len(set(lines)) / len(lines), np.log(w / len(lines)), len(lines) / w,
+        len(REPEATED.findall(text)) / w, float(-(share * np.log2(share)).sum()), len(zlib.compress(text, 1)) / n,
+    ]
 
 
 class Gam:
@@ -168,8 +176,9 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ex
     return rows.mapInArrow(run, ", ".join([FEATURES, *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in extra)]))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Gam:
-    found = measured(training_rows(docs, labels, "quality", rows), extra=("y",)).select("x", "y").toArrow()
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Gam:
+    """The model of a bounded sample of labelled documents; without labels of both kinds every score is the smoothed share of good ones."""
+    found = measured(training_rows(docs, labels, "quality", rows, most_bytes), extra=("y",)).select("x", "y").toArrow()
     x = np.array(found.column("x").to_pylist(), np.float64).reshape(-1, len(NAMES))
     return fit(x, found.column("y").to_numpy().astype(np.float64))
 

@@ -9,6 +9,8 @@ n-grams, moved so that a stated quantile of the same table's trusted documents l
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,9 @@ BUCKETS = 1 << 18
 MIN_WORDS = 50
 THRESHOLD = -0.45
 #: Share of trusted documents that would fall below the threshold if they had not been trusted.
-QUANTILE, QUANTILE_ACCURACY = 0.005, 100_000
+QUANTILE = 0.005
+#: Bins of a pass of the exact quantile.
+QUANTILE_BINS = 4_096
 SMOOTHING = 0.5
 HALVES = 2
 #: Up to this many trusted ids, some 100 MB, are sent to every executor.
@@ -137,15 +141,32 @@ def with_ratio(worded: DataFrame, table: DataFrame, buckets: int = BUCKETS) -> D
     return out.withColumn("_ratio", F.when(F.size("_hashes") > 0, total / (2 * F.size("_hashes") - 1)).otherwise(F.lit(0.0)))
 
 
-def shift(scored: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row: what brings the QUANTILE of the trusted documents' ratios to ``threshold``; 0 without any.
+def exact_quantile(values: DataFrame, share: float, bins: int = QUANTILE_BINS) -> float | None:
+    """The value of rank ceil(share * rows) of the only column of a written table; None without rows.
 
-    Documents too short for the base rules are left out. The quantile is a mergeable sketch,
-    exact up to QUANTILE_ACCURACY rows and within 1 / QUANTILE_ACCURACY of the rank beyond.
+    Each pass counts what lies between two values in ``bins`` bins and goes on inside the bin that holds the rank, until
+    all that is left is one value: so the result is exact and the same at any size and in any order of rows.
     """
+    x = F.col(values.columns[0])
+    n, low, high = values.agg(F.count(x), F.min(x), F.max(x)).first()
+    if not n:
+        return None
+    rank = max(1, math.ceil(share * n))
+    while low < high:
+        at = F.least(F.floor((x - low) / (high - low) * bins), F.lit(bins - 1))
+        for r in values.where(x.between(low, high)).groupBy(at.alias("at")).agg(F.count(x).alias("n"), F.min(x).alias("low"), F.max(x).alias("high")).orderBy("at").collect():  # at most ``bins`` rows
+            if rank <= r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            rank -= r["n"]
+    return low
+
+
+def shift(scored: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> float:
+    """What brings the QUANTILE of the trusted documents' ratios to ``threshold``; 0 without any. Documents too short for the base rules are left out."""
     known = with_trusted(scored.where(F.col("n_words") >= MIN_WORDS).select("doc_id", "_ratio"), trusted, "inner")
-    found = known.agg(F.percentile_approx("_ratio", QUANTILE, QUANTILE_ACCURACY).alias("q"))
-    return found.select(F.coalesce(F.lit(threshold) - F.col("q"), F.lit(0.0)))
+    found = exact_quantile(cut(known.select("_ratio"), "trusted-ratios"), QUANTILE)
+    return 0.0 if found is None else threshold - found
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, columns: list[str] | None = None) -> DataFrame:
@@ -167,6 +188,6 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bu
     out = base_counts(with_words(docs.select(F.struct(*back).alias("_in"), "doc_id", "text")))
     scored = cut(with_ratio(out, table, buckets).select("_in", "doc_id", *counts, "_ratio"), "scored")
     out = scored.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    out = out.withColumn("score", F.col("_ratio") + shift(scored, trusted, threshold).scalar())
+    out = out.withColumn("score", F.col("_ratio") + shift(scored, trusted, threshold))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
     return out.select(*[F.col("_in")[c].alias(c) for c in back], *added)

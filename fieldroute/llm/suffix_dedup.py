@@ -16,7 +16,7 @@ suffixes that can still be repeated:
 3. Documents drop the bytes of windows that a smaller document has.
 
 Names (64-bit) only choose candidates; what is removed rests on exact ranks.
-Documents travel in batches dealt by doc_id; within a batch equal windows
+Documents travel in batches dealt by id and text; within a batch equal windows
 are sent once, so a hot passage counts once a batch. The windows of a name met in many
 batches are dealt by their own content, so its many contexts never meet in one group. A whole text that a smaller
 document repeats is found by its hash beforehand and takes no part.
@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from fieldroute.session import ship, shuffle_width
 
@@ -78,12 +79,12 @@ def sampled(data: np.ndarray, begin: int) -> np.ndarray:
 class Batch:
     """The texts of one batch end to end, ordered by id, and the sampled suffixes of their windows."""
 
-    def __init__(self, table: pa.Table, notes: pa.Table, id_col: str):
+    def __init__(self, table: pa.Table, notes: pa.Table):
         import zstandard
 
         unzip = zstandard.ZstdDecompressor().decompress
-        self.ids = table.column(id_col).to_pylist()
-        texts, hashes = [unzip(x) for x in table.column("_blob").to_pylist()], table.column("_hash").to_pylist()
+        self.ids = table.column("id").to_pylist()
+        texts, hashes = [unzip(x) for x in table.column("blob").to_pylist()], table.column("hash").to_pylist()
         self.texts = texts
         copies = {x for tag, b in zip(notes.column("tag").to_pylist(), notes.column("body").to_pylist(), strict=True) if tag == COPIES for x in map(tuple, np.frombuffer(b, np.int64).reshape(-1, 2).tolist())}
         self.copy = [d is not None and (d, h) in copies for d, h in zip(self.ids, hashes, strict=True)]
@@ -205,22 +206,33 @@ def rank_windows(data: bytes, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+ADDED = ("n_bytes", "n_removed", "n_spans", "kept_bytes")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_batches: int = HOT_BATCHES) -> DataFrame:
     """Every input column but the text, then n_bytes, n_removed, n_spans and kept_bytes.
 
     A byte goes when a 50-byte string covers it that also starts in a document with a
     smaller id. Null text is empty. Rows with a null id lose nothing and take
-    nothing from others; rows with one id take nothing from each other.
-    Texts below 50 bytes stay whole. Clashing input columns are replaced.
+    nothing from others; rows with one id take nothing from each other, be their texts alike or not.
+    Texts below 50 bytes stay whole. An empty table gives an empty result. Input columns
+    with the names of the added ones are replaced; no other name clashes.
     """
+    left = judged(docs, id_col, text_col, hot_batches)
+    back = [F.col("row")[c].alias(c) for c in docs.columns if c not in (text_col, *ADDED)]
+    return left.select(*back, *ADDED)
+
+
+def judged(docs: DataFrame, id_col: str, text_col: str, hot_batches: int = HOT_BATCHES) -> DataFrame:
+    """(row, n_bytes, n_removed, n_spans, kept_bytes): ``row`` has every input column but the text."""
     spark = docs.sparkSession
     ship(spark)
     width = shuffle_width(spark)
-    others = [c for c in docs.columns if c not in (text_col, "n_bytes", "n_removed", "n_spans", "kept_bytes", "_batch", "_blob", "_hash")]
     raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     batches, buckets = max(width, total // BATCH_BYTES), max(width, total // BUCKET_BYTES)
-    batch = F.pmod(F.xxhash64(id_col), F.lit(batches)).cast("int")
+    # Dealt by id and text, so that rows without an id, or with one id, are dealt too.
+    batch = F.pmod(F.xxhash64(id_col, raw), F.lit(batches)).cast("int")
 
     # Whole texts that a smaller document repeats.
     named = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("d"), F.sha2(raw, 256).alias("sha"), F.xxhash64(raw).alias("h"), batch.alias("batch"))
@@ -243,16 +255,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                yield part.set_column(part.num_columns - 1, "_blob", pa.array([zip_(x) for x in part.column(part.num_columns - 1).to_pylist()], pa.binary()))
+                yield part.set_column(part.num_columns - 1, "blob", pa.array([zip_(x) for x in part.column(part.num_columns - 1).to_pylist()], pa.binary()))
 
-    rows = docs.select(*others, F.xxhash64(raw).alias("_hash"), batch.alias("_batch"), raw.alias("_blob"))
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(*others).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(raw).alias("hash"), batch.alias("batch"), raw.alias("blob"))
     rows = rows.mapInArrow(compress, rows.schema)
 
     def names(left: pa.Table, right: pa.Table) -> pa.Table:
         """Round 1: the batch's distinct names by bucket; bit 39 tells that two documents of the batch have it."""
         if not left.num_rows:
             return _notes([])
-        own, number = Batch(left, right, id_col), left.column("_batch")[0].as_py()
+        own, number = Batch(left, right), left.column("batch")[0].as_py()
         order = np.lexsort((own.doc, own.name))
         name, doc = own.name[order], own.doc_ids()[own.doc[order]] if len(own.doc) else own.doc
         first = np.flatnonzero(np.r_[len(name) > 0, name[1:] != name[:-1]]) if len(name) else np.zeros(0, np.int64)
@@ -285,7 +298,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         if not left.num_rows:
             return _notes([])
-        own, number = Batch(left, right, id_col), left.column("_batch")[0].as_py()
+        own, number = Batch(left, right), left.column("batch")[0].as_py()
         own.keep_shared(right, buckets)
         runs, first, _ = own.contexts()
         if not runs:
@@ -336,12 +349,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         of, pairs = np.concatenate(found_of), np.stack([np.concatenate(found_run), np.concatenate(found_mask)], 1)
         return _notes([(numbers[k], HITS, 0, np.ascontiguousarray(pairs[part]).tobytes(), None) for k, part in _by(of)])
 
-    kept_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema] + ["n_bytes long", "n_removed long", "n_spans long", "kept_bytes binary"])
+    counts = [StructField(c, LongType()) for c in ADDED[:3]]
+    kept_schema = StructType([rows.schema["row"], *counts, StructField("kept_bytes", BinaryType())])
+
+    def with_counts(table: pa.Table, columns: list[list]) -> pa.Table:
+        out = table.select(["row"])
+        for name, values in zip(ADDED, columns, strict=True):
+            out = out.append_column(name, pa.array(values, pa.binary() if name == "kept_bytes" else pa.int64()))
+        return out
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return left.select(others).append_column("n_bytes", pa.array([], pa.int64())).append_column("n_removed", pa.array([], pa.int64())).append_column("n_spans", pa.array([], pa.int64())).append_column("kept_bytes", pa.array([], pa.binary()))
-        own = Batch(left, right, id_col)
+            return with_counts(left, [[]] * 4)
+        own = Batch(left, right)
         own.keep_shared(right, buckets)
         _, first, runs = own.contexts()
         gone = np.zeros(len(own.data) + 1, bool)
@@ -370,13 +390,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             mark = gone[a:b]
             if mark.any():
                 removed[i], spans[i], kept[i] = int(mark.sum()), int(mark[0]) + int((mark[1:] & ~mark[:-1]).sum()), data[a:b][~mark].tobytes()
-        out = left.select(others)
-        for name, values, kind in (("n_bytes", [len(x) for x in own.texts], pa.int64()), ("n_removed", removed, pa.int64()), ("n_spans", spans, pa.int64()), ("kept_bytes", kept, pa.binary())):
-            out = out.append_column(name, pa.array(values, kind))
-        return out
+        return with_counts(left, [[len(x) for x in own.texts], removed, spans, kept])
 
-    def with_batch(notes: DataFrame, run, schema: str) -> DataFrame:
-        return rows.groupBy("_batch").cogroup(notes.groupBy("batch")).applyInArrow(run, schema)
+    def with_batch(notes: DataFrame, run, schema) -> DataFrame:
+        return rows.groupBy("batch").cogroup(notes.groupBy("batch")).applyInArrow(run, schema)
 
     def by_bucket(notes: DataFrame, run) -> DataFrame:
         return notes.groupBy("number").applyInArrow(run, NOTES)
@@ -392,11 +409,12 @@ def kept_text(data: bytes) -> str:
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """Documents with the repeated bytes removed from their texts, with all their columns; texts that nothing is left of stay as empty ones."""
+    """Documents with the repeated bytes removed from their texts, with all their columns; texts that nothing is left of stay as empty ones, and so do null ones."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.set_column(b.schema.get_field_index("text"), "text", pa.array([kept_text(x) for x in b.column("text").to_pylist()], pa.string()))
 
-    left = remove_repeats(docs).withColumnRenamed("kept_bytes", "text").select(docs.columns)
-    return left.mapInArrow(decode, docs.schema)
+    left = judged(docs, "doc_id", "text")
+    text = F.col("kept_bytes").alias("text")
+    return left.select(*[text if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]).mapInArrow(decode, docs.schema)

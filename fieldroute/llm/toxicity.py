@@ -22,8 +22,8 @@ from fieldroute.session import ship
 
 DIMENSIONS = 1 << 18
 HEADS = (5, 7)
-#: Bound of the labelled sample the model is fitted on.
-TRAIN_ROWS = 8_000
+#: Bounds of the labelled sample the model is fitted on: documents, and bytes of their texts.
+TRAIN_ROWS, TRAIN_BYTES = 8_000, 48 << 20
 STEPS, RATE, SHRINK = 120, 0.5, 2e-5
 BIAS = -5.0
 OFFENDS = 0.5
@@ -113,8 +113,9 @@ def fit(texts: list[bytes], y: np.ndarray) -> Model:
     return Model(weights, float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    found = training_rows(docs, labels, "toxic", rows).select(F.col("text").cast("binary").alias("text"), "y").toArrow()
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Model:
+    """The model of a bounded sample of labelled documents; without labels of both kinds all weights are 0 and a sentence scores by the bias alone."""
+    found = training_rows(docs, labels, "toxic", rows, most_bytes).select(F.col("text").cast("binary").alias("text"), "y").toArrow()
     return fit([t or b"" for t in found.column("text").to_pylist()], found.column("y").to_numpy())
 
 

@@ -47,11 +47,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url_c
 
     The longest fitting rule wins (host and path together, then the longer
     host). Two rules alike in host and path: ``block`` wins over ``allow``. No
-    fitting rule: rule is null and the verdict ``default``. Clashing input
-    columns named host, path, rule or verdict are replaced.
+    fitting rule: rule is null and the verdict ``default``. A null url has an empty
+    host and path; repeated rows are judged each. Input columns named host, path,
+    rule or verdict are replaced; no other name clashes.
     """
     host, path = split_url(F.col(url_col))
-    parsed = pages.drop("host", "path", "rule", "verdict").withColumn("host", host).withColumn("path", path)
+    others = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    parsed = pages.select(F.struct(*others).alias("page"), host.alias("host"), path.alias("path"))
     rules = rules.select(F.coalesce("host", F.lit("")).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), "action").groupBy("rule_host", "rule_path").agg(F.max("action").alias("action"))
 
     # One key for each url and each suffix of its host that has rules.
@@ -74,6 +76,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url_c
     swept = opened.unionByName(closed).unionByName(asked).withColumn("depth", F.sum("step").over(sweep))
     found = swept.where("kind = 1 or kind = 0").where("depth > 0").withColumn("top", top).where("kind = 1 and top is not null")
     best = found.groupBy("host", "path").agg(F.max_by("top", F.struct(F.length("top.rule_host") + F.length("top.rule_path"), F.length("top.rule_host"))).alias("best"))
-    best = best.select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.concat("best.rule_host", "best.rule_path").alias("rule"), F.col("best.action").alias("_action"))
-    out = parsed.join(best, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")
-    return out.withColumn("verdict", F.coalesce("_action", F.lit(default))).drop("_host", "_path", "_action")
+    best = best.select("host", "path", F.concat("best.rule_host", "best.rule_path").alias("rule"), F.col("best.action").alias("action"))
+    out = parsed.join(best, ["host", "path"], "left")
+    return out.select("page.*", "host", "path", "rule", F.coalesce("action", F.lit(default)).alias("verdict"))

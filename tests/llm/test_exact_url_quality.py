@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldroute.llm.exact_dedup import drop_exact_copies, exact_groups
-from fieldroute.llm.quality_rules import base_counts, gram_counts, quality, ratios, trusted_ids, with_ratio, with_words
+from fieldroute.llm.quality_rules import base_counts, exact_quantile, gram_counts, quality, ratios, trusted_ids, with_ratio, with_words
 from fieldroute.llm.queries import URL_RULES
 from fieldroute.llm.url_filter import judge_urls, rules_frame
 from fieldroute.session import table
@@ -21,6 +21,16 @@ def test_exact_odd_rows(spark, parts):
     assert sorted(str(r.doc_id) for r in left) == sorted(["2", "4", "5", "6", "8", "None"])
 
 
+def test_an_id_with_several_texts_keeps_each(spark):
+    """What stays is a text, not an id: neither may a text be lost nor a copy stay, in any order of rows."""
+    rows = [(5, "beta", "b1"), (5, "alpha", "a"), (9, "BETA", "b2"), (9, "beta", "b3"), (7, "x", "x1"), (7, "y", "y"), (None, "x", "x2"), (None, "z", "z1"), (None, "z", "z2")]
+    for order in (rows, rows[::-1], sorted(rows, key=str)):
+        docs = spark.createDataFrame([(*r, 1, 2) for r in order], "doc_id long, text string, row string, sha int, _id int")
+        left = drop_exact_copies(docs)
+        assert left.columns == docs.columns
+        assert sorted(((r.doc_id, r.text.lower()) for r in left.collect()), key=str) == sorted([(5, "alpha"), (9, "beta"), (7, "x"), (7, "y"), (None, "z")], key=str)
+
+
 def test_exact_table_and_empty(spark, sf):
     docs = table(spark, sf, "documents")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
@@ -43,6 +53,28 @@ def test_urls(spark, sf):
     assert judge_urls(pages.limit(0), rules_frame(spark, URL_RULES)).count() == 0
 
 
+def test_urls_take_any_column(spark):
+    names = ["_host", "_path", "_action", "page", "step", "kind", "rule_host", "best", "key", "host", "path", "rule", "verdict"]
+    pages = spark.createDataFrame([(i, u, *[f"{c}{i}" for c in names]) for i, u in enumerate(["x://a.com/en/1", None, "x://a.com/en/1"])], ["page_id", "url", *names])
+    got = judge_urls(pages, rules_frame(spark, URL_RULES))
+    assert got.columns == ["page_id", "url", *names]
+    for r in got.collect():
+        want = brute.url(r.url, URL_RULES)
+        assert tuple(r) == (r.page_id, r.url, *[f"{c}{r.page_id}" for c in names[:9]], *want)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.005, 0.3, 1.0])
+def test_quantile_is_exact_at_any_size(spark, share):
+    import math
+    import random
+
+    rng = random.Random(5)
+    for values in ([1.5], [2.0, 2.0, -1.0], [rng.gauss(0, 1) for _ in range(5000)], [5e-324, 0.0, -5e-324, 1e300, -1e300, 1.0, 1.0 + 2**-52] * 3):
+        frame = spark.createDataFrame([(v,) for v in values], "x double")
+        assert exact_quantile(frame, share, bins=7) == sorted(values)[max(1, math.ceil(share * len(values))) - 1]
+    assert exact_quantile(spark.createDataFrame([], "x double"), share) is None
+
+
 def test_deeply_nested_rules(spark):
     rules = [("block", "com", ""), ("allow", "com", "/a"), ("block", "com", "/a/b"), ("allow", "com", "/a/b/c"), ("block", "x.com", "/a"), ("allow", "com", "/b"), ("block", "x.com", "/ab")]
     urls = [f"h://{h}{p}" for h in ("com", "x.com", "y.x.com", "net") for p in ("", "/", "/a", "/ab", "/a/b", "/a/b/c/d", "/b", "/c")]

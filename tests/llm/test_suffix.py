@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fieldroute.llm.suffix_dedup import drop_repeats, rank_windows, remove_repeats
 from fieldroute.session import table
@@ -54,6 +55,22 @@ def test_repeated_null_and_empty(spark):
     assert {r.text for r in drop_repeats(docs).collect()} == {long, "", "zzyy"}
 
 
+def test_any_column_and_repeated_ids(spark):
+    """Other columns come back as they were, whatever their names; rows of one id with different texts take nothing from each other."""
+    long = "0123456789" * 8 + "abc"
+    rows = [(1, long), (1, "q" + long), (2, long + "r"), (None, long), (None, "s" + long)]
+    names = ["_batch", "_hash", "_blob", "kept_bytes", "n_bytes", "batch", "row", "id", "hash", "blob"]
+    docs = spark.createDataFrame([(d, t, *[f"{c}{i}" for c in names]) for i, (d, t) in enumerate(rows)], ["doc_id", "text", *names]).withColumn("nothing", F.lit(None).cast("string"))
+    left = drop_repeats(docs)
+    assert left.columns == docs.columns
+    got = {r.row: r for r in left.collect()}
+    assert [got[f"row{i}"].text for i in range(5)] == [long, "q" + long, "r", long, "s" + long]
+    assert all(got[f"row{i}"][c] == f"{c}{i}" for i in range(5) for c in names)
+    kept = remove_repeats(docs)
+    assert {r._batch: r.n_removed for r in kept.collect()} == {"_batch0": 0, "_batch1": 0, "_batch2": 83, "_batch3": 0, "_batch4": 0}
+    assert kept.columns == ["doc_id", *[c for c in names if c not in ("kept_bytes", "n_bytes")], "nothing", "n_bytes", "n_removed", "n_spans", "kept_bytes"]
+
+
 def test_ranks_are_exact():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 99, 4000, np.uint8).tobytes()
