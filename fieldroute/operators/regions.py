@@ -191,38 +191,3 @@ def batch_days(jobs: DataFrame, keys: list[str], per_unit: int = 5, together: li
 
     # A day is a few bytes but much work: a stated width keeps adaptive execution from joining all days in one task.
     return jobs.repartition(shuffle_width(jobs.sparkSession), *(together or keys)).groupBy(*(together or keys)).applyInPandas(run, schema)
-
-
-def assign_days(jobs: DataFrame, roster: DataFrame, keys: list[str]) -> DataFrame:
-    """Jobs of a day to its city's engineers, by a greedy of our own: longest jobs first, each to the engineer of least distance plus overtime.
-
-    Heavy jobs need the flag; who stays without an eligible engineer comes back with a null code.
-    """
-    ship(jobs.sparkSession)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in jobs.select(*keys, "receipt_no").schema) + ", engineer_code string, km double"
-
-    def run(key: tuple, df: pd.DataFrame, staff: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["service_min", "receipt_no"], ascending=[False, True]).reset_index(drop=True)
-        staff = staff.sort_values("engineer_code").reset_index(drop=True)
-        at = staff[["home_lat", "home_lon"]].to_numpy(float).reshape(-1, 2)
-        flag, load = (staff["ref_heavy"] == "Y").to_numpy(), np.zeros(len(staff))
-        codes, gaps = [], []
-        for lat, lon, minutes, heavy in df[["latitude", "longitude", "service_min", "is_heavy"]].itertuples(index=False):
-            km = distances(at, np.array([[lat, lon]]))[:, 0] if len(at) else np.zeros(0)
-            over = np.maximum(0, load + minutes + km / SPEED_KMH * 60 - MAX_WORK_MIN)
-            cost = np.where(~heavy | flag, km + 10 * over, np.inf)
-            if not len(cost) or not np.isfinite(cost.min()):
-                codes.append(None)
-                gaps.append(None)
-                continue
-            k = int(cost.argmin())
-            load[k] += minutes + km[k] / SPEED_KMH * 60
-            at[k] = lat, lon
-            codes.append(staff["engineer_code"][k])
-            gaps.append(float(km[k]))
-        return df[[*keys, "receipt_no"]].assign(engineer_code=codes, km=gaps)
-
-    days = jobs.select(*keys).distinct().toDF(*[f"at_{k}" for k in keys])
-    staff = days.join(roster.withColumnRenamed("city", "at_city"), "at_city")
-    width, at_keys = shuffle_width(jobs.sparkSession), [f"at_{k}" for k in keys]
-    return jobs.repartition(width, *keys).groupBy(*keys).cogroup(staff.repartition(width, *at_keys).groupBy(*at_keys)).applyInPandas(run, schema)

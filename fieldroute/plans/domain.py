@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from fieldroute.functions import text as T
 from fieldroute.functions.routes import best_start, coordinate_key, insertion_delta, nearest_neighbour, path_km, stops, timeline, weighted_chunks
 from fieldroute.operators import relational as R
-from fieldroute.operators.allocation import allocate, fixed_regions, objective, overflow_ratio, override_regions, sweep_scores
-from fieldroute.operators.regions import assign_days, batch_days, design_regions
+from fieldroute.operators.allocation import allocate, fixed_regions, overflow_ratio, override_regions, sweep_scores
+from fieldroute.operators.regions import batch_days, design_regions
 from fieldroute.operators.routing import ORDINALS, city_summary, compare_scenarios, daily_summary, route_groups
 from fieldroute.plans.aggregates import regions
 from fieldroute.session import cut
@@ -98,19 +98,6 @@ def df_region_design(spark: SparkSession, sf: str) -> DataFrame:
     return design_regions(p.join(n, "city"))
 
 
-def df_assignment(spark: SparkSession, sf: str) -> DataFrame:
-    """Engineers for every job of a city-day."""
-    jobs = _jobs(spark, sf).select(*DAY, "receipt_no", "latitude", "longitude", "service_min", "is_heavy")
-    return assign_days(jobs, engineers(spark, sf).select("city", "engineer_code", "home_lat", "home_lon", "ref_heavy"), DAY)
-
-
-def df_objective(spark: SparkSession, sf: str) -> DataFrame:
-    """Objective of every city-day of df_assignment."""
-    jobs = _jobs(spark, sf).select(*DAY, "receipt_no", "service_min", "is_heavy")
-    out = objective(df_assignment(spark, sf).join(jobs, [*DAY, "receipt_no"]), DAY)
-    return out.drop("balance_first", "travel_first")
-
-
 def df_multi_start(spark: SparkSession, sf: str) -> DataFrame:
     """Shortest greedy route of an engineer-day over all first stops, beside that from its first."""
     day = visits(spark, sf).groupBy("engineer_code", "service_date").agg(stops([F.col(c) for c in ORDINALS], F.col("longitude"), F.col("latitude")).alias("stops"))
@@ -169,7 +156,7 @@ def df_visit_sequence(spark: SparkSession, sf: str) -> DataFrame:
     return visits(spark, sf).select("engineer_code", "service_date", "receipt_no", "l_linenumber", F.row_number().over(w).alias("visit_seq"))
 
 
-QUERIES = {f.__name__: f for f in (flagship_routing_compare, df_current_daily, df_city_summary, df_integrated_units, df_single_stop_routes, df_engineer_day_routes, df_schedule, df_insertion, df_chunks, df_region_design, df_region_sweep, df_region_allocation, df_region_master, df_assignment, df_objective, df_multi_start, df_payload, df_visit_sequence)}
+QUERIES = {f.__name__: f for f in (flagship_routing_compare, df_current_daily, df_city_summary, df_integrated_units, df_single_stop_routes, df_engineer_day_routes, df_schedule, df_insertion, df_chunks, df_region_design, df_region_sweep, df_region_allocation, df_region_master, df_multi_start, df_payload, df_visit_sequence)}
 _FIRST = "f AS (SELECT *, row_number() OVER (PARTITION BY receipt_no ORDER BY service_min DESC, l_linenumber, engineer_code, service_date) AS rn FROM visits)"
 SQL = {
     "df_single_stop_routes": f"WITH {VISITS_SQL}, g AS (SELECT engineer_code, service_date, count(*) AS job_count, count(DISTINCT latitude * 100000 + longitude) AS unique_stop_count FROM visits GROUP BY 1, 2) SELECT *, CAST(0 AS DOUBLE) AS distance_km, CAST(0 AS DOUBLE) AS duration_min FROM g WHERE unique_stop_count <= 1",

@@ -1,0 +1,295 @@
+"""The assignment rules again, job by job over plain records: every score is computed anew at every step. For comparison only."""
+
+from math import asin, ceil, cos, inf, radians, sin, sqrt
+from statistics import pstdev
+
+
+def km(a, b):
+    (la, lo), (lb, ob) = ((radians(x) for x in p) for p in (a, b))
+    return 2 * 6371 * asin(sqrt(min(1, sin((lb - la) / 2) ** 2 + cos(la) * cos(lb) * sin((ob - lo) / 2) ** 2)))
+
+
+class World:
+    """jobs and staff are lists of dicts; held is each code's list of receipts in the order given, sequence all of them."""
+
+    def __init__(self, jobs, staff, centres):
+        self.jobs = {j["receipt"]: j for j in jobs}
+        self.staff = {s["code"]: s for s in sorted(staff, key=lambda s: (s["center"] != "DMS", s["code"]))}
+        self.centres = centres
+        for s in self.staff.values():
+            s["start"] = s["home"] or centres.get(s["region"])
+        self.held = {c: [] for c in self.staff}
+        self.travelled = dict.fromkeys(self.staff, 0.0)
+        self.sequence = []
+
+    def longest_first(self, receipts):
+        return sorted(receipts, key=lambda r: (-self.jobs[r]["minutes"], r))
+
+    def priority(self, receipts):
+        return sorted(receipts, key=lambda r: (not self.jobs[r]["tv"], not self.jobs[r]["heavy"], -self.jobs[r]["minutes"], r))
+
+    def route(self, code, receipts):
+        left, at, total = self.longest_first(receipts), self.staff[code]["start"], 0.0
+        while left:
+            r = left[0] if at is None else min(left, key=lambda r: km(at, self.jobs[r]["at"]))
+            total += 0 if at is None else km(at, self.jobs[r]["at"])
+            at = self.jobs[r]["at"]
+            left.remove(r)
+        return round(total, 2), round(total / 50 * 60, 2)
+
+    def day(self, code, receipts):
+        return sum(self.jobs[r]["minutes"] for r in receipts) + self.route(code, receipts)[1]
+
+    def units(self, receipts):
+        return sum(2.0 if self.jobs[r]["heavy"] else 1.0 for r in receipts)
+
+    def objective(self, held):
+        days = [round(self.day(c, x), 2) for c, x in held.items()]
+        used = [self.units(x) for x in held.values() if x]
+        return (sum(d > 480 for d in days), round(max(days, default=0.0), 4), round(pstdev(used), 4) if used else 0.0, round(sum(self.route(c, x)[0] for c, x in held.items()), 4))
+
+    def may(self, code, receipt):
+        j = self.jobs[receipt]
+        return not (j["heavy"] and j["ref"]) or self.staff[code]["flag"]
+
+    def give(self, code, receipt, leg):
+        self.held[code].append(receipt)
+        self.travelled[code] += leg / 50 * 60
+        self.sequence.append(receipt)
+
+    def soft(self, code, receipt):
+        own, other = self.staff[code]["region"], self.jobs[receipt]["region"]
+        return 0.0 if own is None or other is None or own == other else 18.0 if self.staff[code]["center"] == "DMS" else 8.0
+
+    def preference(self, code, receipt):
+        first, second = self.jobs[receipt].get("first"), self.jobs[receipt].get("second")
+        return 0.0 if not (first or second) or code == first else 8.0 if code == second else 28.0
+
+    def seeds(self, receipts, team):
+        taken = []
+        for c in team:
+            if not receipts:
+                break
+            start = self.staff[c]["start"]
+            if start:
+                r = min(self.longest_first(receipts), key=lambda r: km(start, self.jobs[r]["at"]) + self.soft(c, r) + self.preference(c, r))
+            else:
+                r = self.longest_first(receipts)[0]
+            if r not in taken:
+                taken.append(r)
+                self.give(c, r, km(start, self.jobs[r]["at"]) if start else 0.0)
+        return [r for r in receipts if r not in taken]
+
+    def growth(self, receipts, team, target):
+        left = self.longest_first(receipts)
+        while left:
+            fewest, choices = min((len(self.held[c]) for c in team), default=0), []
+            for i, c in enumerate(team):
+                anchors = ([self.staff[c]["start"]] if self.staff[c]["start"] else []) + [self.jobs[r]["at"] for r in self.held[c]]
+                if not anchors:
+                    continue
+                away = lambda r: min(km(a, self.jobs[r]["at"]) for a in anchors)  # noqa: E731,B023
+                r = min(left, key=away)
+                leg, have = away(r), len(self.held[c])
+                score = leg + self.soft(c, r) + self.preference(c, r)
+                if have + 1 > target:
+                    score += 500 + 250 * (have + 1 - target) + (1000 if have > fewest else 0) + 120 * (have - fewest)
+                else:
+                    score += 8 * (have - fewest)
+                total = sum(self.jobs[x]["minutes"] for x in self.held[c]) + self.jobs[r]["minutes"] + self.travelled[c] + leg / 50 * 60
+                score += 10 * max(total - 480, 0)
+                choices.append((round(score, 4), round(leg / 50 * 60, 4), round(total, 4), have + 1, i, c, r, leg))
+            if not choices:
+                break
+            *_, c, r, leg = min(choices)
+            self.give(c, r, leg)
+            left.remove(r)
+        return left
+
+    def picked(self, team, n, region):
+        centre = self.centres.get(region)
+        away = lambda c: km(self.staff[c]["start"], centre) if centre and self.staff[c]["start"] else 0.0
+        return sorted(team, key=lambda c: (away(c), -self.staff[c]["overlap"], -self.staff[c]["ratio"], c))[:n]
+
+    def phases(self):
+        active = lambda jobs, team: max(1, min(len(team), ceil(len(jobs) / 4))) if jobs and team else 0
+        floating = [c for c, s in self.staff.items() if s["center"] != "DMS"]
+        inside = lambda r: [c for c, s in self.staff.items() if s["center"] == "DMS" and s["region"] == r]
+        jobs_in = lambda r: [x for x, j in self.jobs.items() if j["region"] == r]
+        spare = len(inside(3)) - active([r for r in jobs_in(3) if not self.jobs[r]["tv"]], inside(3))
+        lent = []
+        for region in sorted({j["region"] for j in self.jobs.values() if j["region"] is not None}):
+            mine = [c for c in inside(region) if region != 3 or c not in lent]
+            tv = [r for r in jobs_in(region) if self.jobs[r]["tv"]]
+            rest = [r for r in jobs_in(region) if not self.jobs[r]["tv"]]
+            tv_team = self.picked(floating, active(tv, floating), region)
+            team = self.picked(mine, active(rest, mine), region)
+            left = self.growth(self.seeds(tv, tv_team), tv_team, 4)
+            idle = [c for c in floating if c not in tv_team]
+            gap = max(len(rest) - max(len(team), 1) * 4, 0)
+            extra = self.picked(idle, min(len(idle), ceil(gap / 4)) if rest else 0, region)
+            support = []
+            if region in (1, 2) and rest and spare > 0:
+                want = max(len(rest), len(rest) - 4 * (len(team) + len(tv_team) + len(extra)))
+                support = self.picked([c for c in inside(3) if c not in lent], min(spare, ceil(want / 4)), region)
+                lent += support
+                spare = max(0, spare - len(support))
+            here = list(dict.fromkeys(team + tv_team + extra))
+            if region not in (1, 2):
+                left += self.growth(self.seeds(rest, here), here, 4)
+            else:
+                both = list(dict.fromkeys(here + support))
+                left += self.growth(self.seeds(rest, both), both, 4)
+            if left:
+                self.growth(left, list(dict.fromkeys(mine + floating + support)), 5)
+
+    def by_region(self):
+        for region in sorted({j["region"] for j in self.jobs.values() if j["region"] is not None}):
+            team = [c for c, s in self.staff.items() if s["center"] != "DMS" or s["region"] == region]
+            jobs = [r for r, j in self.jobs.items() if j["region"] == region]
+            self.growth(self.seeds(jobs, team), team, 4)
+
+    def insertion(self):
+        free = [c for c, s in self.staff.items() if s["start"]]
+        left = list(self.jobs)
+        while True:
+            pairs = [(round(km(self.staff[c]["start"], self.jobs[r]["at"]), 4), r, c) for c in free for r in left if self.may(c, r)]
+            if not pairs:
+                break
+            leg, r, c = min(pairs)
+            self.give(c, r, leg)
+            free.remove(c)
+            left.remove(r)
+        for r in self.priority(left):
+            choices = []
+            for c, s in self.staff.items():
+                if not s["start"] or not self.may(c, r):
+                    continue
+                objective = self.objective({x: held + [r] if x == c else held for x, held in self.held.items()})
+                path = [s["start"]] + [self.jobs[x]["at"] for x in self.held[c]]
+                here, extras = self.jobs[r]["at"], []
+                for i, a in enumerate(path):
+                    extras.append((km(a, here) + (km(here, path[i + 1]) - km(a, path[i + 1]) if i + 1 < len(path) else 0.0), i))
+                extra, at = min(extras, key=lambda x: x[0])
+                after = self.route(c, self.held[c] + [r])
+                choices.append((*objective, round(after[1], 4), round(max(extra, 0.0), 4), round(after[0], 4), c, at))
+            if choices:
+                c, at = min(choices)[-2:]
+                self.held[c].insert(at, r)
+                self.sequence.append(r)
+
+    def tours(self):
+        sets = ([], [], [])
+        for r, j in self.jobs.items():
+            sets[0 if j["tv"] else 1 if j["heavy"] and j["ref"] else 2].append(r)
+        teams = ([c for c, s in self.staff.items() if s["center"] != "DMS"], [c for c, s in self.staff.items() if s["flag"]], list(self.staff))
+        mean = lambda points: tuple(sum(x) / len(points) for x in zip(*points))
+        for jobs, team in zip(sets, teams):
+            if not jobs or not team:
+                continue
+            starts = [self.staff[c]["start"] for c in team if self.staff[c]["start"]]
+            at, left, tour = mean(starts or [self.jobs[r]["at"] for r in jobs]), self.priority(jobs), []
+            while left:
+                r = min(left, key=lambda r: km(at, self.jobs[r]["at"]))
+                left.remove(r)
+                tour.append(r)
+                at = self.jobs[r]["at"]
+            count = min(len(team), len(tour))
+            share, free = self.units(tour) / count, list(team)
+            for later in range(count - 1, -1, -1):
+                run = []
+                while tour and (later == 0 or len(tour) > later and self.units(run) < share):
+                    run.append(tour.pop(0))
+                centre = mean([self.jobs[r]["at"] for r in run])
+                away = lambda c: km(self.staff[c]["start"], centre) if self.staff[c]["start"] else 0.0  # noqa: E731,B023
+                c = min(free, key=lambda c: (away(c), -self.staff[c]["overlap"], -self.staff[c]["ratio"], c))
+                free.remove(c)
+                at = self.staff[c]["start"]
+                while run:
+                    r = run[0] if at is None else min(run, key=lambda r: km(at, self.jobs[r]["at"]))
+                    run.remove(r)
+                    self.give(c, r, 0.0)
+                    at = self.jobs[r]["at"]
+
+    def owner(self, receipt):
+        return next(c for c, held in self.held.items() if receipt in held)
+
+    def relocations(self, rounds=3, nearest=3, guard=525):
+        for _ in range(rounds):
+            move = None
+            for r in self.sequence:
+                s = self.owner(r)
+                if len(self.held[s]) < 2:
+                    continue
+                others = [c for c in self.staff if c != s and self.may(c, r) and (nearest is None or self.staff[c]["start"])]
+                if nearest is not None:
+                    others = sorted(others, key=lambda c: (round(km(self.staff[c]["start"], self.jobs[r]["at"]), 4), c))[:nearest]
+                for c in others:
+                    trial = {x: [y for y in held if y != r] + ([r] if x == c else []) for x, held in self.held.items()}
+                    if guard is not None and max(round(self.day(x, trial[x]), 2) for x in (s, c)) > guard:
+                        continue
+                    if self.objective(trial) < self.objective(self.held):
+                        move = trial
+                        break
+                if move:
+                    break
+            if not move:
+                return
+            self.held = move
+
+    def rebalanced(self):
+        for _ in range(3):
+            changed = False
+            for region in sorted({j["region"] for j in self.jobs.values() if j["region"] is not None}):
+                for r in [x for x in self.sequence if self.jobs[x]["region"] == region]:
+                    s = self.owner(r)
+                    if len(self.held[s]) <= 1:
+                        continue
+                    home = lambda c: km(self.staff[c]["start"], self.jobs[r]["at"]) if self.staff[c]["start"] else 0.0  # noqa: E731,B023
+                    less, best = [x for x in self.held[s] if x != r], None
+                    for i, c in enumerate(self.staff):
+                        n = len(self.held[c])
+                        if c == s or not self.may(c, r) or not self.staff[c]["start"] or (n >= 5 and n >= len(self.held[s])):
+                            continue
+                        old, new = (self.day(s, self.held[s]), self.day(c, self.held[c])), (self.day(s, less), self.day(c, self.held[c] + [r]))
+                        both, gap, gain = sum(new) - sum(old), abs(new[0] - new[1]) - abs(old[0] - old[1]), home(s) - home(c)
+                        if (gain > 5 and both <= 12) or both < -5 or (gap < -15 and both <= 20):
+                            best = min(best or (inf,), (round(both, 4), round(gap, 4), round(-gain, 4), n, i, c))
+                    if best:
+                        self.held[s], changed = less, True
+                        self.held[best[-1]].append(r)
+            if not changed:
+                return
+
+    def offloaded(self):
+        for _ in range(4):
+            days = {c: round(self.day(c, held), 2) for c, held in self.held.items()}
+            if not self.one_off(days):
+                return
+
+    def one_off(self, days):
+        for region in sorted({self.jobs[r]["region"] for r in self.sequence if self.jobs[r]["region"] is not None}):
+            team = [c for c, s in self.staff.items() if s["region"] == region]
+            if not team:
+                continue
+            s = min(team, key=lambda c: (-days[c], -len(self.held[c]), -self.route(c, self.held[c])[0]))
+            if len(self.held[s]) <= 1:
+                continue
+            home = lambda c, r: km(self.staff[c]["start"], self.jobs[r]["at"]) if self.staff[c]["start"] else 0.0
+            for r in sorted([x for x in self.sequence if x in self.held[s]], key=lambda r: (-home(s, r), -self.jobs[r]["minutes"])):
+                less, best = [x for x in self.held[s] if x != r], None
+                for i, c in enumerate(self.staff):
+                    n = len(self.held[c])
+                    if c == s or not self.may(c, r) or not self.staff[c]["start"] or n >= len(self.held[s]):
+                        continue
+                    new = self.day(s, less), self.day(c, self.held[c] + [r])
+                    if new[1] > 480:
+                        continue
+                    longest, gap = max(new) - max(days[s], days[c]), abs(new[0] - new[1]) - abs(days[s] - days[c])
+                    if longest < -5 or (gap < -20 and longest <= 5):
+                        best = min(best or (inf,), (round(longest, 4), round(gap, 4), round(home(c, r), 4), n, i, c))
+                if best:
+                    self.held[s] = less
+                    self.held[best[-1]].append(r)
+                    return True
+        return False
