@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from fieldroute.session import ship, shuffle_width
 
 #: Fixed values of the region model.
 BALANCE_WEIGHT, RADIUS_WEIGHT, GROWTH_ROUNDS, LLOYD_STEPS = 120.0, 40.0, 20, 50
 MAX_WORK_MIN, MAX_TRAVEL_MIN, MAX_TRAVEL_KM, SPEED_KMH = 480.0, 240.0, 120.0, 50.0
-#: A cluster of more jobs takes in no single one.
-ABSORB_CAP = 3
+#: A cluster of more jobs takes in no single one, jobs a unit should do, minutes that count for a job, engineers a region should need, slots of an engineer without any.
+ABSORB_CAP, JOBS_PER_UNIT, JOB_MIN, ENGINEERS_PER_REGION, DEFAULT_SLOT = 4, 4, 60.0, 5, 7.0
+#: Jobs that are batched together; longer days are cut along their longitude.
+MOST_JOBS = 200
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -159,6 +162,12 @@ def absorb_singles(points: np.ndarray, minutes: np.ndarray, labels: np.ndarray)
             return np.unique(labels, return_inverse=True)[1]
 
 
+def region_count(daily, slot, postals):
+    """Regions of a city as a column: so many that each needs ENGINEERS_PER_REGION for the mean daily jobs at the mean slot, at most one a postal code."""
+    needed = F.greatest(F.lit(1), F.ceil(daily / F.when(slot > 0, slot).otherwise(DEFAULT_SLOT)))
+    return F.least(postals, F.greatest(F.lit(1), F.ceil(needed / ENGINEERS_PER_REGION))).cast("int")
+
+
 def design_regions(postals: DataFrame, city: str = "city") -> DataFrame:
     """Region of every postal code; ``regions`` holds the count wanted for its city."""
     ship(postals.sparkSession)
@@ -172,22 +181,32 @@ def design_regions(postals: DataFrame, city: str = "city") -> DataFrame:
     return postals.groupBy(city).applyInPandas(run, f"{city} string, postal_code string, region int")
 
 
-def batch_days(jobs: DataFrame, keys: list[str], per_unit: int = 5, together: list[str] | None = None) -> DataFrame:
-    """Unit number of every job of a day, each (city, region, day) for itself.
+def sliced(jobs: DataFrame, keys: list[str], most_jobs: int) -> DataFrame:
+    """Adds slice: 0 for days of up to ``most_jobs``, else the place of the job along its day's longitude, in slices of about equal counts."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("longitude", "receipt_no")) - 1
+    return jobs.withColumn("slice", F.floor(place * F.ceil(n / most_jobs) / n).cast("int"))
+
+
+def batch_days(jobs: DataFrame, keys: list[str], day: str = "service_date", per_unit: int = JOBS_PER_UNIT, job_min: float = JOB_MIN, most_jobs: int = MOST_JOBS) -> DataFrame:
+    """Unit of every job, each set of ``keys`` (of which ``day`` is the date) for itself; a task holds a month of the other keys.
 
-    One group is one set of ``keys``, or, for fewer calls, one of the keys in ``together``.
+    Every job counts ``job_min`` minutes. Units of the second slice of a long day begin at ``most_jobs``, and so on.
     """
     ship(jobs.sparkSession)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in jobs.select(*keys, "receipt_no").schema) + ", unit int"
-    rest = [k for k in keys if together and k not in together]
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values([*rest, "receipt_no"]).reset_index(drop=True)
-        points, minutes = df[["latitude", "longitude"]].to_numpy(float), df["service_min"].to_numpy(float)
-        unit = np.zeros(len(df), np.int32)
-        for own in df.groupby(rest).indices.values() if rest else [np.arange(len(df))]:
-            unit[own] = absorb_singles(points[own], minutes[own], day_batches(points[own], minutes[own], per_unit))
+        df = df.sort_values([day, "slice", "receipt_no"]).reset_index(drop=True)
+        points, unit = df[["latitude", "longitude"]].to_numpy(float), np.zeros(len(df), np.int32)
+        date, part = df[day].to_numpy(), df["slice"].to_numpy()
+        edges = np.flatnonzero(np.r_[True, (date[1:] != date[:-1]) | (part[1:] != part[:-1]), True])
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            minutes = np.full(b - a, job_min)
+            unit[a:b] = part[a] * most_jobs + (absorb_singles(points[a:b], minutes, day_batches(points[a:b], minutes, per_unit)) if b - a > 1 else 0)
         return df[[*keys, "receipt_no"]].assign(unit=unit)
 
-    # A day is a few bytes but much work: a stated width keeps adaptive execution from joining all days in one task.
-    return jobs.repartition(shuffle_width(jobs.sparkSession), *(together or keys)).groupBy(*(together or keys)).applyInPandas(run, schema)
+    # A month is a few bytes but much work: a stated width keeps adaptive execution from joining all of them in one task.
+    group = [k for k in keys if k != day]
+    rows = sliced(jobs, keys, most_jobs).withColumn("_month", F.trunc(day, "month"))
+    return rows.repartition(shuffle_width(jobs.sparkSession), *group, "_month").groupBy(*group, "_month").applyInPandas(run, schema)

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldroute.functions import text as T
+from fieldroute.functions.geo import haversine_km
 from fieldroute.functions.routes import best_start, coordinate_key, insertion_delta, nearest_neighbour, path_km, stops, timeline, weighted_chunks
 from fieldroute.operators import relational as R
 from fieldroute.operators.allocation import allocate, fixed_regions, overflow_ratio, override_regions, sweep_scores
-from fieldroute.operators.regions import batch_days, design_regions
+from fieldroute.operators.regions import DEFAULT_SLOT, batch_days, design_regions, region_count
 from fieldroute.operators.routing import ORDINALS, city_summary, compare_scenarios, daily_summary, route_groups
 from fieldroute.plans.aggregates import regions
 from fieldroute.session import cut
@@ -91,11 +92,33 @@ def df_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return runs.groupBy("city", "service_month", F.col("col.chunk").alias("chunk")).agg(F.count(F.lit(1)).alias("rows"), F.sum("col.jobs.w").alias("weight"))
 
 
+def _demand(spark, sf):
+    """Postal codes with their jobs a service day of the city, and the number of regions that the city's mean day and slot call for."""
+    v = visits(spark, sf)
+    days = v.groupBy("city").agg(F.countDistinct("service_date").alias("days"), F.countDistinct("service_date", "receipt_no").alias("daily"), F.countDistinct("postal_code").alias("postals"))
+    slots = engineers(spark, sf).groupBy("city").agg(F.coalesce(F.avg("slot"), F.lit(DEFAULT_SLOT)).alias("slot"))
+    city = days.join(slots, "city").select("city", "days", "slot", region_count(F.col("daily") / F.col("days"), F.col("slot"), F.col("postals")).alias("regions"))
+    p = v.groupBy("city", "postal_code").agg(F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"), F.countDistinct("service_date", "receipt_no").alias("receipts"))
+    return p.join(city, "city").withColumn("weight", F.col("receipts") / F.col("days"))
+
+
 def df_region_design(spark: SparkSession, sf: str) -> DataFrame:
-    """Balanced regions of each city's postal codes."""
-    p = visits(spark, sf).groupBy("city", "postal_code").agg(F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"), F.countDistinct("receipt_no").cast("double").alias("weight"))
-    n = engineers(spark, sf).groupBy("city").agg(F.ceil(F.count(F.lit(1)) / 3).cast("int").alias("regions"))
-    return design_regions(p.join(n, "city"))
+    """Balanced regions of each city's postal codes, as many as its demand calls for."""
+    return design_regions(_demand(spark, sf))
+
+
+def df_region_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The designed regions: postal codes, jobs a day, engineers needed, gap to an even share, centre and radii."""
+    p = cut(_demand(spark, sf), "demand")
+    p = p.join(df_region_design(spark, sf), ["city", "postal_code"])
+    middle = lambda c: (F.sum(F.col(c) * F.col("weight")) / F.sum("weight")).alias(f"centre_{c}")
+    per = p.groupBy("city", "region").agg(F.count(F.lit(1)).alias("postals"), F.sum("weight").alias("daily_jobs"), F.first("slot").alias("slot"), middle("latitude"), middle("longitude"))
+    total = p.groupBy("city").agg((F.sum("weight") / F.countDistinct("region")).alias("share"))
+    away = haversine_km(F.col("latitude"), F.col("longitude"), F.col("centre_latitude"), F.col("centre_longitude"))
+    reach = p.select("city", "region", "latitude", "longitude").join(per.select("city", "region", "centre_latitude", "centre_longitude"), ["city", "region"]).groupBy("city", "region").agg(F.round(F.max(away), 3).alias("max_radius_km"), F.round(F.avg(away), 3).alias("mean_radius_km"))
+    out = per.join(total, "city").join(reach, ["city", "region"])
+    gap = F.col("daily_jobs") - F.col("share")
+    return out.select("city", "region", "postals", F.round("daily_jobs", 4).alias("daily_jobs"), F.ceil(F.col("daily_jobs") / F.col("slot")).alias("engineers_needed"), F.round(gap, 4).alias("gap"), F.round(gap / F.greatest("share", F.lit(1.0)) * 100, 2).alias("gap_pct"), F.round("centre_latitude", 6).alias("centre_latitude"), F.round("centre_longitude", 6).alias("centre_longitude"), "max_radius_km", "mean_radius_km")
 
 
 def df_multi_start(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,7 +153,7 @@ def df_region_sweep(spark: SparkSession, sf: str) -> DataFrame:
     designed = cut(fixed_regions(p.withColumn("regions", F.explode(F.array(*map(F.lit, (1, 2, 3)))))), "sweep-regions")
     keys = ["city", "regions", "region", "service_date"]
     jobs = _jobs(spark, sf).join(designed, ["city", "postal_code"]).select(*keys, "receipt_no", *ORDINALS, "latitude", "longitude", "service_min")
-    units = batch_days(jobs.select(*keys, "receipt_no", "latitude", "longitude", "service_min"), keys, together=DAY)
+    units = batch_days(jobs.select(*keys, "receipt_no", "latitude", "longitude", "service_min"), keys)
     routes = cut(route_groups(jobs.join(units, [*keys, "receipt_no"]), [*keys, "unit"]), "sweep-routes")
     tagged = routes.withColumn("unit", F.concat_ws("-", "region", "unit")).withColumn("candidate", F.struct("city", "regions"))
     found = city_summary(daily_summary(tagged, city="candidate", day="service_date", unit="unit", rounded=False), city="candidate").select("candidate.*", "*").drop("candidate")
@@ -156,7 +179,7 @@ def df_visit_sequence(spark: SparkSession, sf: str) -> DataFrame:
     return visits(spark, sf).select("engineer_code", "service_date", "receipt_no", "l_linenumber", F.row_number().over(w).alias("visit_seq"))
 
 
-QUERIES = {f.__name__: f for f in (flagship_routing_compare, df_current_daily, df_city_summary, df_integrated_units, df_single_stop_routes, df_engineer_day_routes, df_schedule, df_insertion, df_chunks, df_region_design, df_region_sweep, df_region_allocation, df_region_master, df_multi_start, df_payload, df_visit_sequence)}
+QUERIES = {f.__name__: f for f in (flagship_routing_compare, df_current_daily, df_city_summary, df_integrated_units, df_single_stop_routes, df_engineer_day_routes, df_schedule, df_insertion, df_chunks, df_region_design, df_region_summary, df_region_sweep, df_region_allocation, df_region_master, df_multi_start, df_payload, df_visit_sequence)}
 _FIRST = "f AS (SELECT *, row_number() OVER (PARTITION BY receipt_no ORDER BY service_min DESC, l_linenumber, engineer_code, service_date) AS rn FROM visits)"
 SQL = {
     "df_single_stop_routes": f"WITH {VISITS_SQL}, g AS (SELECT engineer_code, service_date, count(*) AS job_count, count(DISTINCT latitude * 100000 + longitude) AS unique_stop_count FROM visits GROUP BY 1, 2) SELECT *, CAST(0 AS DOUBLE) AS distance_km, CAST(0 AS DOUBLE) AS duration_min FROM g WHERE unique_stop_count <= 1",

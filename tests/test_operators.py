@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fieldroute.operators import regions as G
 from fieldroute.operators import relational as R
@@ -54,6 +55,79 @@ def test_single_jobs_are_absorbed():
     assert G.absorb_singles(points, np.full(5, 300.0), np.arange(5)).tolist() == [0, 1, 2, 3, 4]
 
 
+def test_a_cluster_of_four_takes_in_a_single():
+    """Four jobs are not too many to take in a fifth; five are."""
+    points = np.array([[33 + i * 0.001, -84.0] for i in range(6)])
+    assert G.absorb_singles(points[:5], np.full(5, 60.0), np.array([0, 0, 0, 0, 1])).tolist() == [0] * 5
+    assert G.absorb_singles(points, np.full(6, 60.0), np.array([0, 0, 0, 0, 0, 1])).tolist() == [0, 0, 0, 0, 0, 1]
+
+
+def test_region_count_by_demand(spark):
+    rows = [(2.4, 5.0, 90, 1), (26.0, 5.0, 90, 2), (26.0, 0.0, 90, 1), (200.0, 4.0, 3, 3), (0.0, 7.0, 5, 1)]
+    got = spark.createDataFrame(rows, "daily double, slot double, postals int, want int").withColumn("n", G.region_count(F.col("daily"), F.col("slot"), F.col("postals")))
+    assert all(r.n == r.want for r in got.collect())
+
+
+def plain_units(points, per_unit=4, job_min=60.0, cap=4):
+    """Units of one day by loops: growth by its formula, limits cluster by cluster, single jobs joined until nothing moves."""
+    n = len(points)
+    gap = G.distances(points, points)
+
+    def path(own):
+        left, at, total = list(own[1:]), own[0], 0.0
+        while left:
+            near = min(left, key=lambda j: gap[at, j])
+            total, at = total + gap[at, near], near
+            left.remove(near)
+        return total
+
+    for k in range(max(1, -(-n // per_unit)), n + 1):
+        labels = G.balanced_regions(points, np.ones(n), k).tolist()
+        paths = [(path(own), len(own)) for own in ([j for j in range(n) if labels[j] == c] for c in set(labels))]
+        if all(km <= 120 and km * 1.2 <= 240 and km * 1.2 + job_min * m <= 480 for km, m in paths):
+            break
+    while True:
+        moved, sizes = False, {c: labels.count(c) for c in set(labels)}
+        for single in sorted(c for c, m in sizes.items() if m == 1):
+            own = [j for j in range(n) if labels[j] == single]
+            if not own:
+                continue
+            choices = []
+            for other in sorted(sizes):
+                theirs = [j for j in range(n) if labels[j] == other]
+                if other != single and theirs and sizes[other] <= cap:
+                    both = sorted(own + theirs)
+                    km = path(both)
+                    if km * 1.2 + job_min * len(both) <= 480:
+                        choices.append((km, km * 1.2 + job_min * len(both), min(gap[own[0], j] for j in theirs), other))
+            if choices:
+                for j in own:
+                    labels[j] = min(choices)[-1]
+                moved = True
+        if not moved:
+            return labels
+
+
+def test_batches_against_loops(spark):
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for d in range(40):
+        points = rng.random((int(rng.integers(1, 16)), 2)) * rng.choice([0.05, 0.5, 1.5]) + [33, -84]
+        date = f"2024-0{d % 3 + 1}-{d // 3 + 1:02d}"
+        rows += [("c", date, f"r{i:02d}", float(p[0]), float(p[1])) for i, p in enumerate(points)]
+        want[date] = plain_units(points)
+    jobs = spark.createDataFrame(rows, "city string, day string, receipt_no string, latitude double, longitude double").withColumn("service_date", F.to_date("day"))
+    got = {}
+    for r in G.batch_days(jobs, ["city", "service_date"]).collect():
+        got.setdefault(str(r.service_date), {})[r.receipt_no] = r.unit
+    for date, labels in want.items():
+        units = [got[date][f"r{i:02d}"] for i in range(len(labels))]
+        assert [[a == b for a in units] for b in units] == [[a == b for a in labels] for b in labels], date
+    long = G.batch_days(jobs, ["city", "service_date"], most_jobs=4).collect()
+    assert len(long) == len(rows) and max(r.unit for r in long) >= 8
+    assert max(r["count"] for r in spark.createDataFrame(long).groupBy("service_date", "unit").count().collect()) <= 4
+
+
 def test_day_batches_hold_the_limits():
     rng = np.random.default_rng(2)
     points, minutes = rng.random((25, 2)) * 0.3 + [33, -84], np.full(25, 45.0)
