@@ -68,11 +68,6 @@ def ag_zip_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return R.overlap_ratio(visits(spark, sf), regions(spark, sf)).withColumn("ratio", F.round("ratio", 4))
 
 
-def ag_engineer_day(spark: SparkSession, sf: str) -> DataFrame:
-    """Roster engineers of every month, with and without work."""
-    return R.engineer_day(engineers(spark, sf), visits(spark, sf), "service_month")
-
-
 def ag_engineer_month(spark: SparkSession, sf: str) -> DataFrame:
     """Roster engineers of all months, with and without work."""
     return R.engineer_day(engineers(spark, sf), visits(spark, sf), "service_month")
@@ -123,16 +118,6 @@ def wn_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return R.duplicates(visits(spark, sf).select("receipt_no", "engineer_code", "l_linenumber"), ["receipt_no", "engineer_code"])
 
 
-def wn_replacement_rank(spark: SparkSession, sf: str) -> DataFrame:
-    """Three replacements for each center and region: center match, region match, overlap, ratio, code."""
-    e = engineers(spark, sf)
-    o = R.overlap_ratio(visits(spark, sf), regions(spark, sf)).groupBy("engineer_code").agg(F.max("overlap").alias("overlap"), F.round(F.max("ratio"), 6).alias("ratio"))
-    wanted = e.groupBy("city", "center_type", "region_seq").agg(F.count(F.lit(1)).alias("need")).select("city", F.col("center_type").alias("want_center"), F.col("region_seq").alias("want_region"))
-    pairs = wanted.join(e.join(o, "engineer_code"), "city")
-    order = [(F.col("center_type") == F.col("want_center")).desc(), (F.col("region_seq") == F.col("want_region")).desc(), F.col("overlap").desc(), F.col("ratio").desc(), F.col("engineer_code")]
-    return R.top_n(pairs, ["city", "want_center", "want_region"], order, 3).select("city", "want_center", "want_region", "engineer_code", "rank")
-
-
 def wn_job_priority(spark: SparkSession, sf: str) -> DataFrame:
     """Order of a day's jobs: television sets (here the brands that begin with 1), heavy repairs, long work, receipt."""
     v = R.keep_first(visits(spark, sf), ["receipt_no"], [F.col("service_min").desc(), *[F.col(c) for c in ("l_linenumber", "engineer_code", "service_date")]])
@@ -150,12 +135,12 @@ def wn_fixed_slot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def so_latest_request(spark: SparkSession, sf: str) -> DataFrame:
-    """The latest event of each user by time and id, with a JSON field decoded."""
+    """The latest event of each user by time and id."""
     e = table(spark, sf, "events")
     return R.keep_first(e, ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()]).select("user_id", "event_id", "event_type")
 
 
-QUERIES = {f.__name__: f for f in (ag_daily_rollup, ag_postal_stats, ag_capacity, ag_distribution, ag_mode_and_first, ag_busiest, ag_most_frequent, ag_region_workload, ag_zip_overlap, ag_engineer_day, ag_engineer_month, ag_staffing, ag_profile_counters, ag_null_groups, ag_attempts, ag_integrated_area, ag_bucket_overlap, wn_keep_first, wn_duplicates, wn_replacement_rank, wn_job_priority, wn_fixed_slot, so_latest_request)}
+QUERIES = {f.__name__: f for f in (ag_daily_rollup, ag_postal_stats, ag_capacity, ag_distribution, ag_mode_and_first, ag_busiest, ag_most_frequent, ag_region_workload, ag_zip_overlap, ag_engineer_month, ag_staffing, ag_profile_counters, ag_null_groups, ag_attempts, ag_integrated_area, ag_bucket_overlap, wn_keep_first, wn_duplicates, wn_job_priority, wn_fixed_slot, so_latest_request)}
 _OVERLAP = "per AS (SELECT engineer_code, region_seq, count(DISTINCT postal_code) AS overlap FROM visits JOIN regions USING (postal_code) GROUP BY 1, 2), tot AS (SELECT engineer_code, count(DISTINCT postal_code) AS total FROM visits GROUP BY 1), o AS (SELECT engineer_code, region_seq, overlap, total, CAST(overlap AS DOUBLE) / total AS ratio FROM per JOIN tot USING (engineer_code))"
 _LONGEST = "f AS (SELECT *, row_number() OVER (PARTITION BY receipt_no ORDER BY service_min DESC, l_linenumber, engineer_code, service_date) AS rn FROM visits)"
 SQL = {
@@ -168,7 +153,6 @@ SQL = {
     "ag_most_frequent": f"WITH {VISITS_SQL}, w AS (SELECT postal_code, center_type, count(*) AS n FROM visits GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY postal_code ORDER BY n DESC, center_type) AS rn FROM w) SELECT postal_code, center_type, n FROM k WHERE rn = 1",
     "ag_region_workload": f"WITH {VISITS_SQL}, {_REGIONS} SELECT region_seq, CAST(sum(service_min) AS BIGINT) AS minutes, count(*) FILTER (WHERE is_heavy) AS heavy, count(DISTINCT receipt_no) AS receipts, round(avg(latitude), 9) AS center_lat FROM visits JOIN regions USING (postal_code) GROUP BY 1",
     "ag_zip_overlap": f"WITH {VISITS_SQL}, {_REGIONS}, {_OVERLAP} SELECT engineer_code, region_seq, overlap, total, round(ratio, 4) AS ratio FROM o",
-    "ag_engineer_day": f"WITH {VISITS_SQL}, {ENGINEERS_SQL}, v AS (SELECT * FROM visits), d AS (SELECT DISTINCT service_month FROM v), w AS (SELECT engineer_code, service_month, count(DISTINCT receipt_no) AS jobs, sum(service_min) AS m FROM v GROUP BY 1, 2) SELECT e.engineer_code, d.service_month, e.center_type, coalesce(jobs, 0) AS job_count, CAST(coalesce(m, 0) AS BIGINT) AS service_min, coalesce(m, 0) > 480 AS overflow_480 FROM engineers e CROSS JOIN d LEFT JOIN w ON w.engineer_code = e.engineer_code AND w.service_month = d.service_month",
     "ag_engineer_month": f"WITH {VISITS_SQL}, {ENGINEERS_SQL}, d AS (SELECT DISTINCT service_month FROM visits), w AS (SELECT engineer_code, service_month, count(DISTINCT receipt_no) AS jobs, sum(service_min) AS m FROM visits GROUP BY 1, 2) SELECT e.engineer_code, d.service_month, e.center_type, coalesce(jobs, 0) AS job_count, CAST(coalesce(m, 0) AS BIGINT) AS service_min, coalesce(m, 0) > 480 AS overflow_480 FROM engineers e CROSS JOIN d LEFT JOIN w ON w.engineer_code = e.engineer_code AND w.service_month = d.service_month",
     "ag_staffing": f"WITH {VISITS_SQL}, {_REGIONS} SELECT region_seq, service_month, count(DISTINCT CASE WHEN center_type = 'DMS' THEN engineer_code END) AS dms, count(DISTINCT CASE WHEN center_type = 'DMS2' THEN engineer_code END) AS dms2, count(DISTINCT CASE WHEN center_type = 'DMS' THEN receipt_no END) AS dms_receipts, count(DISTINCT CASE WHEN center_type = 'DMS2' THEN receipt_no END) AS dms2_receipts, count(DISTINCT receipt_no) AS receipts FROM visits JOIN regions USING (postal_code) GROUP BY 1, 2",
     "ag_profile_counters": f"WITH {ENGINEERS_SQL} SELECT 'rows' AS metric, count(*) AS value FROM engineers UNION ALL SELECT 'cities', count(DISTINCT city) FROM engineers UNION ALL SELECT 'with_slot', count(slot) FROM engineers UNION ALL SELECT 'without_slot', count(*) - count(slot) FROM engineers",
@@ -178,7 +162,6 @@ SQL = {
     "ag_bucket_overlap": f"WITH {VISITS_SQL}, {_REGIONS}, v AS (SELECT DISTINCT postal_code, symptom, region_seq FROM visits JOIN regions USING (postal_code)), a AS (SELECT region_seq, count(DISTINCT postal_code) AS n FROM v GROUP BY 1), b AS (SELECT symptom, count(DISTINCT postal_code) AS n FROM v GROUP BY 1), c AS (SELECT region_seq, symptom, count(DISTINCT postal_code) AS n FROM v GROUP BY 1, 2) SELECT c.region_seq, c.symptom, c.n AS both, a.n - c.n AS region_only, b.n - c.n AS bucket_only FROM c JOIN a ON a.region_seq = c.region_seq JOIN b ON b.symptom = c.symptom",
     "wn_keep_first": f"WITH {VISITS_SQL}, {_LONGEST} SELECT receipt_no, l_linenumber, service_min, engineer_code FROM f WHERE rn = 1",
     "wn_duplicates": f"WITH {VISITS_SQL}, k AS (SELECT receipt_no, engineer_code, l_linenumber, count(*) OVER (PARTITION BY receipt_no, engineer_code) AS n FROM visits) SELECT receipt_no, engineer_code, l_linenumber FROM k WHERE n > 1",
-    "wn_replacement_rank": f"WITH {VISITS_SQL}, {ENGINEERS_SQL}, {_REGIONS}, {_OVERLAP}, m AS (SELECT engineer_code, max(overlap) AS overlap, round(max(ratio), 6) AS ratio FROM o GROUP BY 1), w AS (SELECT DISTINCT city, center_type AS want_center, region_seq AS want_region FROM engineers), k AS (SELECT w.city, want_center, want_region, e.engineer_code, row_number() OVER (PARTITION BY w.city, want_center, want_region ORDER BY CASE WHEN center_type = want_center THEN 0 ELSE 1 END, CASE WHEN region_seq = want_region THEN 0 ELSE 1 END, overlap DESC, ratio DESC, e.engineer_code) AS rank FROM w JOIN engineers e ON e.city = w.city JOIN m ON m.engineer_code = e.engineer_code) SELECT city, want_center, want_region, engineer_code, rank FROM k WHERE rank <= 3",
     "wn_job_priority": f"WITH {VISITS_SQL}, {_LONGEST} SELECT city, service_date, receipt_no, row_number() OVER (PARTITION BY city, service_date ORDER BY CASE WHEN starts_with(product_group, 'Brand#1') THEN 0 ELSE 1 END, CASE WHEN is_heavy THEN 0 ELSE 1 END, service_min DESC, receipt_no) AS priority FROM f WHERE rn = 1",
     "wn_fixed_slot": f"WITH {VISITS_SQL}, v AS (SELECT DISTINCT engineer_code, service_date, receipt_no FROM visits), k AS (SELECT *, row_number() OVER (PARTITION BY engineer_code, service_date ORDER BY receipt_no) AS seq FROM v) SELECT engineer_code, service_date, receipt_no, seq, 540 + (seq - 1) * 60 AS minute FROM k",
     "so_latest_request": "WITH k AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) SELECT user_id, event_id, event_type FROM k WHERE rn = 1",

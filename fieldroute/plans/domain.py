@@ -56,16 +56,6 @@ def flagship_routing_compare(spark: SparkSession, sf: str) -> DataFrame:
     return compare_scenarios(city_summary(_current(spark, sf)), city_summary(integrated), MEASURES)
 
 
-def df_single_stop_routes(spark: SparkSession, sf: str) -> DataFrame:
-    """Routes of engineer-days with one stop, where the greedy path has one form; df_engineer_day_routes has all."""
-    return route_groups(visits(spark, sf), ["engineer_code", "service_date"]).where("unique_stop_count <= 1")
-
-
-def df_engineer_day_routes(spark: SparkSession, sf: str) -> DataFrame:
-    """The greedy route of every engineer-day."""
-    return route_groups(visits(spark, sf), ["engineer_code", "service_date"])
-
-
 def df_schedule(spark: SparkSession, sf: str) -> DataFrame:
     """Visit order by the greedy route from home, start and end of each engineer-day's jobs, and its lunch."""
     v = visits(spark, sf).join(engineers(spark, sf).select("engineer_code", "home_lat", "home_lon"), "engineer_code")
@@ -147,20 +137,29 @@ def df_region_master(spark: SparkSession, sf: str) -> DataFrame:
     return master.withColumn("workload_rank", F.row_number().over(Window.partitionBy("city", "region_seq").orderBy(F.col("receipts").desc(), F.col("engineer_code"))))
 
 
-def df_region_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    """For every city and one to three regions: routes of the fewest units, their changes against the current ones, score and best count."""
+#: Region counts that the sweep tries.
+SWEEP_COUNTS = (1, 2, 3, 4, 5, 6)
+
+
+def sweep_frames(spark, sf, counts: tuple[int, ...] = SWEEP_COUNTS):
+    """City summaries with overflow of the current routes, and of the fewest units for each city and count of regions."""
     p = visits(spark, sf).groupBy("city", "postal_code").agg(F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"), F.countDistinct("receipt_no").cast("double").alias("weight"))
-    designed = cut(fixed_regions(p.withColumn("regions", F.explode(F.array(*map(F.lit, (1, 2, 3)))))), "sweep-regions")
+    designed = cut(fixed_regions(p.withColumn("regions", F.explode(F.array(*map(F.lit, counts))))), "sweep-regions")
     keys = ["city", "regions", "region", "service_date"]
     jobs = _jobs(spark, sf).join(designed, ["city", "postal_code"]).select(*keys, "receipt_no", *ORDINALS, "latitude", "longitude", "service_min")
-    units = batch_days(jobs.select(*keys, "receipt_no", "latitude", "longitude", "service_min"), keys)
+    units = batch_days(jobs.select(*keys, "receipt_no", "latitude", "longitude"), keys)
     routes = cut(route_groups(jobs.join(units, [*keys, "receipt_no"]), [*keys, "unit"]), "sweep-routes")
     tagged = routes.withColumn("unit", F.concat_ws("-", "region", "unit")).withColumn("candidate", F.struct("city", "regions"))
     found = city_summary(daily_summary(tagged, city="candidate", day="service_date", unit="unit", rounded=False), city="candidate").select("candidate.*", "*").drop("candidate")
     found = found.join(overflow_ratio(routes, ["city", "regions"]), ["city", "regions"])
     now = cut(route_groups(visits(spark, sf), [*DAY, "engineer_code"]), "current-routes")
     current = city_summary(daily_summary(now, day="service_date", rounded=False)).join(overflow_ratio(now, ["city"]), "city")
-    return sweep_scores(current, found)
+    return cut(current, "sweep-current"), cut(found, "sweep-found")
+
+
+def df_region_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """For every city and count of regions: changes of the fewest units' routes against the current ones, score and best count."""
+    return sweep_scores(*sweep_frames(spark, sf))
 
 
 def df_payload(spark: SparkSession, sf: str) -> DataFrame:
@@ -179,10 +178,9 @@ def df_visit_sequence(spark: SparkSession, sf: str) -> DataFrame:
     return visits(spark, sf).select("engineer_code", "service_date", "receipt_no", "l_linenumber", F.row_number().over(w).alias("visit_seq"))
 
 
-QUERIES = {f.__name__: f for f in (flagship_routing_compare, df_current_daily, df_city_summary, df_integrated_units, df_single_stop_routes, df_engineer_day_routes, df_schedule, df_insertion, df_chunks, df_region_design, df_region_summary, df_region_sweep, df_region_allocation, df_region_master, df_multi_start, df_payload, df_visit_sequence)}
+QUERIES = {f.__name__: f for f in (flagship_routing_compare, df_current_daily, df_city_summary, df_integrated_units, df_schedule, df_insertion, df_chunks, df_region_design, df_region_summary, df_region_sweep, df_region_allocation, df_region_master, df_multi_start, df_payload, df_visit_sequence)}
 _FIRST = "f AS (SELECT *, row_number() OVER (PARTITION BY receipt_no ORDER BY service_min DESC, l_linenumber, engineer_code, service_date) AS rn FROM visits)"
 SQL = {
-    "df_single_stop_routes": f"WITH {VISITS_SQL}, g AS (SELECT engineer_code, service_date, count(*) AS job_count, count(DISTINCT latitude * 100000 + longitude) AS unique_stop_count FROM visits GROUP BY 1, 2) SELECT *, CAST(0 AS DOUBLE) AS distance_km, CAST(0 AS DOUBLE) AS duration_min FROM g WHERE unique_stop_count <= 1",
     "df_payload": f"WITH {VISITS_SQL}, {_FIRST} SELECT city, service_month, count(*) AS jobs, count(*) FILTER (WHERE is_heavy) AS heavy_jobs, CAST(sum(service_min) AS BIGINT) AS minutes, max(latitude) AS lat FROM f WHERE rn = 1 GROUP BY 1, 2",
     "df_visit_sequence": f"WITH {VISITS_SQL} SELECT engineer_code, service_date, receipt_no, l_linenumber, row_number() OVER (PARTITION BY engineer_code, service_date ORDER BY l_orderkey, l_linenumber, service_min, latitude) AS visit_seq FROM visits",
 }
