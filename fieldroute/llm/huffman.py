@@ -119,7 +119,11 @@ def global_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
-    """Tokenise every document and write the folder ``path`` (book, blocks) in ascending doc_id order; null ids come first."""
+    """Tokenise every document and write the folder ``path`` (book, blocks) in ascending doc_id order; null ids come first.
+
+    A null or empty text is the end id alone. Rows are documents each, repeated ones too; rows of one id
+    go by their ids. An empty table gives files without blocks. Other columns are not stored.
+    """
     spark = docs.sparkSession
     vocabulary = vocabulary_size(tokenizer_path)
     dtype = id_type(vocabulary)
@@ -162,7 +166,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids (binary, little-endian unsigned 32-bit)."""
+    """doc_id, start (ids of all documents before it), n_tokens and ids (binary, little-endian unsigned 32-bit), a row for every one that was written."""
     ship(spark)
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     book = spark.read.schema("id int, bits int").parquet(f"{path}/book").toPandas()  # the vocabulary

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldroute.llm.components import components
-from fieldroute.llm.recent import Recent
+from fieldroute.llm.recent import Recent, releasing
 from fieldroute.session import cut, ship
 
 SHINGLE = 5
@@ -216,19 +216,20 @@ def near_groups(docs: DataFrame, least_percent: int = LEAST_PERCENT, id_col: str
 
     Null texts, empty ones and those without words have no shingle and are their own
     component. A null id links with nothing: component_id null, kept true.
-    Rows that repeat one id are one document; each is marked kept if the id is its
-    component's smallest. Other columns are ignored.
+    Rows that repeat one id are one document, which has the links of the text whose digest is the
+    least of them; each is marked kept if the id is its component's smallest. An empty table
+    gives an empty result. Other columns are ignored.
     """
     ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    signed = cut(texts.mapInArrow(_sign, "doc_id long, n_shingles long, same binary, sig array<long>, bands array<long>"), "signatures")
+    signed = cut(texts.mapInArrow(releasing(_sign), "doc_id long, n_shingles long, same binary, sig array<long>, bands array<long>"), "signatures")
     linked = signed.where("same is not null and doc_id is not null")
     classes = linked.groupBy("same").agg(F.min("doc_id").alias("rep"))
-    reps = linked.join(classes, "same").where("doc_id = rep").select(F.col("rep").alias("node"), "sig", "bands").dropDuplicates(["node"])
+    reps = linked.join(classes, "same").where("doc_id = rep").groupBy(F.col("rep").alias("node")).agg(F.min_by(F.struct("sig", "bands"), "same").alias("s")).select("node", "s.sig", "s.bands")
     members = reps.select("node", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut(members.join(buckets, "bucket"), "buckets")
-    sigs = linked.select(F.col("doc_id").alias("node"), "sig")
+    sigs = linked.select(F.col("doc_id").alias("node"), "same", "sig")
     words = texts.where("doc_id is not null").mapInArrow(_compress, "node long, words binary").join(members.select("node").distinct(), "node", "left_semi")
     words = cut(words, "words")
     need = least_matches(least_percent)
@@ -237,7 +238,7 @@ def near_groups(docs: DataFrame, least_percent: int = LEAST_PERCENT, id_col: str
         full = pairs.join(words.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b").join(words.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a")
         return full.select("a", "b", "words_a", "words_b").mapInArrow(_confirm(least_percent), "a long, b long")
 
-    sigs = sigs.dropDuplicates(["node"])
+    sigs = sigs.groupBy("node").agg(F.min_by("sig", "same").alias("sig"))
 
     def passing(pairs: DataFrame) -> DataFrame:
         full = pairs.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b").join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
@@ -293,6 +294,7 @@ def near_groups(docs: DataFrame, least_percent: int = LEAST_PERCENT, id_col: str
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """Documents of which one of each near-duplicate group stays: the smallest doc_id. Null ids stay."""
-    gone = near_groups(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """Documents of which one of each near-duplicate group stays: the smallest doc_id, with every row and column it has. Rows without an id stay."""
+    gone = near_groups(docs).where("not kept").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    return rows.join(gone, "id", "left_anti").select("row.*")

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
+from fieldroute.llm.recent import give_back
 from fieldroute.session import ship, shuffle_width
 
 LENGTH, GRAM = 50, 24
@@ -392,10 +393,20 @@ def judged(docs: DataFrame, id_col: str, text_col: str, hot_batches: int = HOT_B
                 removed[i], spans[i], kept[i] = int(mark.sum()), int(mark[0]) + int((mark[1:] & ~mark[:-1]).sum()), data[a:b][~mark].tobytes()
         return with_counts(left, [[len(x) for x in own.texts], removed, spans, kept])
 
-    def with_batch(notes: DataFrame, run, schema) -> DataFrame:
+    def with_batch(notes: DataFrame, work, schema) -> DataFrame:
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = work(left, right)
+            give_back()  # a batch's arrays are large, and workers wait beside other stages
+            return out
+
         return rows.groupBy("batch").cogroup(notes.groupBy("batch")).applyInArrow(run, schema)
 
-    def by_bucket(notes: DataFrame, run) -> DataFrame:
+    def by_bucket(notes: DataFrame, work) -> DataFrame:
+        def run(table: pa.Table) -> pa.Table:
+            out = work(table)
+            give_back()
+            return out
+
         return notes.groupBy("number").applyInArrow(run, NOTES)
 
     repeated = copies.unionByName(by_bucket(with_batch(copies, names, NOTES), shared))

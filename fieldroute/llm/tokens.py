@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldroute.llm.recent import Recent
+from fieldroute.llm.recent import Recent, releasing
 from fieldroute.session import ship
 
 SLICE_ROWS = 256
@@ -137,4 +137,4 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "d
                 n = [len(x) // known.dtype.itemsize for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array([chunk] * len(n), pa.int32())], names=["doc_id", "n_tokens", "ids", "chunk"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, chunk int")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(releasing(run), "doc_id long, n_tokens long, ids binary, chunk int")

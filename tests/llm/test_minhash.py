@@ -102,3 +102,15 @@ def test_components(spark):
             top[max(x, y)] = min(x, y)
     assert got == {x: find(x) for x in list(top)}
     assert np.all(np.diff(sorted(got)) > 0)
+
+
+def test_an_id_with_several_texts_is_one_document(spark):
+    """Whatever the order of rows, the links are those of one stated text, and no row is lost."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (5, a + " x"), (5, b), (7, b + " y"), (5, a + " x")]
+    results = []
+    for order in (rows, rows[::-1]):
+        out = near_groups(spark.createDataFrame([(*r, "c", 1) for r in order], "doc_id long, text string, same string, node int")).collect()
+        results.append(sorted(tuple(r) for r in out))
+        assert len(out) == 5
+    assert results[0] == results[1]
