@@ -21,14 +21,18 @@ from fieldroute.session import cut, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality(docs, table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
+    """Documents that pass the quality rules, every row judged for itself; one without a text has no words and goes."""
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text")
+    return quality(rows, table(spark, sf_dir, "labels"), columns=["row"]).where("kept").select("row.*")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text (A-Z lower-cased): that of the largest id, or without ids any one."""
     return drop_exact_copies(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, that of the smallest id; rows without an id stay."""
     return drop_near_copies(docs)
 
 
@@ -38,6 +42,7 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every token of every document in one piece of a sequence; rows without an id are packed too."""
     pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
