@@ -91,7 +91,8 @@ def street(line, city, state, postal, country_name):
     A form with a blank part is left out.
     """
     parts = [F.nullif(collapse(c), F.lit("")) for c in (city, state, postal, country_name)]
-    quoted = [F.concat(F.lit(r"\Q"), p, F.lit(r"\E")) for p in parts]
+    # Quoted as they are; the mark that ends a quotation is taken out of it.
+    quoted = [F.concat(F.lit(r"\Q"), F.replace(p, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")) for p in parts]
     gap, pause = F.lit(r"[\s,]+"), F.lit(r"[\s,]*")
     town, region, code, land = quoted
     forms = F.concat_ws("|", F.concat(town, gap, region, gap, code, gap, land), F.concat(town, gap, region, gap, code), F.concat(region, gap, code), land)

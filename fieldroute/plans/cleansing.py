@@ -13,7 +13,7 @@ from fieldroute.sources.adapter import ENGINEERS_SQL, VISITS_SQL, engineers, vis
 
 
 def flt_city_centers(spark: SparkSession, sf: str) -> DataFrame:
-    """Equality, IN and a NOT IN that keeps nulls."""
+    """A NOT IN that keeps nulls."""
     e = engineers(spark, sf).withColumn("kind", F.when(F.col("slot").isNull(), None).otherwise(F.col("center_type")))
     return e.where(F.coalesce(~F.col("kind").isin("DMS2"), F.lit(True))).select("engineer_code", "city", "kind")
 

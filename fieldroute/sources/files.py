@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldroute.functions.text import boolean
-from fieldroute.operators.relational import upsert
+from fieldroute.operators.relational import keep_first, upsert
 
 #: Encodings in the order in which they are tried.
 GENERAL_ENCODINGS = ("UTF-8", "x-windows-949", "ISO-8859-1")
@@ -44,12 +44,17 @@ def backfill(df: DataFrame | None, spark: SparkSession, schema: str, flags: Sequ
 
 
 def newest_valid(spark: SparkSession, folder: str, pattern: str, required: Sequence[str]) -> str | None:
-    """Path of the newest CSV file that fits the pattern and has the required columns; only headers are read."""
-    head = spark.read.option("pathGlobFilter", pattern).text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("at"), "_metadata.file_block_start", F.regexp_replace("value", BOM, "").alias("value"))
-    cells = F.transform(F.split("value", ","), lambda c: F.btrim(c, F.lit(' "')))
-    fits = head.where((F.col("file_block_start") == 0) & F.forall(F.array(*map(F.lit, required)), lambda c: F.array_contains(cells, c)))
-    found = fits.orderBy(F.col("at").desc(), F.col("path").desc()).select("path").head()
-    return found.path if found else None
+    """Path of the newest CSV file that fits the pattern and whose header has the required columns.
+
+    Files are listed by their metadata, contents unread; headers are read from the newest on until one fits.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "modificationTime")
+    for r in files.orderBy(F.col("modificationTime").desc(), F.col("path").desc()).toLocalIterator():
+        if r.path.lower().endswith((".csv", ".txt")):
+            names = {c.lstrip(BOM).strip(' "') for c in spark.read.option("header", True).csv(r.path).columns}
+            if names >= set(required):
+                return r.path
+    return None
 
 
 def read_route_cache(spark: SparkSession, path: str) -> DataFrame:
@@ -74,9 +79,9 @@ def read_sniffed_csv(spark: SparkSession, path: str, delimiters: str = ",;\t|")
     return out.fillna("").withColumnsRenamed({c: c.lstrip(BOM) for c in out.columns if c.startswith(BOM)})
 
 
-def keep_last(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Cache rows with the new ones after them; of rows with one key the newest generation's stays."""
-    return upsert(existing, new.dropDuplicates(keys), keys)
+def keep_last(existing: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Cache rows with the new ones in place of those that share their keys; of new rows with one key that with the largest ``order`` stays."""
+    return upsert(existing, keep_first(new, keys, [F.col(order).desc_nulls_last()]), keys)
 
 
 def service_query(spark: SparkSession, sql: str, first_day: str, last_day: str, postals: DataFrame, postal_col: str = "postal_code") -> DataFrame:

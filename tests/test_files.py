@@ -16,6 +16,10 @@ def test_newest_valid(spark, tmp_path):
         os.utime(tmp_path / name, (1_700_000_000 + k, 1_700_000_000 + k))
     assert newest_valid(spark, str(tmp_path), "S_*_g.csv", ["a", "b"]).endswith("S_2_g.csv")
     assert newest_valid(spark, str(tmp_path), "S_*_g.csv", ["z"]) is None
+    # A data row that looks like the header is none.
+    (tmp_path / "S_4_g.csv").write_text("foo,bar\na,b\n")
+    os.utime(tmp_path / "S_4_g.csv", (1_700_000_009, 1_700_000_009))
+    assert newest_valid(spark, str(tmp_path), "S_*_g.csv", ["a", "b"]).endswith("S_2_g.csv")
 
 
 def test_caches(spark, tmp_path):
@@ -24,7 +28,10 @@ def test_caches(spark, tmp_path):
     (tmp_path / "t.csv").write_text("cache_key,distance_km,duration_min\na,1.5,2\nb,x,2\nc\n")
     assert [r.cache_key for r in read_trip_cache(spark, str(tmp_path / "t.csv")).collect()] == ["a"]
     old, new = (spark.createDataFrame(x, "k string, v int") for x in ([("a", 1), ("b", 1)], [("b", 2), ("c", 2)]))
-    assert sorted(map(tuple, keep_last(old, new, ["k"]).collect())) == [("a", 1), ("b", 2), ("c", 2)]
+    assert sorted(map(tuple, keep_last(old, new, ["k"], "v").collect())) == [("a", 1), ("b", 2), ("c", 2)]
+    again = spark.createDataFrame([("b", 1), ("b", 5), ("b", 2)], "k string, v int")
+    for rows in (again, again.orderBy("v"), again.orderBy(again["v"].desc())):
+        assert sorted(map(tuple, keep_last(old, rows, ["k"], "v").collect())) == [("a", 1), ("b", 5)]
 
 
 def test_sniffed_csv(spark, tmp_path):

@@ -79,3 +79,9 @@ def test_text(spark):
     assert value(T.clock_minutes(F.lit("09:30"), 540)) == 570 and value(T.clock_minutes(F.lit("9:30"), 540)) == 540
     assert value(T.slug(F.lit("Los Angeles, CA!"))) == "los_angeles_ca"
     assert value(haversine_km(F.lit(None).cast("double"), F.lit(1.0), F.lit(1.0), F.lit(1.0))) == 0.0
+
+
+def test_street_takes_any_place_name(spark):
+    rows = [("1 Main St, Odd\\Etown, GA 30301", "Odd\\Etown", "GA", "30301", "1 Main St"), ("5 A.B*C Rd (x), A.B*C GA 1", "A.B*C", "GA", "1", "5 A.B*C Rd (x)"), ("7 Q St \\Q", "\\Q", "GA", "2", "7 Q St \\Q")]
+    df = spark.createDataFrame(rows, "line string, city string, state string, code string, want string")
+    assert [r.got for r in df.select(T.street(F.col("line"), F.col("city"), F.col("state"), F.col("code"), F.lit("USA")).alias("got")).collect()] == [r[4] for r in rows]
