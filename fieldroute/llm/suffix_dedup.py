@@ -39,8 +39,9 @@ LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
 BATCH_BYTES, BUCKET_BYTES = 4 << 20, 64 << 20
 PIECE = 1 << 18
-#: Names met in more batches than this are hot: their windows are dealt one by one, by their own content.
-HOT_BATCHES = 48
+#: Names met in more batches than this are hot: their windows are dealt one by one, by their own content. A batch
+#: has some hundred contexts of a name at most, 76 bytes each: below this, a name takes a few MB of its bucket.
+HOT_BATCHES = 256
 SALTS = 16
 LOW = np.uint64((1 << 39) - 1)
 HOT = np.uint64(1 << 39)
