@@ -9,14 +9,15 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldroute.llm.recent import Recent, releasing
 from fieldroute.session import ship
 
-SLICE_ROWS = 256
-WORDS_BYTES, PARTS_BYTES, MARKS_BYTES = 56 << 20, 24 << 20, 2 << 20
+SLICE_ROWS = 2048
+WORDS_BYTES, PARTS_BYTES, MARKS_BYTES = 72 << 20, 24 << 20, 2 << 20
 _LATIN = 0x250
 _MARKS = punctuation.encode()
 _WORD_PROBES = ("erer", "Erer.", "THE!!", "leau\u00e9,", "\u00c9t\u00e9", "\u00f1o***", "\u0130x", "a", "z\u00df;")
@@ -62,9 +63,8 @@ class WordIds:
         return [array(kind, [t.id for t in tokenise(x)]).tobytes() for x in spelt]
 
     @staticmethod
-    def _shape(word: bytes) -> bytes | None:
-        """The lower-cased letters before the marks; none for words of another shape or of letters beyond Latin."""
-        core = word.rstrip(_MARKS)
+    def _small(core: bytes) -> bytes | None:
+        """The lower-cased letters of a word without its marks; none for words of another shape or of letters beyond Latin."""
         if core.isalpha():  # ASCII letters
             return core.lower()
         letters = core.decode()
@@ -74,12 +74,15 @@ class WordIds:
         return small.encode() if len(small) == len(letters) else None  # not so: a letter that becomes a letter and a mark
 
     def _make(self, words: list[bytes]) -> list[bytes]:
-        shapes = [self._shape(w) for w in words] if self.by_parts else [None] * len(words)
-        parts = iter(self.parts.look_up([x for x in shapes if x is not None], self._letters))
-        tails = [b"" if x is None else w[len(w.rstrip(_MARKS)) :] for w, x in zip(words, shapes, strict=True)]
+        if not self.by_parts:
+            return self._whole([w.decode() for w in words])
+        cores = [w.rstrip(_MARKS) for w in words]
+        small = list(map(self._small, cores))
+        parts = iter(self.parts.look_up([x for x in small if x is not None], self._letters))
+        tails = [None if x is None else w[len(c) :] for w, c, x in zip(words, cores, small, strict=True)]
         marks = iter(self.marks.look_up([t for t in tails if t], lambda new: self._whole([m.decode() for m in new])))
-        others = iter(self._whole([w.decode() for w, x in zip(words, shapes, strict=True) if x is None]))
-        return [next(others) if x is None else next(parts) + next(marks) if t else next(parts) for x, t in zip(shapes, tails, strict=True)]
+        others = iter(self._whole([w.decode() for w, t in zip(words, tails, strict=True) if t is None]))
+        return [next(others) if t is None else next(parts) + next(marks) if t else next(parts) for t in tails]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         if not self.by_words:
@@ -92,6 +95,28 @@ class WordIds:
         return out
 
 
+    def encode_column(self, texts: pa.Array, end: bytes) -> pa.Array:
+        """Ids of each text of a binary column, null as an empty one, and ``end`` after them.
+
+        Words are split and told apart by Arrow, so that each different one of the column is looked up
+        once, and the ids of a text are gathered by its words' numbers.
+        """
+        if not self.by_words:
+            return pa.array([x + end for x in self.encode(texts.to_pylist())], pa.binary())
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, b"").view(pa.string()))
+        words = split.flatten().dictionary_encode()
+        known = words.dictionary.view(pa.binary()).to_pylist()
+        # Nothing stands before the first or after the last white space.
+        ids = iter(self.words.look_up([w for w in known if w], self._make))
+        values = pa.array([*(next(ids) if w else b"" for w in known), end], pa.binary())
+        ends = split.offsets.to_numpy()[1:].astype(np.int64)
+        order = np.insert(words.indices.to_numpy(), ends, len(known))
+        gathered = values.take(pa.array(order))
+        at = np.frombuffer(gathered.buffers()[1], np.int32)[: len(order) + 1]
+        offsets = np.append(np.int32(0), at[ends + np.arange(1, len(ends) + 1)])
+        return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), gathered.buffers()[2]])
+
+
 def id_type(vocabulary: int) -> np.dtype:
     return np.dtype("<u2") if vocabulary <= 1 << 16 else np.dtype("<u4")
 
@@ -133,8 +158,8 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "d
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(i, SLICE_ROWS)
-                ids = [x + end for x in known.encode(part.column(1).to_pylist())]
-                n = [len(x) // known.dtype.itemsize for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array([chunk] * len(n), pa.int32())], names=["doc_id", "n_tokens", "ids", "chunk"])
+                ids = known.encode_column(part.column(1), end)
+                n = pc.divide(pc.binary_length(ids).cast(pa.int64()), known.dtype.itemsize)
+                yield pa.RecordBatch.from_arrays([part.column(0), n, ids, pa.array([chunk] * len(ids), pa.int32())], names=["doc_id", "n_tokens", "ids", "chunk"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(releasing(run), "doc_id long, n_tokens long, ids binary, chunk int")
