@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from fieldroute.llm.components import components
 from fieldroute.llm.recent import Recent, releasing
-from fieldroute.session import cut, ship
+from fieldroute.session import cut, ship, shuffle_width
 
 SHINGLE = 5
 LANES, BITS = 384, 4
@@ -36,6 +36,8 @@ LEAST_PERCENT = 75
 BLOCK_ROWS = 512
 STAR_TURNS = 2
 WORDS_BYTES = 48 << 20
+#: Rows of one key that a task takes in a join, and the share of all rows from which on a key is dealt over all tasks.
+HOT_ROWS, HOT_SHARE = 1 << 14, 10_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _RNG = np.random.default_rng(20_24)
@@ -121,13 +123,16 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import hashlib
+
     import zstandard
 
     zip_ = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([zip_(b" ".join((t or b"").lower().split())) for t in part.column(1).to_pylist()], pa.binary())], names=["node", "words"])
+            words = [b" ".join((t or b"").lower().split()) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([hashlib.sha256(w).digest()[:16] for w in words], pa.binary()), pa.array([zip_(w) for w in words], pa.binary())], names=["node", "same", "words"])
 
 
 def _sign_finely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,6 +216,30 @@ def least_matches(least_percent: int = LEAST_PERCENT, lanes: int = LANES) -> int
     return int(lanes * c - 4 * (lanes * c * (1 - c)) ** 0.5)
 
 
+def with_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """Left join with the one row a key of ``groups``, whose column n counts the key's rows; read from a written table.
+
+    At most HOT_SHARE keys have more than that share of all rows, so their row of ``groups`` is broadcast and their
+    rows are dealt over all tasks; so are rows without a key. The other keys meet in a shuffle.
+    """
+    named = [c for c in groups.columns if c != key]
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") > max(HOT_ROWS, total / HOT_SHARE)
+    hot = groups.where(is_hot).select(key, F.struct(*named).alias("_hot"))
+    cold = groups.where(~is_hot).select(key, F.lit(0).cast("long").alias("_salt"), F.struct(*named).alias("_cold"))
+    dealt = F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(shuffle_width(rows.sparkSession))))
+    both = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", dealt).join(cold, [key, "_salt"], "left")
+    found = F.coalesce("_hot", "_cold")
+    return both.select(*rows.columns, *[found[c].alias(c) for c in named])
+
+
+def with_few(held: DataFrame, few: DataFrame) -> DataFrame:
+    """Members joined with the one row a bucket of ``few``; both know the bucket's size n, by which it is dealt over several tasks."""
+    width = F.ceil(F.col("n") / HOT_ROWS)
+    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), width - 1))).drop("n")
+    return held.withColumn("_salt", F.pmod(F.xxhash64("node"), width)).join(copies, ["bucket", "_salt"]).drop("_salt")
+
+
 def near_groups(docs: DataFrame, least_percent: int = LEAST_PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -224,22 +253,22 @@ def near_groups(docs: DataFrame, least_percent: int = LEAST_PERCENT, id_col: str
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     signed = cut(texts.mapInArrow(releasing(_sign), "doc_id long, n_shingles long, same binary, sig array<long>, bands array<long>"), "signatures")
     linked = signed.where("same is not null and doc_id is not null")
-    classes = linked.groupBy("same").agg(F.min("doc_id").alias("rep"))
-    reps = linked.join(classes, "same").where("doc_id = rep").groupBy(F.col("rep").alias("node")).agg(F.min_by(F.struct("sig", "bands"), "same").alias("s")).select("node", "s.sig", "s.bands")
+    classes = linked.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    reps = linked.groupBy("same").agg(F.min("doc_id").alias("node"), F.min_by("sig", "doc_id").alias("sig"), F.min_by("bands", "doc_id").alias("bands"))
+    reps = cut(reps.groupBy("node").agg(F.min("same").alias("same"), F.min_by("sig", "same").alias("sig"), F.min_by("bands", "same").alias("bands")), "representatives")
     members = reps.select("node", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut(members.join(buckets, "bucket"), "buckets")
-    sigs = linked.select(F.col("doc_id").alias("node"), "same", "sig")
-    words = texts.where("doc_id is not null").mapInArrow(_compress, "node long, words binary").join(members.select("node").distinct(), "node", "left_semi")
-    words = cut(words, "words")
+    buckets = cut(members.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    members = cut(with_groups(members, buckets, "bucket").where("n > 1"), "buckets")
+    sigs = reps.select("node", "sig")
+    words = texts.where("doc_id is not null").mapInArrow(_compress, "node long, same binary, words binary")
+    words = words.join(reps.join(members.select("node").distinct(), "node", "left_semi").select("node", "same"), ["node", "same"], "left_semi").dropDuplicates(["node", "same"])
+    words = cut(words.drop("same"), "words")
     need = least_matches(least_percent)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         full = pairs.join(words.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b").join(words.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a")
         return full.select("a", "b", "words_a", "words_b").mapInArrow(_confirm(least_percent), "a long, b long")
 
-    sigs = sigs.groupBy("node").agg(F.min_by("sig", "same").alias("sig"))
-
     def passing(pairs: DataFrame) -> DataFrame:
         full = pairs.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b").join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
         return cut(full.where(matches("sig_a", "sig_b") >= need).select("a", "b"), "pairs")
@@ -251,8 +280,8 @@ def near_groups(docs: DataFrame, least_percent: int = LEAST_PERCENT, id_col: str
     def mixed(among: DataFrame) -> DataFrame:
         """Members, with their components, of buckets that hold several; a bucket of one component never comes back."""
         held = among.select("bucket", "node", "n").join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-        several = held.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-        return cut(held.join(several, "bucket"), "mixed")
+        several = held.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("n").alias("n")).where("lo < hi").select("bucket", "n")
+        return cut(with_few(held, several), "mixed")
 
     def merged(links: DataFrame) -> DataFrame:
         """Components after more links; only the roots they touch are joined anew."""
@@ -266,9 +295,9 @@ def near_groups(docs: DataFrame, least_percent: int = LEAST_PERCENT, id_col: str
     # Then with other members, as long as that joins components.
     held = mixed(members)
     for turn in range(STAR_TURNS):
-        leaders = held.groupBy("bucket").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", "bucket", F.lit(turn))).alias("x"))
-        leaders = leaders.select("bucket", F.col("x.node").alias("x"), F.col("x.root").alias("root_x"))
-        pairs = held.join(leaders, "bucket").where(F.col("root") != F.col("root_x"))
+        leaders = held.groupBy("bucket").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", "bucket", F.lit(turn))).alias("x"), F.max("n").alias("n"))
+        leaders = leaders.select("bucket", "n", F.col("x.node").alias("x"), F.col("x.root").alias("root_x"))
+        pairs = with_few(held, leaders).where(F.col("root") != F.col("root_x"))
         pairs = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = passing(pairs)
         links = cut(confirmed(pairs), "links")
@@ -281,16 +310,17 @@ def near_groups(docs: DataFrame, least_percent: int = LEAST_PERCENT, id_col: str
     # What is left in buckets with several components: cells of two blocks, each pair of blocks once.
     held = held.withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     fine = cut(words.join(held.select("node").distinct(), "node", "left_semi").mapInArrow(_sign_finely, "node long, fine array<long>"), "fine")
-    held = held.join(reps, "node").join(fine.dropDuplicates(["node"]), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = held.join(reps.drop("same"), "node").join(fine, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = held.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "sig", "fine", "bands")
     pairs = cells.groupBy("bucket", "i", "j").applyInArrow(_compare_blocks(need, least_matches(least_percent, FINE_LANES)), "a long, b long").join(tried, ["a", "b"], "left_anti")
     links = cut(confirmed(cut(pairs, "pairs")), "links")
     if links.take(1):
         roots = merged(links)
 
-    named = signed.join(classes, "same", "left").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    component = F.coalesce("root", "rep", "doc_id")
-    return named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    rooted = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("same", "n", F.coalesce("root", "rep").alias("component"))
+    named = with_groups(signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("same")), cut(rooted, "classes"), "same")
+    component = F.coalesce("component", "doc_id")
+    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

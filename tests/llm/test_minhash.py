@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from fieldroute.llm import minhash
 from fieldroute.llm.components import components
 from fieldroute.llm.minhash import drop_near_copies, least_matches, matches, minima, _packed, near_groups, shingles, word_names
 from fieldroute.session import table
@@ -114,3 +115,16 @@ def test_an_id_with_several_texts_is_one_document(spark):
         results.append(sorted(tuple(r) for r in out))
         assert len(out) == 5
     assert results[0] == results[1]
+
+
+def test_hot_buckets_and_classes_change_nothing(spark, monkeypatch):
+    """Every key of two rows and more counted as hot, and every bucket dealt by single rows: the same groups."""
+    texts = [t for s in range(4) for t in family(s, 30, 9)] + ["one text that many rows have in common"] * 40 + [None, "", " "] * 5
+    docs = list(enumerate(texts)) + [(None, texts[0]), (None, None)]
+    want = brute.near([d for d in docs if d[0] is not None])
+    for rows, share in ((1, 10**9), (1, 50), (1 << 14, 10_000)):
+        monkeypatch.setattr(minhash, "HOT_ROWS", rows)
+        monkeypatch.setattr(minhash, "HOT_SHARE", share)
+        got = as_dict(near_groups(spark.createDataFrame(docs, "doc_id long, text string")))
+        assert got.pop(None)[1:] == (None, True)
+        assert got == want
