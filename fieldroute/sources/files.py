@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldroute.functions.text import boolean
+from fieldroute.functions.text import address_key, blank_null_words, boolean, collapse, country, postal_key, street
 from fieldroute.operators.relational import keep_first, upsert
 
 #: Encodings in the order in which they are tried.
@@ -16,6 +16,13 @@ GENERAL_ENCODINGS = ("UTF-8", "x-windows-949", "ISO-8859-1")
 WINDOWS_ENCODINGS = ("windows-1252", "ISO-8859-1", "x-windows-949", "UTF-8")
 BOM = "\ufeff"
 
+#: The columns of a geocode cache in their order, and words that stand for a missing key.
+CACHE_COLUMNS = (
+    "address_key", "address_line1", "city", "state", "postal_code", "country_name", "matched_address", "match_indicator", "match_type", "longitude",
+    "latitude", "tiger_line_id", "tiger_line_side", "census_state_fips", "census_county_fips", "census_tract", "census_block", "geocoded_date", "source",
+)
+MISSING_KEYS = ("", "nan", "None", "none", "NaN")
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, encodings: Sequence[str] = GENERAL_ENCODINGS) -> DataFrame:
     """CSV with a header in the first of the encodings that has no unmappable character; every column is text without a schema.
@@ -63,6 +70,28 @@ def read_route_cache(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).where("cache_key is not null")
 
 
+def geocode_cache(df: DataFrame, every_key: bool = False) -> DataFrame:
+    """The columns of a geocode cache as text, blank where ``df`` lacks one or is null, with keys repaired from the address.
+
+    A row without a key gets cleaned address parts and the key they make. With ``every_key`` all rows get a
+    key and a cleaned street line anew, and their other parts stay as they are.
+    """
+    have = set(df.columns)
+    rows = df.select(*[(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit("")).alias(c) for c in CACHE_COLUMNS])
+    rows = rows.withColumn("address_key", F.trim("address_key"))
+    tidy = lambda c: blank_null_words(collapse(F.col(c)))
+    clean = {"city": tidy("city"), "state": tidy("state"), "postal_code": postal_key(F.col("postal_code")), "country_name": country(F.col("country_name"))}
+    line = street(F.col("address_line1"), *clean.values())
+    broken = F.lit(True) if every_key else F.col("address_key").isin(*MISSING_KEYS)
+    made = {"address_line1": line, "address_key": address_key(line, *clean.values())} | ({} if every_key else clean)
+    return rows.withColumns({c: F.when(broken, x).otherwise(F.col(c)) for c, x in made.items()})
+
+
+def read_geocode_cache(spark: SparkSession, path: str, every_key: bool = False) -> DataFrame:
+    """A geocode cache from CSV; see ``geocode_cache``."""
+    return geocode_cache(read_csv(spark, path, encodings=("UTF-8",)), every_key)
+
+
 def read_trip_cache(spark: SparkSession, path: str) -> DataFrame:
     """cache_key, km and minutes; malformed rows are skipped."""
     schema = "cache_key string, distance_km double, duration_min double"

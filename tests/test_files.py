@@ -1,6 +1,6 @@
 import os
 
-from fieldroute.sources.files import backfill, keep_last, newest_valid, read_route_cache, read_sniffed_csv, read_trip_cache, service_query
+from fieldroute.sources.files import CACHE_COLUMNS, backfill, keep_last, newest_valid, read_geocode_cache, read_route_cache, read_sniffed_csv, read_trip_cache, service_query
 
 
 def test_backfill(spark):
@@ -44,3 +44,17 @@ def test_service_query(spark):
     spark.createDataFrame([("1", "20260101"), ("2", "20260102"), ("1", "20260201")], "postal_code string, day string").createOrReplaceTempView("services_t")
     out = service_query(spark, "select * from services_t where day between :first_day and :last_day", "20260101", "20260131", spark.createDataFrame([("1",), ("1",)], "postal_code string"))
     assert [tuple(r) for r in out.collect()] == [("1", "20260101")]
+
+
+def test_geocode_cache_repairs_keys(spark, tmp_path):
+    path = tmp_path / "cache.csv"
+    path.write_text("\ufeffaddress_key,address_line1,city,state,postal_code,country_name,longitude,extra\nKEPT|KEY, 1  Main St ,Atlanta,GA,30301.0,usa,-84.5,x\nnan,\"2  Oak St, Atlanta GA 30301\", Atlanta ,GA,30301.0,usa,-84.1,x\n,,,,,,,\n", encoding="utf-8")
+    rows = read_geocode_cache(spark, str(path))
+    assert rows.columns == list(CACHE_COLUMNS)
+    kept, made, blank = sorted(rows.collect(), key=lambda r: ("KEPT" not in r.address_key, r.city == ""))
+    assert (kept.address_key, kept.postal_code, kept.source) == ("KEPT|KEY", "30301.0", "")
+    assert (made.address_key, made.address_line1, made.city, made.postal_code, made.country_name, made.longitude) == ("2 OAK ST|ATLANTA|GA|30301|USA", "2 Oak St", "Atlanta", "30301", "USA", "-84.1")
+    assert blank.address_key == "||||" and blank.latitude == ""
+    every = {r.address_key: r for r in read_geocode_cache(spark, str(path), True).collect()}
+    assert set(every) == {"1 MAIN ST|ATLANTA|GA|30301|USA", "2 OAK ST|ATLANTA|GA|30301|USA", "||||"}
+    assert every["1 MAIN ST|ATLANTA|GA|30301|USA"].postal_code == "30301.0"
