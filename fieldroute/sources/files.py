@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +52,17 @@ def backfill(df: DataFrame | None, spark: SparkSession, schema: str, flags: Sequ
     return wanted.unionByName(df.select(*[F.col(f.name).cast(f.dataType) for f in wanted.schema if f.name in df.columns]), allowMissingColumns=True)
 
 
+def read_config(spark: SparkSession, path: str) -> dict:
+    """The one JSON object of a configuration file, from any store that Spark reads; empty without the file."""
+    try:
+        rows = spark.read.option("wholetext", True).text(path).take(1)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return {}
+        raise
+    return json.loads(rows[0].value.lstrip(BOM)) if rows else {}
+
+
 def newest_valid(spark: SparkSession, folder: str, pattern: str, required: Sequence[str]) -> str | None:
     """Path of the newest CSV file that fits the pattern and whose header has the required columns.
 
