@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldroute.operators import geocode as G
 from fieldroute.operators import masters as M
 from fieldroute.operators.relational import keep_first
 from fieldroute.plans.aggregates import _REGIONS, regions
@@ -12,6 +13,8 @@ from fieldroute.session import table
 from fieldroute.sources.adapter import ENGINEERS_SQL, VISITS_SQL, engineers, visits
 
 OWN = "own"
+#: Addresses that may be asked for in a run.
+QUOTA = 1000
 
 
 def xt_technicians(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,7 +100,22 @@ def jn_engineer_master(spark: SparkSession, sf: str) -> DataFrame:
     return M.engineer_master(rows, own.unionByName(other), contractors=False).withColumns({c: F.round(c, 4) for c in ("home_lat", "home_lon")})
 
 
-QUERIES = {f.__name__: f for f in (xt_technicians, xt_capabilities, xt_region_master, xt_heavy_rules, xt_job_upsert, xt_master_rules, xt_store_display, jn_engineer_master)}
+def _geocoded(spark, sf):
+    """Service lines by postal code and city; the cache knows regions 2 and 3, the geocoder all codes but those that end with 7."""
+    v = visits(spark, sf).withColumn("address_key", F.concat_ws("|", "postal_code", "city")).select("l_orderkey", "l_linenumber", "address_key", "postal_code", *G.PLACE)
+    place = v.groupBy("address_key").agg(F.first("postal_code").alias("postal_code"), *[F.min(c).alias(c) for c in G.PLACE])
+    cache = place.join(regions(spark, sf).where("region_seq > 1"), "postal_code").select("address_key", *G.PLACE)
+    answers = place.where("postal_code not like '%7'").select("address_key", *G.PLACE)
+    return G.geocode_run(v.drop(*G.PLACE), cache, lambda batch: batch.join(answers, "address_key"), QUOTA)
+
+
+def xt_geocode_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters of a run within the daily quota, with the rows and addresses it located."""
+    run = _geocoded(spark, sf)
+    return run["report"].join(F.broadcast(G.place_counts(run["located"])))
+
+
+QUERIES = {f.__name__: f for f in (xt_technicians, xt_capabilities, xt_region_master, xt_heavy_rules, xt_job_upsert, xt_master_rules, xt_store_display, jn_engineer_master, xt_geocode_report)}
 
 _MASTER = """m AS (SELECT DISTINCT upper(p_brand) AS product_group_name, p_brand AS product_group_code, lower(p_type) AS product_name, p_type AS product_code, trim(p_name) AS symptom_name, CASE WHEN p_size > 25 THEN 'large' ELSE '' END AS symptom_type_name,
  'size ' || p_size AS detailed_symptom_name, CAST(p_size % 5 AS VARCHAR) AS detailed_symptom_code FROM part WHERE p_size % 7 > 0)"""
@@ -127,4 +145,9 @@ FROM l LEFT JOIN p1 ON p1.g = l.g AND p1.p = l.p LEFT JOIN s1 ON s1.g = l.g AND
 f AS (SELECT code, la, lo, row_number() OVER (PARTITION BY code ORDER BY la, lo) AS rn FROM h)
 SELECT engineer_code, center_type, CASE WHEN slot IS NULL OR slot = 9 THEN 8 ELSE slot END AS slot, region_seq, CASE WHEN ref_heavy = 'N' THEN 'N' ELSE 'Y' END AS ref_heavy, round(la, 4) AS home_lat, round(lo, 4) AS home_lon
 FROM engineers LEFT JOIN f ON code = engineer_code AND rn = 1 WHERE center_type = 'DMS'""",
+    "xt_geocode_report": f"""WITH {VISITS_SQL}, {_REGIONS}, k AS (SELECT postal_code || '|' || city AS a, any_value(postal_code) AS p, count(*) AS n FROM visits GROUP BY 1), s AS (SELECT k.*, region_seq > 1 AS known FROM k JOIN regions ON p = postal_code),
+b AS (SELECT a FROM s WHERE NOT known ORDER BY a LIMIT {QUOTA}), x AS (SELECT s.*, b.a IS NOT NULL AS asked, b.a IS NOT NULL AND p NOT LIKE '%7' AS got FROM s LEFT JOIN b ON b.a = s.a)
+SELECT count(*) AS unique_addresses, count(*) FILTER (WHERE known) AS already_cached, count(*) FILTER (WHERE NOT known) AS pending_before, count(*) FILTER (WHERE asked) AS attempted, count(*) FILTER (WHERE got) AS geocoded,
+ count(*) FILTER (WHERE asked AND NOT got) AS failed, count(*) FILTER (WHERE NOT known AND NOT got) AS remaining, CAST(coalesce(sum(n) FILTER (WHERE known OR got), 0) AS BIGINT) AS located_rows, CAST(coalesce(sum(n) FILTER (WHERE NOT known AND NOT got), 0) AS BIGINT) AS failed_rows,
+ count(*) FILTER (WHERE known OR got) AS located_addresses, count(*) FILTER (WHERE NOT known AND NOT got) AS failed_addresses FROM x""",
 }
