@@ -24,22 +24,31 @@ def replacements(actual: DataFrame, roster: DataFrame, keys: list[str]) -> DataF
     """
     ship(actual.sparkSession)
     city, day = keys
+    number = lambda x: 0 if pd.isna(x) else x
     width = shuffle_width(actual.sparkSession)
     rows = actual.withColumn("_month", F.trunc(day, "month"))
     staff = rows.select(city, "_month").distinct().join(roster, city).withColumnsRenamed({city: "at_city", "_month": "at_month"})
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         known = {r.engineer_code: r for r in right.drop_duplicates("engineer_code").itertuples(index=False)}
-        out = []
+        out, ranked = [], {}
         for date, df in left.sort_values([day, "turn"]).groupby(day, sort=False):
             codes = df["engineer_code"].tolist()
+            taken, turn = set(codes), {}
             out += [(date, c, "present", None) for c in codes if c in known]
-            free = [r for c, r in known.items() if c not in set(codes)]
             for code, center, region in df[["engineer_code", "want_center", "want_region"]].itertuples(index=False):
-                if code not in known and free:
-                    best = min(free, key=lambda r: (r.center_type != center, r.region_seq != region, r.anchor_region != region, -(r.overlap or 0), -(r.ratio or 0), r.engineer_code))  # noqa: B023
-                    free.remove(best)
-                    out.append((date, best.engineer_code, "replacement", code))
+                if code in known:
+                    continue
+                # Who stands in best does not depend on the day: the next of the order who is neither at work nor chosen.
+                if (center, region) not in ranked:
+                    ranked[center, region] = [r.engineer_code for r in sorted(known.values(), key=lambda r: (r.center_type != center, r.region_seq != region, r.anchor_region != region, -number(r.overlap), -number(r.ratio), r.engineer_code))]  # noqa: B023
+                order, at = ranked[center, region], turn.get((center, region), 0)
+                while at < len(order) and order[at] in taken:
+                    at += 1
+                turn[center, region] = at
+                if at < len(order):
+                    taken.add(order[at])
+                    out.append((date, order[at], "replacement", code))
         return pd.DataFrame(out, columns=[day, "engineer_code", "role", "stands_for"]).assign(**{city: key[0]})[[city, day, "engineer_code", "role", "stands_for"]]
 
     left = rows.repartition(width, city, "_month").groupBy(city, "_month")
