@@ -61,8 +61,10 @@ def jn_distance_matrix(spark: SparkSession, sf: str) -> DataFrame:
 def jn_skill(spark: SparkSession, sf: str) -> DataFrame:
     """Engineers who may do a day's work in their city: heavy work in one group needs the flag."""
     v = visits(spark, sf).groupBy("city", "service_month", "is_heavy").agg(F.countDistinct("receipt_no").alias("receipts"))
-    e = engineers(spark, sf).select("city", "engineer_code", "ref_heavy")
-    return v.join(e, (v["city"] == e["city"]) & (~v["is_heavy"] | (e["ref_heavy"] == "Y"))).groupBy(v["city"], "service_month", "is_heavy").agg(F.countDistinct("engineer_code").alias("eligible"), F.max("receipts").alias("receipts"))
+    # Counted by city before the join: a month meets one row, not its engineers.
+    e = engineers(spark, sf).groupBy("city", "engineer_code").agg(F.max(F.col("ref_heavy") == "Y").alias("flag")).groupBy("city").agg(F.count("engineer_code").alias("all"), F.count(F.when(F.col("flag"), F.col("engineer_code"))).alias("flagged"))
+    eligible = F.when(~F.col("is_heavy"), F.col("all")).otherwise(F.col("flagged"))
+    return v.join(e, "city").withColumn("eligible", eligible).where("eligible > 0").select("city", "service_month", "is_heavy", "eligible", "receipts")
 
 
 def jn_preference(spark: SparkSession, sf: str) -> DataFrame:
