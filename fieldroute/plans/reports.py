@@ -28,7 +28,12 @@ def rp_border_feasibility(spark: SparkSession, sf: str) -> DataFrame:
 
 def rp_soft_feasibility(spark: SparkSession, sf: str) -> DataFrame:
     """Job, time and TV capacity by month; feasible when all three hold."""
-    v = visits(spark, sf).groupBy("service_month").agg((F.countDistinct("receipt_no") + F.count_if(F.col("is_heavy"))).alias("weighted"), F.sum("service_min").alias("minutes"), F.countDistinct("engineer_code").alias("headcount"), F.countDistinct(F.when(F.col("center_type") == "DMS2", F.col("engineer_code"))).alias("dms2"), F.count_if(F.col("symptom") == "A").alias("tv"))
+    # Receipts and engineers apart: distinct counts of several columns at once would copy every line for each.
+    r = visits(spark, sf).groupBy("service_month", "receipt_no").agg(F.count_if(F.col("is_heavy")).alias("heavy"))
+    r = r.groupBy("service_month").agg((F.count("receipt_no") + F.sum("heavy")).alias("weighted"))
+    e = visits(spark, sf).groupBy("service_month", "engineer_code").agg(F.sum("service_min").alias("minutes"), F.max(F.col("center_type") == "DMS2").alias("dms2"), F.count_if(F.col("symptom") == "A").alias("tv"))
+    e = e.groupBy(F.col("service_month").alias("_month")).agg(F.sum("minutes").alias("minutes"), F.count("engineer_code").alias("headcount"), F.count(F.when(F.col("dms2"), F.col("engineer_code"))).alias("dms2"), F.sum("tv").alias("tv"))
+    v = r.join(e, r["service_month"].eqNullSafe(e["_month"])).drop("_month")
     v = v.withColumn("job_gap", F.col("headcount") * 4 - F.col("weighted")).withColumn("time_gap", F.col("headcount") * 480 - F.col("minutes")).withColumn("tv_gap", F.col("dms2") * 4 - F.col("tv"))
     return v.withColumn("feasible", (F.col("job_gap") >= 0) & (F.col("time_gap") >= 0) & (F.col("tv_gap") >= 0))
 
