@@ -181,3 +181,8 @@ def test_days_side_by_side(monkeypatch):
         G.batches(G.Side(some), [np.full(len(d), 60.0) for d in some], 4)
         counts.append(len(calls) - len(some))  # a radius a day
     assert counts[0] == counts[1]
+
+
+def test_a_month_of_single_jobs():
+    """A group whose days have one job each has nothing to batch."""
+    assert G.batches(G.Side([]), [], 4) == []
