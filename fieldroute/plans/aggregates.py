@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldroute.operators import relational as R
-from fieldroute.session import table
+from fieldroute.session import cut, table, wide_tasks
 from fieldroute.sources.adapter import ENGINEERS_SQL, VISITS_SQL, engineers, visits
 
 
@@ -24,12 +24,29 @@ def ag_daily_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return daily.groupBy("city").agg(F.sum("n").alias("total"), F.round(F.avg("n"), 4).alias("mean_daily"), F.max("n").alias("max_daily"), F.countDistinct("service_date").alias("days"))
 
 
+def postal_months(lines: DataFrame, tasks: int) -> DataFrame:
+    """Months of a postal code, added up over its days: receipts in all and at most, days, daily means of coordinates and their number,
+    engineers at most, and a bit for each date.
+
+    Lines are dealt once, by city, postal code and month; all else is done in these tasks. Engineers of a day are told by
+    their first line, since two distinct counts in one grouping would copy every line.
+    """
+    month = ["city", "postal_code", "service_month"]
+    first = F.row_number().over(Window.partitionBy(*month, "service_date", "engineer_code").orderBy("receipt_no")) == 1
+    lines = lines.select(*month, "service_date", "receipt_no", "engineer_code", "latitude", "longitude").repartition(tasks, *month).withColumn("first", first & F.col("engineer_code").isNotNull())
+    daily = lines.groupBy(*month, "service_date").agg(F.countDistinct("receipt_no").alias("n"), F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"), F.count_if("first").alias("e"))
+    means = [f(c).alias(a) for c in ("latitude", "longitude") for f, a in ((F.sum, c), (F.count, f"{c}_days"))]
+    date = F.bit_or(F.call_function("shiftleft", F.lit(1), F.dayofmonth("service_date") - 1)).alias("dates")
+    return daily.groupBy(*month).agg(F.sum("n").alias("total"), F.max("n").alias("max_daily"), F.count(F.lit(1)).alias("days"), *means, F.max("e").alias("engineers"), date)
+
+
 def ag_postal_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Postal demand: the mean of daily means, and a daily rate that is rounded before zero rates go."""
-    v = visits(spark, sf)
-    daily = v.groupBy("city", "postal_code", "service_date").agg(F.countDistinct("receipt_no").alias("n"), F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"), F.countDistinct("engineer_code").alias("e"))
-    days = v.groupBy("city").agg(F.countDistinct("service_date").alias("city_days"))
-    out = daily.groupBy("city", "postal_code").agg(F.sum("n").alias("total"), F.max("n").alias("max_daily"), F.count(F.lit(1)).alias("days"), F.round(F.avg("latitude"), 9).alias("latitude"), F.round(F.avg("longitude"), 9).alias("longitude"), F.max("e").alias("engineers"))
+    months = cut(postal_months(visits(spark, sf), wide_tasks(spark, sf)), "postal-months")
+    # A city's dates are the bits that any of its postal codes has in a month.
+    days = months.groupBy("city", "service_month").agg(F.bit_count(F.bit_or("dates")).alias("dates")).groupBy("city").agg(F.sum("dates").alias("city_days"))
+    mean = lambda c: F.round(F.sum(c) / F.sum(f"{c}_days"), 9).alias(c)
+    out = months.groupBy("city", "postal_code").agg(F.sum("total").alias("total"), F.max("max_daily").alias("max_daily"), F.sum("days").alias("days"), mean("latitude"), mean("longitude"), F.max("engineers").alias("engineers"))
     return out.join(days, "city").withColumn("rate", F.round(F.col("total") / F.col("city_days"), 2)).where("rate > 0").drop("city_days")
 
 
