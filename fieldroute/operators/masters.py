@@ -137,13 +137,16 @@ def technicians(slots: DataFrame, addresses: DataFrame, homes: DataFrame) -> Dat
     return conform(rows.fillna("", [*text, "home_postal_code"]).withColumn("home_country", F.lit("USA")), "technician").drop(*STAMPS)
 
 
-def capabilities(products: DataFrame) -> DataFrame:
+def capabilities(products: DataFrame, tasks: int | None = None) -> DataFrame:
     """Rows of the capability table: repair where the flag is T; heavy repair unless the group is REF and the area's flag N.
 
-    Of several rows with one key the first by repair flag and area flag stays (nulls first).
+    Of several rows with one key the first by repair flag and area flag stays (nulls first). Rows are dealt
+    once, by employee and product, over ``tasks`` (the session's width if none are given).
     """
     key = list(MASTERS["capability"].key)
-    rows = keep_first(products.withColumns({c: F.trim(F.coalesce(F.col(c), F.lit(""))) for c in key}), key, [F.col("repair_flag"), F.col("area_product_flag")])
+    # Equal rows go first, by a hash: a key has few pairs of flags, so that the sort meets few rows however often a job recurs.
+    rows = products.select(*[F.trim(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in key], "repair_flag", "area_product_flag")
+    rows = keep_first(rows.repartition(*([tasks] if tasks else []), "employee_code", "product_group_code", "product_code").distinct(), key, [F.col("repair_flag"), F.col("area_product_flag")])
     is_flag = lambda c, flag: F.coalesce(F.upper(c) == flag, F.lit(False))
     heavy = ~((F.col("product_group_code") == "REF") & is_flag(F.col("area_product_flag"), "N"))
     return rows.select(*key, is_flag(F.col("repair_flag"), "T").alias("repair_allowed"), heavy.alias("heavy_repair_allowed"), F.lit(PRIORITY).alias("priority_score"))

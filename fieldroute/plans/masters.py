@@ -9,7 +9,7 @@ from fieldroute.operators import geocode as G
 from fieldroute.operators import masters as M
 from fieldroute.operators.relational import keep_first
 from fieldroute.plans.aggregates import _REGIONS, regions
-from fieldroute.session import table
+from fieldroute.session import table, wide_tasks
 from fieldroute.sources.adapter import ENGINEERS_SQL, VISITS_SQL, engineers, visits
 
 OWN = "own"
@@ -35,7 +35,7 @@ def _products(spark, sf):
 
 def xt_capabilities(spark: SparkSession, sf: str) -> DataFrame:
     """Who may repair what, from the lines that an engineer had."""
-    return M.capabilities(_products(spark, sf))
+    return M.capabilities(_products(spark, sf), wide_tasks(spark, sf))
 
 
 def _region_rows(spark, sf):
