@@ -10,9 +10,13 @@ from fieldroute.session import cut, table, wide_tasks
 from fieldroute.sources.adapter import ENGINEERS_SQL, VISITS_SQL, engineers, visits
 
 
+def region_of(postal_code: str):
+    return (F.col(postal_code).cast("int") % 3 + 1).cast("int")
+
+
 def regions(spark, sf):
     """Postal code to region."""
-    return visits(spark, sf).select("postal_code").distinct().withColumn("region_seq", (F.col("postal_code").cast("int") % 3 + 1).cast("int"))
+    return visits(spark, sf).select("postal_code").distinct().withColumn("region_seq", region_of("postal_code"))
 
 
 _REGIONS = "regions AS (SELECT DISTINCT postal_code, CAST(CAST(postal_code AS INTEGER) % 3 + 1 AS INTEGER) AS region_seq FROM visits)"

@@ -19,7 +19,11 @@ _CENTRES = "centres AS (SELECT city, region_seq, avg(home_lat) AS latitude, avg(
 
 
 def _postals(spark, sf):
-    return visits(spark, sf).groupBy("city", "postal_code").agg(F.min("latitude").alias("latitude"), F.min("longitude").alias("longitude"))
+    return _places(visits(spark, sf))
+
+
+def _places(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("city", "postal_code").agg(F.min("latitude").alias("latitude"), F.min("longitude").alias("longitude"))
 
 
 _POSTALS = "postals AS (SELECT city, postal_code, min(latitude) AS latitude, min(longitude) AS longitude FROM visits GROUP BY 1, 2)"
@@ -41,9 +45,14 @@ def jn_nearest_centre(spark: SparkSession, sf: str) -> DataFrame:
 
 def jn_border_band(spark: SparkSession, sf: str) -> DataFrame:
     """Postal codes of regions 1 and 2 that region 3 may serve: within 15 km more and 1.35 times the own distance."""
+    return border_band(visits(spark, sf), spark, sf)
+
+
+def border_band(lines: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
+    """The band of the postal codes of service lines."""
     own = centres(spark, sf).where("region_seq in (1, 2)").select("city", F.col("region_seq").alias("target_region"), F.col("latitude").alias("a"), F.col("longitude").alias("b"))
     other = centres(spark, sf).where("region_seq = 3").select("city", F.col("latitude").alias("c"), F.col("longitude").alias("d"))
-    p = _postals(spark, sf).join(own, "city").join(other, "city")
+    p = _places(lines).join(own, "city").join(other, "city")
     p = p.withColumn("own_km", haversine_km(F.col("latitude"), F.col("longitude"), F.col("a"), F.col("b"))).withColumn("source_km", haversine_km(F.col("latitude"), F.col("longitude"), F.col("c"), F.col("d")))
     near = (F.col("source_km") <= F.col("own_km") + 15) & (F.col("source_km") <= F.greatest(F.col("own_km") * 1.35, F.col("own_km") + 1))
     return p.where(near).select("city", "target_region", "postal_code", F.round("own_km", 4).alias("own_km"), F.round("source_km", 4).alias("source_km"))
